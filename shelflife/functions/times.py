@@ -47,3 +47,19 @@ def micros_between(start: Column, end: Column) -> Column:
 def age_hours(time: Column, as_of: Column) -> Column:
     """Age in hours as a double; NULL for an unknown time."""
     return micros_between(time, as_of) / 3.6e9
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def to_instant(time: Column, data_type: T.DataType) -> Column:
+    """A time column as ``timestamp``; one without a zone is read as UTC whatever the session's zone."""
+    if isinstance(data_type, T.TimestampNTZType):
+        return F.timestamp_micros(micros_between(_epoch(), time))
+    return time.cast("timestamp")
+
+
+def to_utc_wall_clock(time: Column) -> Column:
+    """A ``timestamp`` as the UTC wall-clock time without a zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(time), _epoch())

@@ -26,27 +26,33 @@ def _ancestors(path: Column, base: Column) -> Column:
 
 
 def prune_plan(
-    inventory: DataFrame, goes: Column, base: Column, has_dir_rows: bool = True
+    inventory: DataFrame,
+    goes: Column,
+    base: Column,
+    has_dir_rows: bool = True,
+    expired: Column | None = None,
 ) -> DataFrame:
     """Directories below each root that hold nothing once the files flagged ``goes`` are deleted.
 
     ``goes`` is a boolean over the inventory (NULL counts as staying), ``base`` the path of the root.
-    A root without any file that goes is left alone, so directories that were empty before stay there
-    too. Files are first reduced to the directories that hold them, with partial aggregation, and only
-    those few rows are expanded to their ancestors. ``has_dir_rows=False`` says that the inventory lists
-    files only; every candidate then has a file that goes and the check of the roots is not needed.
+    A root without any ``expired`` file (by default: any that goes) is left alone, so directories that
+    were empty before stay there too. Files are first reduced to the directories that hold them, with
+    partial aggregation, and only those few rows are expanded to their ancestors. ``has_dir_rows=False``
+    says that the inventory lists files only; every candidate then has a file that goes and the check of
+    the roots is not needed.
     """
     is_file, going = ~F.col("is_dir"), F.coalesce(goes, F.lit(False))
+    triggers = going if expired is None else F.coalesce(expired, F.lit(False))
     holders = (
         inventory.select(
             "dir_name",
             base.alias("base"),
             F.when(is_file, _parent(F.col("path"))).otherwise(F.col("path")).alias("holder"),
             (is_file & ~going).alias("stays"),
-            (is_file & going).alias("goes"),
+            (is_file & triggers).alias("triggers"),
         )
         .groupBy("dir_name", "base", "holder")
-        .agg(F.bool_or("stays").alias("stays"), F.bool_or("goes").alias("goes"))
+        .agg(F.bool_or("stays").alias("stays"), F.bool_or("triggers").alias("triggers"))
     )
     emptied = (
         holders.select(
@@ -59,7 +65,7 @@ def prune_plan(
     )
     if not has_dir_rows:
         return emptied
-    touched = holders.groupBy("dir_name").agg(F.bool_or("goes").alias("goes")).where("goes")
+    touched = holders.groupBy("dir_name").agg(F.bool_or("triggers").alias("triggers")).where("triggers")
     return emptied.join(touched, "dir_name", "left_semi")
 
 

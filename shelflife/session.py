@@ -44,25 +44,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/shelflife/{purpose}-{uuid.uuid4().hex}"
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
 def is_written(spark: SparkSession, path: str) -> bool:
     """True if a write job has committed ``path``."""
-    fs, target = _hadoop_path(spark, f"{path}/_SUCCESS")
-    return fs.exists(target)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _hadoop_path(spark, path)
-    return fs.exists(target)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def drop_path(spark: SparkSession, path: str) -> bool:
-    """Delete a table folder through the file system that holds it."""
-    fs, target = _hadoop_path(spark, path)
+def drop_uri(spark: SparkSession, uri: str) -> bool:
+    """Delete a table folder, given as its URI, through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.delete(target, True)
 
 

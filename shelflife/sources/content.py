@@ -10,40 +10,44 @@ SPLIT_BYTES = 64 * 1024 * 1024
 CONTENT_SCHEMA = "dir_name string, item string, part bigint, text string"
 
 
-def _read_ranges(split_bytes: int | None):
-    """Whole lines that start in a file's byte range; the whole file when there is one range."""
+BATCH_BYTES = 8 * 1024 * 1024
 
-    def lines_of(stream, start, stop):
-        if start:
-            stream.seek(start - 1)
-            stream.readline()
-        at = stream.tell()
-        while at < stop:
-            line = stream.readline()
-            if not line:
-                break
-            at += len(line)
-            yield line
+
+def _read_ranges(split_bytes: int | None, batch_bytes: int):
+    """Whole lines that start in a file's byte range; the whole file when it is not split."""
+
+    def read(path, part):
+        with open(path, "rb") as stream:
+            if split_bytes is None:
+                return stream.read()
+            start, stop = part * split_bytes, (part + 1) * split_bytes
+            if start:
+                stream.seek(start - 1)
+                stream.readline()
+            data = stream.read(max(stop - stream.tell(), 0))
+            if data and not data.endswith(b"\n"):
+                data += stream.readline()
+            return data
 
     def run(batches):
         import pandas as pd
 
+        columns = ["dir_name", "item", "part", "text"]
+        rows, held = [], 0
         for pdf in batches:
             for dir_name, path, part in zip(pdf["dir_name"], pdf["item"], pdf["part"]):
                 try:
-                    with open(path, "rb") as stream:
-                        if split_bytes is None:
-                            data = stream.read()
-                        else:
-                            start = int(part) * split_bytes
-                            data = b"".join(lines_of(stream, start, start + split_bytes))
+                    data = read(path, int(part))
                 except OSError:
                     continue
-                if data:
-                    text = data.decode("utf-8", "replace")
-                    yield pd.DataFrame(
-                        [(dir_name, path, int(part), text)], columns=["dir_name", "item", "part", "text"]
-                    )
+                if not data:
+                    continue
+                rows.append((dir_name, path, int(part), data.decode("utf-8", "replace")))
+                held += len(data)
+                if held >= batch_bytes:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -70,4 +74,6 @@ def file_content(
         F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"),
     )
     spread = int(inventory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(tasks or spread).mapInPandas(_read_ranges(split_bytes), CONTENT_SCHEMA)
+    return ranges.repartition(tasks or spread).mapInPandas(
+        _read_ranges(split_bytes, BATCH_BYTES), CONTENT_SCHEMA
+    )

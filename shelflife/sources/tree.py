@@ -130,23 +130,22 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
     listing is written below ``run_dir`` before the next level reads it, so neither the driver nor a
     single task ever holds a subtree, however lopsided the tree. Measuring, the slow call per file, is a
     separate pass spread evenly over all files, also those of one giant flat folder. Hidden names, empty
-    files and links to files count; links to folders are not followed.
+    files and links to files count; links to folders are not followed. A name that is not valid UTF-8 is
+    listed with its bytes escaped and as unreadable, so it is counted and never purged.
     """
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folders = existing_roots(spark, roots)
-    levels = []
-    while True:
+    level = 0
+    while not folders.isEmpty():
         listing = write_once(
             folders.repartition(tasks).mapInPandas(_list_folders(ROWS_PER_BATCH), LISTING_SCHEMA),
-            f"{run_dir}/listing/level={len(levels)}",
+            f"{run_dir}/listing/level={level}",
         )
-        levels.append(listing)
         folders = listing.where(F.col("kind") == "dir").select("dir_name", "path")
-        if folders.isEmpty():
-            break
-    entries = levels[0]
-    for level in levels[1:]:
-        entries = entries.unionByName(level)
+        level += 1
+    if level == 0:
+        return spark.createDataFrame([], INVENTORY_SCHEMA)
+    entries = spark.read.schema(LISTING_SCHEMA).parquet(f"{run_dir}/listing").drop("level")
     parts = max(tasks, math.ceil(entries.count() / STATS_PER_TASK))
     measured = entries.repartition(parts).mapInPandas(
         _measure(),

@@ -1,0 +1,51 @@
+"""Run a registered query and its SQL on the same tables and compare the rows."""
+
+from __future__ import annotations
+
+import math
+from pathlib import Path
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
+    "labels conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        path = Path(sf_dir) / f"{name}.parquet"
+        if path.exists():
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def _key(row):
+    return tuple((value is None, str(value)) for value in row)
+
+
+def sorted_rows(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(row[i] for i in order) for row in rows), key=_key)
+
+
+def same(left, right) -> bool:
+    if isinstance(left, float) and isinstance(right, float):
+        return left == right or math.isclose(left, right, rel_tol=1e-12)
+    return type(left) is type(right) and left == right
+
+
+def differences(df, con, sql: str) -> list[str]:
+    """What differs between a Spark result and the SQL result; empty when they agree."""
+    found = df.collect()
+    result = con.execute(sql)
+    columns = [d[0] for d in result.description]
+    expected = result.fetchall()
+    if sorted(df.columns) != sorted(columns):
+        return [f"columns {sorted(df.columns)} != {sorted(columns)}"]
+    if len(found) != len(expected):
+        return [f"rows {len(found)} != {len(expected)}"]
+    pairs = zip(sorted_rows(df.columns, found), sorted_rows(columns, expected))
+    return [f"{a} != {b}" for a, b in pairs if not all(map(same, a, b))][:5]
