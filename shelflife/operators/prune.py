@@ -14,7 +14,8 @@ def _levels(path: Column) -> Column:
 
 
 def _parent(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    name = F.substring_index(path, "/", -1)
+    return F.left(path, F.length(path) - F.length(name) - 1)
 
 
 def _ancestors(path: Column, base: Column) -> Column:
@@ -49,10 +50,9 @@ def prune_plan(
             base.alias("base"),
             F.when(is_file, _parent(F.col("path"))).otherwise(F.col("path")).alias("holder"),
             (is_file & ~going).alias("stays"),
-            (is_file & triggers).alias("triggers"),
         )
         .groupBy("dir_name", "base", "holder")
-        .agg(F.bool_or("stays").alias("stays"), F.bool_or("triggers").alias("triggers"))
+        .agg(F.bool_or("stays").alias("stays"))
     )
     emptied = (
         holders.select(
@@ -65,7 +65,7 @@ def prune_plan(
     )
     if not has_dir_rows:
         return emptied
-    touched = holders.groupBy("dir_name").agg(F.bool_or("triggers").alias("triggers")).where("triggers")
+    touched = inventory.where(is_file & triggers).select("dir_name").distinct()
     return emptied.join(touched, "dir_name", "left_semi")
 
 

@@ -113,9 +113,9 @@ def planted_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A caller's own detectors: an assigned 40-digit token, in plain text and in markup.
 TOKEN_PATTERN = 'token = (?:"|&quot;)([0-9a-f]{40})'
-ASSIGNED_TOKEN = detect.Detector("Assigned tokens", TOKEN_PATTERN, ("token = ",))
+ASSIGNED_TOKEN = detect.Detector("Assigned tokens", TOKEN_PATTERN, ("token = ",), group=1)
 BATCH_TOKEN = detect.BatchDetector(
-    "Assigned tokens", lambda texts: texts.fillna("").map(re.compile(TOKEN_PATTERN).findall)
+    "Assigned tokens", lambda texts: texts.map(re.compile(TOKEN_PATTERN).findall), ("token = ",)
 )
 
 
@@ -244,24 +244,20 @@ def purge_total(spark, sf_dir):
 def run_message(spark, sf_dir):
     """The four session-end lines per root: a window that finds files and one that finds none."""
     entries = orders_inventory(spark, sf_dir)
-    found = stats.dir_stats(entries, ORDERS_AT, ORDERS_HOURS)
-    size = stats.purge_summary(retention.purge_plan(entries, ORDERS_AT, ORDERS_HOURS), False).select(
-        "dir_name", "bytes"
+    gone = retention.expired_flag(entries, ORDERS_AT, ORDERS_HOURS)
+    zero = F.lit(0).cast("bigint")
+    found = entries.groupBy("dir_name").agg(
+        F.count_if(gone).alias("n"), F.coalesce(F.sum(F.when(gone, F.col("size_bytes"))), zero).alias("size")
     )
     cases = F.array(
         *[
             F.struct(F.lit(dry).alias("dry_run"), files.alias("files"), freed.alias("bytes"))
             for dry in (False, True)
-            for files, freed in (
-                (F.col("violations"), F.coalesce("bytes", F.lit(0).cast("bigint"))),
-                (F.lit(0).cast("bigint"), F.lit(0).cast("bigint")),
-            )
+            for files, freed in ((F.col("n"), F.col("size")), (zero, zero))
         ]
     )
-    return (
-        found.join(size, "dir_name", "left")
-        .select("dir_name", F.inline(cases))
-        .withColumn("message", session_message(F.col("files"), F.col("bytes"), F.col("dry_run")))
+    return found.select("dir_name", F.inline(cases)).withColumn(
+        "message", session_message(F.col("files"), F.col("bytes"), F.col("dry_run"))
     )
 
 
@@ -347,7 +343,7 @@ def secret_scanner_union(spark, sf_dir):
 def scan_recommendation(spark, sf_dir):
     content = document_content(spark, sf_dir)
     findings = detect.find_secrets(content, [*detect.BUILTIN_DETECTORS, ASSIGNED_TOKEN])
-    return detect.recommend(content.select("dir_name").distinct(), detect.summarize(findings))
+    return detect.recommend(content.select("dir_name").distinct(), findings)
 
 
 def scan_items(spark, sf_dir):

@@ -39,8 +39,7 @@ def scan_content(
     if extra:
         findings = merge_findings(findings)
     findings = write_once(findings, f"{run_dir}/findings")
-    summary = summarize(findings)
-    return Scan(findings, summary, recommend(roots.select("dir_name"), summary))
+    return Scan(findings, summarize(findings), recommend(roots.select("dir_name"), findings))
 
 
 def scan_trees(

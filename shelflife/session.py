@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The default, INT96, carries no statistics, so a cutoff could skip no row group of a written table.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # Tasks that delete files must not run twice at a time.
     "spark.speculation": "false",
     "spark.ui.enabled": "false",
 }

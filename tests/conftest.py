@@ -13,6 +13,17 @@ from shelflife.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
-    session = local_session(8, "tests", **{"spark.checkpoint.dir": str(shared)})
+    # Four attempts per task, so that tests can lose some.
+    session = local_session("8,4", "tests", **{"spark.checkpoint.dir": str(shared)})
     yield session
     session.stop()
+
+
+@pytest.fixture
+def base(tmp_path):
+    """A base folder with the default roots, all empty."""
+    from shelflife.sources.tree import DEFAULT_ROOTS
+
+    for name in DEFAULT_ROOTS:
+        (tmp_path / "logs" / name).mkdir(parents=True)
+    return tmp_path / "logs"

@@ -1,0 +1,71 @@
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelflife.operators import policy
+from shelflife.plans.clean import effective_settings
+
+POLICY = "dir_name string, retention_hours int, clean_on_session_end boolean, dry_run boolean, owner string"
+
+
+def test_defaults_where_nothing_is_stored(spark):
+    roots = spark.createDataFrame([("debug",), ("todos",)], "dir_name string")
+    stored = spark.createDataFrame([("todos", 48, False, True, "me")], POLICY)
+    rows = {r["dir_name"]: r.asDict() for r in policy.policies_for(roots, stored).collect()}
+    assert rows["debug"] == {
+        "dir_name": "debug",
+        "retention_hours": 24,
+        "clean_on_session_end": True,
+        "dry_run": False,
+        "owner": None,
+        "session_end_summary": True,
+    }
+    assert rows["todos"]["retention_hours"] == 48
+    assert rows["todos"]["clean_on_session_end"] is False
+    assert rows["todos"]["dry_run"] is True
+    assert rows["todos"]["owner"] == "me"
+
+
+def test_zero_override_means_configured_and_negative_passes(spark):
+    df = spark.createDataFrame([(None, 24), (0, 24), (-1, 24), (1, 24)], "o int, c int")
+    found = [r[0] for r in df.select(policy.effective_retention(F.col("o"), F.col("c"))).collect()]
+    assert found == [24, 24, -1, 1]
+
+
+def test_dry_run_flag_only_turns_on(spark):
+    values = [(f, c) for f in (None, False, True) for c in (None, False, True)]
+    df = spark.createDataFrame(values, "f boolean, c boolean")
+    found = [r[0] for r in df.select(policy.effective_dry_run(F.col("f"), F.col("c"))).collect()]
+    assert found == [bool(f) or bool(c) for f, c in values]
+
+
+def test_settings_of_one_run():
+    assert effective_settings() == (24, False)
+    assert effective_settings({"retention_hours": 48, "dry_run": True}) == (48, True)
+    assert effective_settings({"retention_hours": 48}, hours=0) == (48, False)
+    assert effective_settings({"retention_hours": 48}, hours=-1, dry_run=True) == (-1, True)
+    assert effective_settings({"retention_hours": 0}) == (0, False)
+
+
+def test_set_retention(spark):
+    stored = spark.createDataFrame([("a", 24, True, None, "x"), ("b", 24, None, True, "y")], POLICY)
+    updates = spark.createDataFrame(
+        [("a", 48, 1), ("a", 0, 2), ("a", -1, 3), ("b", -5, 1), ("c", 7, 1), ("d", None, 1)],
+        "dir_name string, retention_hours int, updated_at int",
+    )
+    rows = {r["dir_name"]: tuple(r)[1:] for r in policy.set_retention(stored, updates).collect()}
+    assert rows == {
+        "a": (0, True, None, "x"),
+        "b": (24, None, True, "y"),
+        "c": (7, None, None, None),
+    }
+    told = {(r["dir_name"], r["updated_at"]): r["message"] for r in policy.update_outcome(updates).collect()}
+    assert told["a", 1] == "Retention period set to 48 hours"
+    assert told["a", 3] == "Invalid hours value: -1"
+    assert told["d", 1] == "Invalid hours value: NULL"
+
+
+def test_gates(spark):
+    df = spark.createDataFrame([(None,), (False,), (True,)], "v boolean")
+    assert [r[0] for r in df.select(policy.runs_on_session_end(F.col("v"))).collect()] == [True, False, True]
+    assert [r[0] for r in df.select(policy.shows_summary(F.col("v"))).collect()] == [True, False, True]

@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import datetime as dt
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelflife.operators.purge import purge_table
+
+AS_OF = dt.datetime(2025, 6, 15, 12)
+
+
+def rows(spark, path):
+    return sorted((r["id"], str(r["part"])) for r in spark.read.parquet(path).collect())
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_touches_only_what_it_must(spark, tmp_path, kind):
+    path = str(tmp_path / "t")
+    table = spark.range(200).select(
+        "id",
+        (F.lit("2025-06-15 12:00:00").cast(kind) - F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("at"),
+    )
+    table = table.withColumn("at", F.when(F.col("id") != 150, F.col("at"))).withColumn(
+        "part", F.coalesce(F.to_date("at").cast("string"), F.lit("none"))
+    )
+    # One more row without a time, in a partition that is otherwise wholly expired.
+    extra = table.where("id = 199").withColumns({"id": F.lit(999).cast("bigint"), "at": F.lit(None).cast(kind)})
+    table.union(extra).write.partitionBy("part").parquet(path)
+    before = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if "2025-06-15" in d}
+    taken = {r["part"]: r["action"] for r in purge_table(spark, path, "part", AS_OF, 55, "at").collect()}
+    assert {k for k, v in taken.items() if v == "rewrite"} == {"2025-06-13", "2025-06-07"}
+    assert {k for k, v in taken.items() if v == "drop"} == {f"2025-06-{d:02d}" for d in (8, 9, 10, 11, 12)}
+    assert [i for i, _ in rows(spark, path)] == sorted([*range(0, 56), 150, 999])
+    assert not os.path.exists(os.path.join(path, "part=2025-06-10"))
+    after = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if "2025-06-15" in d}
+    assert before == after
+    assert purge_table(spark, path, "part", AS_OF, 55, "at").count() == 0
+
+
+def test_partition_values_of_all_sorts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    names = ["a b", "a/b", "x=y", "50%", "ä:ö", None, "keep"]
+    old, new = dt.datetime(2025, 1, 1), dt.datetime(2025, 6, 15)
+    data = [(n, old if name != "keep" else new, name) for n, name in enumerate(names)]
+    spark.createDataFrame(data, "id bigint, at timestamp_ntz, part string").write.partitionBy("part").parquet(path)
+    purge_table(spark, path, "part", AS_OF, 24, "at")
+    assert rows(spark, path) == [(6, "keep")]
+    assert [d for d in os.listdir(path) if d.startswith("part=")] == ["part=keep"]
+
+
+def test_null_partition_is_rewritten(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old, new = dt.datetime(2025, 1, 1), dt.datetime(2025, 6, 15)
+    data = [(1, old, None), (2, new, None), (3, old, "a"), (4, None, "a"), (5, new, "b")]
+    spark.createDataFrame(data, "id bigint, at timestamp_ntz, part string").write.partitionBy("part").parquet(path)
+    purge_table(spark, path, "part", AS_OF, 24, "at")
+    assert rows(spark, path) == [(2, "None"), (4, "a"), (5, "b")]
+
+
+def test_dated_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = spark.range(100).select(
+        "id", (F.lit("2025-06-15 12:00:00").cast("timestamp") - F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("at")
+    )
+    table.withColumn("day", F.to_date("at")).write.partitionBy("day").parquet(path)
+    taken = purge_table(spark, path, "day", AS_OF, 24, "at", dated=True)
+    assert {str(r["day"]): r["action"] for r in taken.collect()} == {
+        "2025-06-14": "rewrite", "2025-06-13": "drop", "2025-06-12": "drop", "2025-06-11": "drop",
+    }
+    assert spark.read.parquet(path).count() == 25
