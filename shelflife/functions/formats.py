@@ -12,22 +12,9 @@ UNITS = ["B", "KB", "MB", "GB", "TB", "PB"]
 def one_decimal(value: Column) -> Column:
     """A double with one decimal, correctly rounded from its binary value, ties to even.
 
-    ``format_string('%.1f')`` rounds the shortest decimal form half up instead. Here the distance to
-    the midpoint ``(2k+1)/20`` is formed as ``(16a - (2k+1)) + 4a``; both steps are exact near the
-    midpoint, so its sign is the true side of the binary value.
+    ``format_number`` with a pattern rounds this way; ``format_string('%.1f')`` rounds half up.
     """
-    size = F.abs(value)
-    tenths = F.floor(size * 10)
-    odd = (tenths * 2 + 1).cast("double")
-    side = (size * 16 - odd) + size * 4
-    up = (side > 0) | ((side == 0) & (tenths % 2 == 1))
-    rounded = tenths + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    return F.concat(
-        F.when(value < 0, F.lit("-")).otherwise(F.lit("")),
-        F.floor(rounded / 10).cast("string"),
-        F.lit("."),
-        (rounded % 10).cast("string"),
-    )
+    return F.call_function("format_number", value, F.lit("0.0"))
 
 
 def format_size(size: Column) -> Column:

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelflife.functions.times import as_of_literal, is_expired, time_type
+from shelflife.operators.joins import join_root_rows
 
 
 def _levels(path: Column) -> Column:
@@ -35,7 +36,8 @@ def prune_plan(
 ) -> DataFrame:
     """Directories below each root that hold nothing once the files flagged ``goes`` are deleted.
 
-    ``goes`` is a boolean over the inventory (NULL counts as staying), ``base`` the path of the root.
+    ``goes`` is a boolean over the inventory (NULL counts as staying), ``base`` the path of the root
+    as an expression over ``dir_name``.
     A root without any ``expired`` file (by default: any that goes) is left alone, so directories that
     were empty before stay there too. Files are first reduced to the directories that hold them, with
     partial aggregation, and only those few rows are expanded to their ancestors. ``has_dir_rows=False``
@@ -47,26 +49,23 @@ def prune_plan(
     holders = (
         inventory.select(
             "dir_name",
-            base.alias("base"),
             F.when(is_file, _parent(F.col("path"))).otherwise(F.col("path")).alias("holder"),
             (is_file & ~going).alias("stays"),
         )
-        .groupBy("dir_name", "base", "holder")
+        .groupBy("dir_name", "holder")
         .agg(F.bool_or("stays").alias("stays"))
     )
     emptied = (
-        holders.select(
-            "dir_name", "base", "stays", F.explode(_ancestors(F.col("holder"), F.col("base"))).alias("path")
-        )
-        .groupBy("dir_name", "base", "path")
+        holders.select("dir_name", "stays", F.explode(_ancestors(F.col("holder"), base)).alias("path"))
+        .groupBy("dir_name", "path")
         .agg(F.bool_or("stays").alias("stays"))
         .where(~F.col("stays"))
-        .select("dir_name", "path", (_levels(F.col("path")) - _levels(F.col("base"))).alias("depth"))
+        .select("dir_name", "path", (_levels(F.col("path")) - _levels(base)).alias("depth"))
     )
     if not has_dir_rows:
         return emptied
     touched = inventory.where(is_file & triggers).select("dir_name").distinct()
-    return emptied.join(touched, "dir_name", "left_semi")
+    return join_root_rows(emptied, touched, "left_semi")
 
 
 def prune_plan_at(

@@ -14,6 +14,7 @@ from shelflife.functions.times import (
     is_retained,
     time_type,
 )
+from shelflife.operators.joins import join_root_rows
 from shelflife.operators.policy import DEFAULTS, overlay
 from shelflife.sources.tables import files_only
 
@@ -43,19 +44,22 @@ def expired_files(
 def expired_by_policy(inventory: DataFrame, policy: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Files older than the window of their own root.
 
-    The smallest window of all policies gives a bound that no expired file can miss. It is a scalar
-    subquery over the policy table, so rows newer than it leave before the join.
+    Cutoffs are computed once per policy row. The latest of them is a bound no expired file can miss; as a
+    scalar subquery it reaches the reader, so newer rows leave before the join. The join carries no hint:
+    the policy side is broadcast only while it is small, beyond that AQE splits a root with most files.
     """
-    known = overlay(policy).select("dir_name", "retention_hours")
-    default = F.lit(DEFAULTS["retention_hours"])
     now = as_of_literal(as_of, time_type(inventory))
-    smallest = known.agg(F.least(F.min("retention_hours"), default).alias("hours")).scalar()
+    default = F.lit(DEFAULTS["retention_hours"])
+    known = overlay(policy).select(
+        "dir_name", "retention_hours", cutoff(now, F.col("retention_hours")).alias("_cutoff")
+    )
+    latest = known.agg(F.greatest(F.max("_cutoff"), cutoff(now, default)).alias("latest")).scalar()
+    candidates = files_only(inventory).where(F.col("mtime") < latest)
     return (
-        files_only(inventory)
-        .where(is_expired(F.col("mtime"), now, smallest))
-        .join(known, "dir_name", "left")
+        join_root_rows(candidates, known, "left")
+        .where(F.col("mtime") < F.coalesce("_cutoff", cutoff(now, default)))
         .withColumn("retention_hours", F.coalesce("retention_hours", default))
-        .where(is_expired(F.col("mtime"), now, F.col("retention_hours")))
+        .drop("_cutoff")
     )
 
 

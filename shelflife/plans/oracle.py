@@ -13,7 +13,7 @@ EVENTS_AGE = "date_diff('microsecond', {0}, TIMESTAMP '2024-01-31 00:00:00') / 3
 ORDERS_INVENTORY = """inv AS (
   SELECT o_orderpriority AS dir_name,
          o_orderpriority || '/' || o_custkey || '/' || o_orderkey AS path,
-         floor(o_totalprice)::BIGINT * o_orderkey AS size_bytes, o_orderdate AS mtime,
+         floor(o_totalprice)::BIGINT * (o_orderkey % 4096) AS size_bytes, o_orderdate AS mtime,
          false AS is_dir, true AS stat_ok
   FROM orders)"""
 ORDERS_CUTOFF = "(TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 8760 HOUR)"
@@ -131,7 +131,7 @@ SELECT stats.*, files, bytes FROM stats LEFT JOIN sums USING (dir_name)""",
 SELECT dir_name, path, size_bytes, mtime FROM inv WHERE mtime < {EVENTS_CUTOFF}""",
     "expired_by_policy": f"""WITH {POLICY},
 inv AS (
-  SELECT o_custkey::VARCHAR AS dir_name, floor(o_totalprice)::BIGINT * o_orderkey AS size_bytes,
+  SELECT o_custkey::VARCHAR AS dir_name, floor(o_totalprice)::BIGINT * (o_orderkey % 4096) AS size_bytes,
          o_orderdate AS mtime
   FROM orders),
 known AS (SELECT inv.*, coalesce(retention_hours, 24) AS retention_hours FROM inv LEFT JOIN policy USING (dir_name))

@@ -31,14 +31,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Views over the driver tables.
 
 
-def events_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_inventory(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     folder = F.concat("event_type", F.lit("/"), F.col("user_id").cast("string"))
     path = F.concat(folder, F.lit("/"), F.col("event_id").cast("string"), F.lit(".log"))
-    return table_inventory(_table(spark, sf_dir, "events"), "event_type", path, F.octet_length("props"), "ts")
+    events = _table(spark, sf_dir, "events")
+    return table_inventory(events, "event_type", path, F.octet_length("props"), "ts", keep)
 
 
 def _order_size() -> Column:
-    return F.floor("o_totalprice").cast("bigint") * F.col("o_orderkey")
+    """0 bytes to some GB, bounded per row so that sums stay in range at any scale."""
+    return F.floor("o_totalprice").cast("bigint") * (F.col("o_orderkey") % 4096)
 
 
 def orders_inventory(spark: SparkSession, sf_dir: str, dir_name: Column | None = None) -> DataFrame:
@@ -147,9 +149,8 @@ def stats_missing_root(spark, sf_dir):
 
 def _with_unreadable(spark, sf_dir):
     """Entries whose stat failed (no size, no time), and some whose size alone is unknown."""
-    serial = F.regexp_extract("path", "([0-9]+)[.]log$", 1).cast("bigint")
-    failed, sizeless = serial % 7 == 0, serial % 11 == 0
-    return events_inventory(spark, sf_dir).withColumns(
+    failed, sizeless = F.col("event_id") % 7 == 0, F.col("event_id") % 11 == 0
+    return events_inventory(spark, sf_dir, keep=["event_id"]).withColumns(
         {
             "size_bytes": F.when(~failed & ~sizeless, F.col("size_bytes")),
             "mtime": F.when(~failed, F.col("mtime")),

@@ -135,18 +135,19 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
     """
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folders = existing_roots(spark, roots)
-    level = 0
-    while not folders.isEmpty():
+    level, known = 0, folders.count()
+    while known:
         listing = write_once(
-            folders.repartition(tasks).mapInPandas(_list_folders(ROWS_PER_BATCH), LISTING_SCHEMA),
+            folders.repartition(min(tasks, known)).mapInPandas(_list_folders(ROWS_PER_BATCH), LISTING_SCHEMA),
             f"{run_dir}/listing/level={level}",
         )
         folders = listing.where(F.col("kind") == "dir").select("dir_name", "path")
-        level += 1
+        level, known = level + 1, folders.count()
     if level == 0:
         return spark.createDataFrame([], INVENTORY_SCHEMA)
     entries = spark.read.schema(LISTING_SCHEMA).parquet(f"{run_dir}/listing").drop("level")
-    parts = max(tasks, math.ceil(entries.count() / STATS_PER_TASK))
+    total = entries.count()
+    parts = max(min(tasks, total), math.ceil(total / STATS_PER_TASK), 1)
     measured = entries.repartition(parts).mapInPandas(
         _measure(),
         "dir_name string, path string, size_bytes bigint, mtime_micros bigint, is_dir boolean, stat_ok boolean",

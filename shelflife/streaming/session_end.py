@@ -14,6 +14,14 @@ from shelflife.operators.policy import DEFAULTS
 # Sessions of one partition are merged before the shuffle, so a user with most of the events sends one
 # row per session and task, not one per event.
 LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+# Open sessions are kept outside the heap and on disk, so their number is not bounded by memory.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+STREAM_SETTINGS = {
+    LOCAL_MERGE: "true",
+    STATE_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    CHANGELOG: "true",
+}
 
 
 def closed_sessions(activity: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:
@@ -73,9 +81,10 @@ def run_on_session_end(
         ).write.mode("overwrite").parquet(f"{out_dir}/runs/{part}")
 
     spark = sessions.sparkSession
-    before = spark.conf.get(LOCAL_MERGE, "false")
-    spark.conf.set(LOCAL_MERGE, "true")
+    before = {name: spark.conf.get(name, None) for name in STREAM_SETTINGS}
     try:
+        for name, value in STREAM_SETTINGS.items():
+            spark.conf.set(name, value)
         # The query takes a copy of the session's settings when it starts.
         return (
             sessions.writeStream.outputMode("append")
@@ -85,4 +94,8 @@ def run_on_session_end(
             .start()
         )
     finally:
-        spark.conf.set(LOCAL_MERGE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)

@@ -11,10 +11,9 @@ from shelflife.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    shared = tmp_path_factory.mktemp("shared")
+def spark():
     # Four attempts per task, so that tests can lose some.
-    session = local_session("8,4", "tests", **{"spark.checkpoint.dir": str(shared)})
+    session = local_session("8,4", "tests")
     yield session
     session.stop()
 

@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelflife.operators.joins import join_root_rows
+
+THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get(THRESHOLD)
+    spark.conf.set(THRESHOLD, "-1")
+    yield
+    spark.conf.set(THRESHOLD, before)
+
+
+def frames(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("dir_name"),
+        F.col("id").cast("string").alias("path"),
+    )
+    per_root = spark.range(40).select(F.col("id").cast("string").alias("dir_name"), (F.col("id") * 2).alias("v"))
+    return rows, per_root.union(spark.sql("SELECT 'hot', 7L"))
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi", "inner"])
+def test_split_join_gives_the_plain_join(spark, no_broadcast, how):
+    rows, per_root = frames(spark)
+    found = join_root_rows(rows, per_root, how)
+    assert "_part" not in found.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.join(per_root, "dir_name", how).collect()))
+
+
+def test_hot_root_is_spread(spark, no_broadcast):
+    rows, per_root = frames(spark)
+    parts = join_root_rows(rows, per_root, "left").select("dir_name", F.spark_partition_id().alias("p"))
+    assert "hashpartitioning(dir_name" in parts._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = join_root_rows(rows, per_root, "left").select("dir_name", F.spark_partition_id().alias("p"))
+        assert spread.where("dir_name = 'hot'").select("p").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_small_side_is_broadcast(spark):
+    rows, per_root = frames(spark)
+    plan = join_root_rows(rows, per_root, "left")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
