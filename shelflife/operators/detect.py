@@ -64,8 +64,18 @@ BUILTIN_DETECTORS = (
 
 
 def _can_match(text: Column, detector: Detector | BatchDetector) -> Column:
-    tests = [F.contains(text, F.lit(part)) for part in detector.literals]
-    return reduce(Column.__or__, tests) if tests else text.isNotNull()
+    """Whether a text holds a literal of the detector.
+
+    A mark that all of several literals share is tested first: the search for it ends at once where it is
+    frequent, and saves a search per literal where it does not occur.
+    """
+    if not detector.literals:
+        return text.isNotNull()
+    any_literal = reduce(Column.__or__, [F.contains(text, F.lit(part)) for part in detector.literals])
+    marks = sorted(c for c in set.intersection(*map(set, detector.literals)) if not c.isalnum())
+    if len(detector.literals) == 1 or not marks:
+        return any_literal
+    return F.contains(text, F.lit(marks[0])) & any_literal
 
 
 def _run_batch(find: Callable) -> Callable:
