@@ -30,15 +30,19 @@ def _unlink(roots: dict[str, str], resumed: bool):
 
     def run(batches):
         import os
+        from functools import lru_cache
 
         from pyspark import TaskContext
 
         again = resumed or TaskContext.get().attemptNumber() > 0
         bases = {name: os.path.realpath(base) + os.sep for name, base in known.items()}
 
+        @lru_cache(maxsize=10_000)
+        def inside(folder, base):
+            return base is not None and (os.path.realpath(folder) + os.sep).startswith(base)
+
         def attempt(dir_name, path, micros):
-            base = bases.get(dir_name)
-            if base is None or not (os.path.realpath(os.path.dirname(path)) + os.sep).startswith(base):
+            if not inside(os.path.dirname(path), bases.get(dir_name)):
                 return False, "outside its root"
             try:
                 if os.stat(path).st_mtime_ns // 1000 != micros:

@@ -39,7 +39,8 @@ CONTENT = """content AS (
   UNION ALL SELECT 'conversations', conv_id || '/' || turn, text FROM conversations)"""
 DOCUMENTS = "content AS (SELECT source AS dir_name, doc_id::VARCHAR AS item, text FROM documents)"
 PLANTED = """content AS (
-  SELECT source AS dir_name, doc_id::VARCHAR AS item, text || chr(10) || CASE doc_id % 6
+  SELECT source AS dir_name, doc_id::VARCHAR AS item, lang || '/' || source || '/' || doc_id || '.txt' AS path,
+         lang, text || chr(10) || CASE doc_id % 6
       WHEN 0 THEN 'sk-' || substr(md5(doc_id::VARCHAR), 1, 24)
       WHEN 1 THEN 'ghp_' || md5(doc_id::VARCHAR) || 'abcd'
       WHEN 2 THEN 'AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16))
@@ -95,6 +96,13 @@ ORDERS_PURGE = f"""{ORDERS_INVENTORY}, sums AS (
   SELECT dir_name, count(*) AS files, sum(size_bytes)::BIGINT AS bytes
   FROM inv WHERE mtime < {ORDERS_CUTOFF} GROUP BY dir_name)"""
 
+# Documents as files, a minute old per character.
+TREE = """files AS (
+  SELECT lang AS dir_name, lang || '/' || source AS folder, lang || '/' || source || '/' || doc_id || '.txt' AS path,
+         strlen(text)::BIGINT AS size_bytes, TIMESTAMP '2024-01-31 00:00:00' - to_minutes(n_chars) AS mtime,
+         n_chars > 600 AS expired
+  FROM documents)"""
+
 # Sessions by gaps and islands; closed once the watermark, kept in milliseconds, has passed the end.
 SESSIONS = """marked AS (
   SELECT user_id, ts,
@@ -119,8 +127,8 @@ SELECT dir_name, coalesce(file_count, 0) AS file_count, coalesce(total_size, 0)
 FROM roots LEFT JOIN stats USING (dir_name)""",
     "unreadable_entries": f"""WITH inv AS (
   SELECT event_type AS dir_name,
-         CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN strlen(props)::BIGINT END AS size_bytes,
-         CASE WHEN event_id % 7 <> 0 THEN ts END AS mtime
+         CASE WHEN value >= 10 AND value <= 100 THEN strlen(props)::BIGINT END AS size_bytes,
+         CASE WHEN value >= 10 THEN ts END AS mtime
   FROM events),
 {_stats(EVENTS_CUTOFF, EVENTS_AGE)},
 sums AS (
@@ -199,6 +207,27 @@ FROM found CROSS JOIN (VALUES (false), (true)) AS modes(dry_run)""",
          (count(*) FILTER (WHERE o_orderdate < {ORDERS_CUTOFF}))::BIGINT AS expired
   FROM orders GROUP BY ALL)
 SELECT *, CASE expired WHEN 0 THEN 'keep' WHEN rows THEN 'drop' ELSE 'rewrite' END AS action FROM counted""",
+    "table_purge_applied": f"""SELECT *, year(o_orderdate)::INTEGER AS order_year FROM orders
+WHERE o_orderdate IS NULL OR o_orderdate >= {ORDERS_CUTOFF}""",
+    "tree_inventory": f"""WITH {TREE}
+SELECT dir_name, path, size_bytes, mtime, false AS is_dir, true AS stat_ok FROM files
+UNION ALL SELECT DISTINCT dir_name, folder, NULL::BIGINT, NULL::TIMESTAMP, true, true FROM files""",
+    "tree_status": f"""WITH {TREE}
+SELECT dir_name, count(*) AS file_count, sum(size_bytes)::BIGINT AS total_size,
+       (count(*) FILTER (WHERE expired))::BIGINT AS violations,
+       date_diff('microsecond', min(mtime), TIMESTAMP '2024-01-31 00:00:00') / 3.6e9 AS max_age_hours
+FROM files GROUP BY dir_name""",
+    "tree_clean": f"""WITH {TREE},
+sums AS (
+  SELECT dir_name, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM files WHERE expired GROUP BY dir_name),
+emptied AS (SELECT dir_name, folder FROM files GROUP BY dir_name, folder HAVING bool_and(expired)),
+removed AS (SELECT dir_name, count(*) AS folders FROM emptied GROUP BY dir_name)
+SELECT dir_name, files, bytes,
+       dir_name || ': Deleted ' || files || ' files (' || {_size('bytes')} || ' freed)' AS message,
+       coalesce(folders, 0) AS folders
+FROM sums LEFT JOIN removed USING (dir_name)""",
+    "tree_scan": f"""WITH {PLANTED}, {_findings(BUILTIN, 'lang, path')}
+SELECT lang AS dir_name, path, category, position, secret FROM findings""",
     "prune_dirs": """WITH files AS (
   SELECT event_type AS root, event_type || '/' || user_id AS folder,
          ts < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR AS gone

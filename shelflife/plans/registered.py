@@ -6,20 +6,22 @@ import datetime as dt
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from shelflife.functions.formats import format_size
 from shelflife.functions.messages import session_message
-from shelflife.functions.times import to_utc_wall_clock
+from shelflife.functions.times import as_of_literal, to_utc_wall_clock
 from shelflife.functions.times import as_of_literal, is_expired
 from shelflife.operators import detect, policy, prune, purge, retention, stats
-from shelflife.plans.clean import plan_run
-from shelflife.session import shared_dir
+from shelflife.plans import scan, status
+from shelflife.plans.clean import clean_trees, plan_run
+from shelflife.session import mounted_path, shared_dir
 from shelflife.sources.tables import table_content, table_inventory, union_roots
+from shelflife.sources.tree import walk_inventory
 from shelflife.streaming.session_end import closed_sessions, run_on_session_end
 
 EVENTS_AT, EVENTS_HOURS = dt.datetime(2024, 1, 31), 168
-PRUNE_HOURS = 24
+PRUNE_HOURS, TREE_HOURS = 24, 10
 ORDERS_AT, ORDERS_HOURS = dt.datetime(2001, 8, 2), 8760
 SESSION_GAP, WATERMARK_DELAY = "6 hours", "1 hour"
 
@@ -95,8 +97,8 @@ def content_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def planted_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole document followed by one token made from its id; each sixth is too short to count."""
+def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document followed by one token made from its id; one kind is too short to count."""
     kind = F.col("doc_id") % 6
     digest = F.md5(F.col("doc_id").cast("string"))
     token = (
@@ -107,10 +109,48 @@ def planted_content(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.concat(F.lit("phc_"), digest))
         .otherwise(F.lit("sk-short"))
     )
-    documents = _table(spark, sf_dir, "documents").withColumn(
-        "text", F.concat("text", F.lit("\n"), token)
+    return _table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit("\n"), token))
+
+
+def planted_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_content(planted_documents(spark, sf_dir), "source", "doc_id", "text")
+
+
+def document_tree(documents: DataFrame) -> dict[str, str]:
+    """Every document as a file ``lang/source/id.txt``, a minute old per character; returns the roots.
+
+    The executors write the files to the shared folder. Writing one again gives the same file.
+    """
+    spark = documents.sparkSession
+    base = mounted_path(shared_dir(spark, "tree"))
+    micros = F.unix_micros(as_of_literal(EVENTS_AT, T.TimestampType())) - F.col("n_chars") * 60_000_000
+
+    def write(batches):
+        import os
+
+        import pandas as pd
+
+        for pdf in batches:
+            for path, text, at in zip(pdf["path"], pdf["text"], pdf["micros"]):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as file:
+                    file.write(text.encode())
+                os.utime(path, ns=(at * 1000, at * 1000))
+            yield pd.DataFrame({"files": [len(pdf)]})
+
+    path = F.concat(
+        F.lit(base + "/"), F.concat_ws("/", "lang", "source", "doc_id"), F.lit(".txt")
     )
-    return table_content(documents, "source", "doc_id", "text")
+    rows = documents.select(path.alias("path"), "text", micros.alias("micros"))
+    rows.mapInPandas(write, "files bigint").agg(F.sum("files")).first()
+    langs = documents.select("lang").distinct().collect()
+    return {row["lang"]: f"{base}/{row['lang']}" for row in langs}
+
+
+def _below(roots: dict[str, str]) -> Column:
+    """A path of a tree from the name of its root on."""
+    base = next(iter(roots.values())).rsplit("/", 1)[0]
+    return F.substring("path", len(base) + 2, 1 << 30)
 
 
 # A caller's own detectors: an assigned 40-digit token, in plain text and in markup.
@@ -149,8 +189,8 @@ def stats_missing_root(spark, sf_dir):
 
 def _with_unreadable(spark, sf_dir):
     """Entries whose stat failed (no size, no time), and some whose size alone is unknown."""
-    failed, sizeless = F.col("event_id") % 7 == 0, F.col("event_id") % 11 == 0
-    return events_inventory(spark, sf_dir, keep=["event_id"]).withColumns(
+    failed, sizeless = F.col("value") < 10, F.col("value") > 100
+    return events_inventory(spark, sf_dir, keep=["value"]).withColumns(
         {
             "size_bytes": F.when(~failed & ~sizeless, F.col("size_bytes")),
             "mtime": F.when(~failed, F.col("mtime")),
@@ -271,6 +311,15 @@ def table_purge_partitions(spark, sf_dir):
     return purge.partition_actions(orders, "order_year", ORDERS_AT, ORDERS_HOURS, "o_orderdate")
 
 
+def table_purge_applied(spark, sf_dir):
+    """Orders written by year, purged in place, and what is left of them."""
+    path = shared_dir(spark, "orders")
+    orders = _table(spark, sf_dir, "orders").withColumn("order_year", F.year("o_orderdate"))
+    orders.write.partitionBy("order_year").parquet(path)
+    purge.purge_table(spark, path, "order_year", ORDERS_AT, ORDERS_HOURS, "o_orderdate")
+    return spark.read.parquet(path)
+
+
 def prune_dirs(spark, sf_dir):
     """Files older than a day go; each user folder also has a sub-folder that was empty before."""
     files = events_inventory(spark, sf_dir)
@@ -293,6 +342,40 @@ def prune_dirs(spark, sf_dir):
     )
 
 
+# File trees made of the documents.
+
+
+def tree_inventory(spark, sf_dir):
+    roots = document_tree(_table(spark, sf_dir, "documents"))
+    found = walk_inventory(spark, roots, shared_dir(spark, "walk"))
+    # A folder's own time and size are no business of a purge.
+    time = F.when(~F.col("is_dir"), to_utc_wall_clock(F.col("mtime")))
+    return found.select("dir_name", _below(roots).alias("path"), "size_bytes", time.alias("mtime"), "is_dir", "stat_ok")
+
+
+def tree_status(spark, sf_dir):
+    roots = document_tree(_table(spark, sf_dir, "documents"))
+    return status.tree_status(spark, roots, EVENTS_AT, TREE_HOURS).stats
+
+
+def tree_clean(spark, sf_dir):
+    """A real purge: per root the files deleted, their bytes, and the folders removed."""
+    roots = document_tree(_table(spark, sf_dir, "documents"))
+    run = clean_trees(spark, roots, EVENTS_AT, TREE_HOURS)
+    removed = run.removed.groupBy("dir_name").agg(F.count_if("removed").alias("folders"))
+    return run.summary.join(removed, "dir_name", "left").withColumn(
+        "folders", F.coalesce("folders", F.lit(0).cast("bigint"))
+    )
+
+
+def tree_scan(spark, sf_dir):
+    roots = document_tree(planted_documents(spark, sf_dir))
+    findings = scan.scan_trees(spark, roots).findings
+    return findings.withColumnRenamed("item", "path").select(
+        "dir_name", _below(roots).alias("path"), "category", "position", "secret"
+    )
+
+
 # Reports.
 
 
@@ -402,7 +485,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_message": run_message,
     "table_purge_retained": table_purge_retained,
     "table_purge_partitions": table_purge_partitions,
+    "table_purge_applied": table_purge_applied,
     "prune_dirs": prune_dirs,
+    "tree_inventory": tree_inventory,
+    "tree_status": tree_status,
+    "tree_clean": tree_clean,
+    "tree_scan": tree_scan,
     "format_size": format_sizes,
     "dir_stats": dir_stats,
     "dir_stats_orders": dir_stats_orders,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/shelflife/{purpose}-{uuid.uuid4().hex}"
 
 
+def mounted_path(uri: str) -> str:
+    """The path by which tasks open files of a folder on a mount every executor sees."""
+    parts = urlsplit(uri)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"files are read and deleted through a mount, not through {parts.scheme}://")
+    return unquote(parts.path) if parts.scheme else uri
+
+
 def is_written(spark: SparkSession, path: str) -> bool:
     """True if a write job has committed ``path``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflife.session import write_once
+from shelflife.session import mounted_path, write_once
 
 # The roots a run covers unless told otherwise.
 DEFAULT_ROOTS = [
@@ -28,7 +28,8 @@ ROWS_PER_BATCH = 10_000
 
 def roots_below(base: str, names: list[str] | None = None) -> dict[str, str]:
     """Root names and their paths below a base folder that every executor sees."""
-    return {name: f"{base.rstrip('/')}/{name}" for name in names or DEFAULT_ROOTS}
+    base = mounted_path(base).rstrip("/")
+    return {name: f"{base}/{name}" for name in names or DEFAULT_ROOTS}
 
 
 def _list_folders(rows_per_batch: int):
