@@ -181,14 +181,12 @@ def purge_table(
     Partly expired partitions are rewritten by dynamic partition overwrite, wholly expired ones are
     dropped as folders without rewriting a row, and the others are not touched. Only the list of touched
     partitions comes to the driver, which lists partitions anyway. Each step leaves a table on which the
-    next call goes on, so an interrupted purge is simply run again.
+    next call goes on, so an interrupted purge is simply run again. No other job may write to the touched
+    partitions meanwhile. :func:`partition_actions` is the dry run.
     """
     table = spark.read.parquet(path)
-    taken = [
-        r
-        for r in partition_actions(table, partition, as_of, hours, time, dated).collect()
-        if r["action"] != "keep"
-    ]
+    actions = partition_actions(table, partition, as_of, hours, time, dated)
+    taken = actions.where(F.col("action") != "keep").collect()
     rewritten = [r[partition] for r in taken if r["action"] == "rewrite"]
     if rewritten:
         kept = retained_rows(table.where(_in_partitions(F.col(partition), rewritten)), as_of, hours, time)
