@@ -144,10 +144,12 @@ def find_secrets(
 def merge_findings(findings: DataFrame) -> DataFrame:
     """Each secret of an item once per category, whichever detectors reported it.
 
-    ``position`` is that of its first report.
+    ``position``, and ``part`` where items are read in parts, are those of its first report.
     """
-    keys = [c for c in findings.columns if c != "position"]
-    return findings.groupBy(*keys).agg(F.min("position").alias("position"))
+    place = [c for c in ("part", "position") if c in findings.columns]
+    keys = [c for c in findings.columns if c not in place]
+    first = findings.groupBy(*keys).agg(F.min(F.struct(*place)).alias("_first"))
+    return first.select(*keys, *[F.col("_first")[c].alias(c) for c in place])
 
 
 def scan_with(

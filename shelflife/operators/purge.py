@@ -122,7 +122,10 @@ def remove_folders(plan: DataFrame, run_dir: str) -> DataFrame:
     spark = plan.sparkSession
     _forbid_speculation(spark)
     staged = write_once(
-        plan.select("dir_name", "path", "depth"), f"{run_dir}/prune", maxRecordsPerFile=FILES_PER_STAGED_FILE
+        plan.select("dir_name", "path", "depth"),
+        f"{run_dir}/prune",
+        partition_by=("depth",),
+        maxRecordsPerFile=FILES_PER_STAGED_FILE,
     )
     resumed = not _first_entry(spark, f"{run_dir}/pruning")
     deepest = staged.agg(F.max("depth")).first()[0] or 0

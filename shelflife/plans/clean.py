@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelflife.operators.policy import DEFAULTS
 from shelflife.operators.prune import prune_plan
 from shelflife.operators.purge import purge_files, remove_folders
-from shelflife.operators.retention import purge_plan
+from shelflife.operators.retention import expired_flag, purge_plan
 from shelflife.operators.stats import purge_summary, purge_total
 from shelflife.session import shared_dir
 from shelflife.sources.tree import walk_inventory
@@ -63,15 +63,21 @@ def clean_trees(
         summary = purge_summary(plan, dry_run)
         return CleanRun(plan, None, None, summary, purge_total(summary, hours, dry_run))
     outcome = purge_files(plan, roots, run_dir)
-    removed = remove_folders(_emptied(inventory, outcome, roots), run_dir)
+    removed = remove_folders(_emptied(inventory, outcome, roots, as_of, hours), run_dir)
     summary = purge_summary(outcome, dry_run)
     return CleanRun(plan, outcome, removed, summary, purge_total(summary, hours, dry_run))
 
 
-def _emptied(inventory: DataFrame, outcome: DataFrame, roots: dict[str, str]) -> DataFrame:
-    """The prune plan after a purge: files whose deletion failed still hold their directories."""
-    tried = outcome.select("dir_name", "path", "deleted")
+def _emptied(
+    inventory: DataFrame, outcome: DataFrame, roots: dict[str, str], as_of: dt.datetime, hours: int
+) -> DataFrame:
+    """The prune plan after a purge: files whose deletion failed still hold their directories.
+
+    What was not expired comes from the inventory and what was from the outcome, so they need no join.
+    """
     base = F.create_map(*[F.lit(x) for pair in roots.items() for x in pair])[F.col("dir_name")]
-    known = inventory.join(tried, ["dir_name", "path"], "left")
+    others = inventory.where(F.col("is_dir") | ~F.coalesce(expired_flag(inventory, as_of, hours), F.lit(False)))
+    tried = outcome.select("dir_name", "path", F.lit(False).alias("is_dir"), "deleted")
+    known = others.select("dir_name", "path", "is_dir", F.lit(None).cast("boolean").alias("deleted")).unionByName(tried)
     # A root with expired files is swept even if none of them could be deleted.
     return prune_plan(known, F.col("deleted"), base, expired=F.col("deleted").isNotNull())

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # The default, INT96, carries no statistics, so a cutoff could skip no row group of a written table.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # Rows of a text column decoded at a time; 4096 long texts would fill a task's memory.
+    "spark.sql.parquet.columnarReaderBatchSize": "1024",
     # Tasks that delete files must not run twice at a time.
     "spark.speculation": "false",
     "spark.ui.enabled": "false",
@@ -69,7 +71,7 @@ def drop_uri(spark: SparkSession, uri: str) -> bool:
     return fs.delete(target, True)
 
 
-def write_once(df: DataFrame, path: str, **options) -> DataFrame:
+def write_once(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), **options) -> DataFrame:
     """Write ``df`` to ``path`` unless an earlier attempt of the run committed it, then read it.
 
     A stage read back from a written table has no lineage to recompute, so a lost executor
@@ -77,5 +79,5 @@ def write_once(df: DataFrame, path: str, **options) -> DataFrame:
     """
     spark = df.sparkSession
     if not is_written(spark, path):
-        df.write.mode("overwrite").options(**options).parquet(path)
+        df.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

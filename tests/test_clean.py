@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from shelflife.operators import detect
 from shelflife.operators.purge import FILE_OUTCOME, _unlink, purge_files, remove_folders
 from shelflife.operators.retention import purge_plan
 from shelflife.plans.clean import clean_trees
@@ -195,6 +196,17 @@ def test_scan_of_trees(spark, base, tmp_path):
     for n, split in enumerate((None, 1000)):
         scan = scan_trees(spark, roots_below(str(base)), run_dir=str(tmp_path / str(n)), split_bytes=split)
         assert [tuple(r) for r in scan.summary.collect()] == [("debug", "AWS Keys", 5, 2)]
+        numbers = [detect.Detector("Lines", "(again|line) ", group=1)]
+        merged = scan_trees(
+            spark, roots_below(str(base)), numbers, run_dir=str(tmp_path / f"m{n}"), split_bytes=split
+        )
+        found = sorted((os.path.basename(r["item"]), r["category"], r["secret"]) for r in merged.findings.collect())
+        assert found == [
+            (".env", "AWS Keys", token),
+            (".env", "Lines", "again"),
+            ("big", "AWS Keys", token),
+            ("big", "Lines", "line"),
+        ]
         advice = {r["dir_name"]: (r["matches"], r["cleanup_advised"]) for r in scan.advice.collect()}
         assert advice["debug"] == (5, True) and advice["todos"] == (0, False) and "plans" not in advice
 
