@@ -19,24 +19,21 @@ TYPES = {
 }
 
 
+def _typed(name: str, column: Column) -> Column:
+    return column.cast(TYPES[name]) if name in TYPES else column
+
+
 def overlay(policy: DataFrame, defaults: dict | None = None) -> DataFrame:
     """Stored values win, absent columns and NULLs take the default, unknown columns are kept."""
     filled = {}
     for name, value in {**DEFAULTS, **(defaults or {})}.items():
-        default = F.lit(value).cast(TYPES[name]) if name in TYPES else F.lit(value)
-        stored = F.col(name).cast(TYPES[name]) if name in TYPES and name in policy.columns else None
-        if stored is None and name in policy.columns:
-            stored = F.col(name)
-        filled[name] = default if stored is None else F.coalesce(stored, default)
+        stored = [_typed(name, F.col(name))] if name in policy.columns else []
+        filled[name] = F.coalesce(*stored, _typed(name, F.lit(value)))
     return policy.withColumns(filled)
 
 
 def policies_for(roots: DataFrame, policy: DataFrame, defaults: dict | None = None) -> DataFrame:
-    """The policy of every root, defaults where none is stored.
-
-    The join carries no hint: Catalyst broadcasts the policy side only while its size is below
-    ``spark.sql.autoBroadcastJoinThreshold``; beyond it the join sorts, and AQE splits hot roots.
-    """
+    """The policy of every root, defaults where none is stored. Both sides have one row per root."""
     return overlay(roots.join(policy, "dir_name", "left"), defaults)
 
 

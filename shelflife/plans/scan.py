@@ -34,11 +34,14 @@ def scan_content(
     extra: Sequence[Detector | BatchDetector] = (),
     builtin: Sequence[Detector] = BUILTIN_DETECTORS,
 ) -> Scan:
-    """Findings, counts and advice. The findings are written once, so the text is read once."""
+    """Findings, counts and advice. The findings are written once, so the text is read once.
+
+    They are rebalanced before the write, since most tasks of a large scan find little or nothing.
+    """
     findings = find_secrets(content, [*builtin, *extra])
     if extra:
         findings = merge_findings(findings)
-    findings = write_once(findings, f"{run_dir}/findings")
+    findings = write_once(findings.hint("rebalance"), f"{run_dir}/findings")
     return Scan(findings, summarize(findings), recommend(roots.select("dir_name"), findings))
 
 

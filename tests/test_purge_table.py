@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,19 @@ def test_dated_partitions(spark, tmp_path):
         "2025-06-14": "rewrite", "2025-06-13": "drop", "2025-06-12": "drop", "2025-06-11": "drop",
     }
     assert spark.read.parquet(path).count() == 25
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_tables(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    path = str(tmp_path / "t")
+    data = []
+    for n in range(rng.randrange(50, 400)):
+        at = None if rng.random() < 0.05 else AS_OF - dt.timedelta(hours=rng.choice([1, 23, 24, 25, 300]))
+        data.append((n, at, rng.randrange(12)))
+    schema = "id bigint, at timestamp_ntz, part int"
+    spark.createDataFrame(data, schema).repartition(3).write.partitionBy("part").parquet(path)
+    purge_table(spark, path, "part", AS_OF, 24, "at")
+    limit = AS_OF - dt.timedelta(hours=24)
+    expected = sorted((n, str(part)) for n, at, part in data if at is None or at >= limit)
+    assert rows(spark, path) == expected
