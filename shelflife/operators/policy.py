@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelflife.functions.messages import retention_message
+
 # What applies where a policy says nothing.
 DEFAULTS = {
     "retention_hours": 24,
@@ -61,12 +63,9 @@ def is_valid_retention(hours: Column) -> Column:
 
 def update_outcome(updates: DataFrame) -> DataFrame:
     """Each requested update with whether it is accepted and the line reported for it."""
-    accepted = is_valid_retention(F.col("retention_hours"))
-    hours = F.coalesce(F.col("retention_hours").cast("string"), F.lit("NULL"))
-    message = F.when(
-        accepted, F.concat(F.lit("Retention period set to "), hours, F.lit(" hours"))
-    ).otherwise(F.concat(F.lit("Invalid hours value: "), hours))
-    return updates.withColumns({"accepted": accepted, "message": message})
+    hours = F.col("retention_hours")
+    accepted = is_valid_retention(hours)
+    return updates.withColumns({"accepted": accepted, "message": retention_message(accepted, hours)})
 
 
 def set_retention(policy: DataFrame, updates: DataFrame) -> DataFrame:

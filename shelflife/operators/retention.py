@@ -31,8 +31,9 @@ def expired_files(
 ) -> DataFrame:
     """Files strictly older than the cutoff.
 
-    With constant hours the predicate reaches the reader. ``partition_date`` names a date partition
-    column derived from the time; the bound it implies prunes whole partitions before any file opens.
+    With constant hours the predicate reaches the reader. ``partition_date`` names a partition column that
+    holds the date of the time (in the session's zone); the bound it implies prunes whole partitions
+    before any file opens.
     """
     out = files_only(inventory).where(expired_flag(inventory, as_of, hours))
     if partition_date:
