@@ -266,7 +266,8 @@ def policy_update_outcome(spark, sf_dir):
 
 
 def purge_plan(spark, sf_dir):
-    return retention.purge_plan(orders_inventory(spark, sf_dir), ORDERS_AT, ORDERS_HOURS, True)
+    dry_run = policy.effective_dry_run(F.lit(False), F.lit(True))
+    return retention.purge_plan(orders_inventory(spark, sf_dir), ORDERS_AT, ORDERS_HOURS, dry_run)
 
 
 def purge_summary(spark, sf_dir):

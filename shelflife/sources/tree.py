@@ -131,12 +131,12 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
     listing is written below ``run_dir`` before the next level reads it, so neither the driver nor a
     single task ever holds a subtree, however lopsided the tree. Measuring, the slow call per file, is a
     separate pass spread evenly over all files, also those of one giant flat folder. Hidden names, empty
-    files and links to files count; links to folders are not followed. A name that is not valid UTF-8 is
+    files and links to files count; links to folders are not followed. A missing root lists nothing. A name that is not valid UTF-8 is
     listed with its bytes escaped and as unreadable, so it is counted and never purged.
     """
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folders = existing_roots(spark, roots)
-    level, known = 0, folders.count()
+    folders = spark.createDataFrame(list(roots.items()), "dir_name string, path string")
+    level, known = 0, len(roots)
     while known:
         listing = write_once(
             folders.repartition(min(tasks, known)).mapInPandas(_list_folders(ROWS_PER_BATCH), LISTING_SCHEMA),
@@ -144,8 +144,6 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
         )
         folders = listing.where(F.col("kind") == "dir").select("dir_name", "path")
         level, known = level + 1, folders.count()
-    if level == 0:
-        return spark.createDataFrame([], INVENTORY_SCHEMA)
     entries = spark.read.schema(LISTING_SCHEMA).parquet(f"{run_dir}/listing").drop("level")
     total = entries.count()
     parts = max(min(tasks, total), math.ceil(total / STATS_PER_TASK), 1)

@@ -25,7 +25,7 @@ STREAM_SETTINGS = {
 
 
 def closed_sessions(activity: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:
-    """Sessions of each key: activity closer than ``gap`` belongs together.
+    """Sessions of each key: activity at most ``gap`` apart belongs together.
 
     On a stream a session comes out once the watermark, ``delay`` behind the latest event, has passed
     its end.
@@ -77,7 +77,10 @@ def run_on_session_end(
         if not settings["session_end_summary"]:
             total = total.withColumn("session_message", F.lit(None).cast("string"))
         total.withColumns(
-            {"as_of": F.timestamp_micros(F.lit(row["at"])), "closed_sessions": F.lit(row["n"])}
+            {
+                "as_of": F.timestamp_micros(F.lit(row["at"])),
+                "closed_sessions": F.lit(row["n"]).cast("bigint"),
+            }
         ).write.mode("overwrite").parquet(f"{out_dir}/runs/{part}")
 
     spark = sessions.sparkSession

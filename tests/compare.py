@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from pathlib import Path
 
 import duckdb
@@ -11,6 +10,14 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
 ).split()
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -32,8 +39,6 @@ def sorted_rows(columns, rows):
 
 
 def same(left, right) -> bool:
-    if isinstance(left, float) and isinstance(right, float):
-        return left == right or math.isclose(left, right, rel_tol=1e-12)
     return type(left) is type(right) and left == right
 
 
@@ -45,6 +50,10 @@ def differences(df, con, sql: str) -> list[str]:
     expected = result.fetchall()
     if sorted(df.columns) != sorted(columns):
         return [f"columns {sorted(df.columns)} != {sorted(columns)}"]
+    wanted = {d[0]: str(d[1]) for d in result.description}
+    types = {name: TYPES.get(kind) for name, kind in df.dtypes}
+    if types != wanted:
+        return [f"types {types} != {wanted}"]
     if len(found) != len(expected):
         return [f"rows {len(found)} != {len(expected)}"]
     pairs = zip(sorted_rows(df.columns, found), sorted_rows(columns, expected))
