@@ -6,8 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-INVENTORY_COLUMNS = ["dir_name", "path", "size_bytes", "mtime", "is_dir", "stat_ok"]
-
 
 def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
