@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from shelflife.sources.tables import files_only
 
 SPLIT_BYTES = 64 * 1024 * 1024
-CONTENT_SCHEMA = "dir_name string, item string, part bigint, text string"
-
-
+TASK_BYTES = 1024 * 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
+CONTENT_SCHEMA = "dir_name string, item string, part bigint, text string"
 
 
 def _read_ranges(split_bytes: int | None, batch_bytes: int):
@@ -52,15 +53,14 @@ def _read_ranges(split_bytes: int | None, batch_bytes: int):
     return run
 
 
-def file_content(
-    inventory: DataFrame, split_bytes: int | None = SPLIT_BYTES, tasks: int | None = None
-) -> DataFrame:
+def file_content(inventory: DataFrame, split_bytes: int | None = SPLIT_BYTES) -> DataFrame:
     """Text of every file of an inventory, as UTF-8 with invalid bytes replaced.
 
     A file larger than ``split_bytes`` is read as several parts by several tasks, each part made of the
     whole lines that start in its byte range, so all text is read exactly once and a detector whose match
     stays on one line finds the same secrets as on the whole file. ``split_bytes=None`` gives one row per
-    file for detectors that span lines. Files that cannot be read are skipped.
+    file for detectors that span lines. Files that cannot be read are skipped. Only paths are shuffled,
+    into tasks of about ``TASK_BYTES`` of text each.
     """
     files = files_only(inventory).where(F.col("stat_ok"))
     last = (
@@ -68,12 +68,12 @@ def file_content(
         if split_bytes is None
         else F.floor(F.greatest(F.col("size_bytes") - 1, F.lit(0)) / split_bytes)
     )
+    total = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
+    spread = int(inventory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(spread, total[0]), math.ceil(total[1] / TASK_BYTES), 1)
     ranges = files.select(
         "dir_name",
         F.col("path").alias("item"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"),
     )
-    spread = int(inventory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(tasks or spread).mapInPandas(
-        _read_ranges(split_bytes, BATCH_BYTES), CONTENT_SCHEMA
-    )
+    return ranges.repartition(tasks).mapInPandas(_read_ranges(split_bytes, BATCH_BYTES), CONTENT_SCHEMA)

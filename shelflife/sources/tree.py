@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelflife.session import mounted_path, write_once
@@ -22,7 +20,7 @@ LISTING_SCHEMA = "dir_name string, path string, kind string"
 INVENTORY_SCHEMA = (
     "dir_name string, path string, size_bytes bigint, mtime timestamp, is_dir boolean, stat_ok boolean"
 )
-STATS_PER_TASK = 50_000
+ENTRIES_PER_FILE = 20_000
 ROWS_PER_BATCH = 10_000
 
 
@@ -130,7 +128,8 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
     The trees are walked one level per job. Each level's folders are spread over the executors, and its
     listing is written below ``run_dir`` before the next level reads it, so neither the driver nor a
     single task ever holds a subtree, however lopsided the tree. Measuring, the slow call per file, is a
-    separate pass spread evenly over all files, also those of one giant flat folder. Hidden names, empty
+    separate pass over the written listing, whose files of bounded row count spread the entries evenly
+    without a shuffle, also those of one giant flat folder. Hidden names, empty
     files and links to files count; links to folders are not followed. A missing root lists nothing. A name that is not valid UTF-8 is
     listed with its bytes escaped and as unreadable, so it is counted and never purged.
     """
@@ -141,13 +140,12 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
         listing = write_once(
             folders.repartition(min(tasks, known)).mapInPandas(_list_folders(ROWS_PER_BATCH), LISTING_SCHEMA),
             f"{run_dir}/listing/level={level}",
+            maxRecordsPerFile=ENTRIES_PER_FILE,
         )
         folders = listing.where(F.col("kind") == "dir").select("dir_name", "path")
         level, known = level + 1, folders.count()
     entries = spark.read.schema(LISTING_SCHEMA).parquet(f"{run_dir}/listing").drop("level")
-    total = entries.count()
-    parts = max(min(tasks, total), math.ceil(total / STATS_PER_TASK), 1)
-    measured = entries.repartition(parts).mapInPandas(
+    measured = entries.mapInPandas(
         _measure(),
         "dir_name string, path string, size_bytes bigint, mtime_micros bigint, is_dir boolean, stat_ok boolean",
     )
