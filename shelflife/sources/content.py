@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelflife.sources.tables import files_only
 
-SPLIT_BYTES = 64 * 1024 * 1024
+SPLIT_BYTES = 16 * 1024 * 1024
 TASK_BYTES = 1024 * 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
 CONTENT_SCHEMA = "dir_name string, item string, part bigint, text string"
@@ -68,9 +68,12 @@ def file_content(inventory: DataFrame, split_bytes: int | None = SPLIT_BYTES) ->
         if split_bytes is None
         else F.floor(F.greatest(F.col("size_bytes") - 1, F.lit(0)) / split_bytes)
     )
-    total = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
+    zero = F.lit(0).cast("bigint")
+    found = files.agg(
+        F.coalesce(F.sum(last + 1), zero).alias("ranges"), F.coalesce(F.sum("size_bytes"), zero).alias("bytes")
+    ).first()
     spread = int(inventory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(min(spread, total[0]), math.ceil(total[1] / TASK_BYTES), 1)
+    tasks = max(min(spread, found["ranges"]), math.ceil(found["bytes"] / TASK_BYTES), 1)
     ranges = files.select(
         "dir_name",
         F.col("path").alias("item"),

@@ -137,3 +137,11 @@ def test_entry_gone_between_listing_and_measuring(spark, base, tmp_path):
     (run_dir / "inventory" / "_SUCCESS").unlink()
     again = walk_inventory(spark, roots_below(str(base)), str(run_dir))
     assert [os.path.basename(r["path"]) for r in again.collect()] == ["stays"]
+
+
+def test_one_large_file_is_read_by_several_tasks(spark, base, tmp_path):
+    put(base / "debug" / "large", "some line\n" * 10_000)
+    parts = file_content(walk(spark, base, tmp_path), 10_000)
+    tasks = parts.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts.count() == 10
