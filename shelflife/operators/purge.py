@@ -209,5 +209,4 @@ def purge_table(
         )
         for row in folders.collect():
             drop_uri(spark, row["folder"])
-    schema = f"`{partition}` {table.schema[partition].dataType.simpleString()}, rows bigint, expired bigint, action string"
-    return spark.createDataFrame(taken, schema)
+    return spark.createDataFrame(taken, actions.schema)

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from shelflife.functions.formats import format_size
 from shelflife.functions.messages import session_message
 from shelflife.functions.times import as_of_literal, to_utc_wall_clock
-from shelflife.functions.times import as_of_literal, is_expired
 from shelflife.operators import detect, policy, prune, purge, retention, stats
 from shelflife.plans import scan, status
 from shelflife.plans.clean import clean_trees, plan_run

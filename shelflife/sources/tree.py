@@ -16,7 +16,8 @@ DEFAULT_ROOTS = [
     "shell-snapshots",
 ]
 
-LISTING_SCHEMA = "dir_name string, path string, kind string"
+# ``raw`` holds the bytes of a path that is not valid UTF-8; ``path`` then shows them escaped.
+LISTING_SCHEMA = "dir_name string, path string, raw binary, kind string"
 INVENTORY_SCHEMA = (
     "dir_name string, path string, size_bytes bigint, mtime timestamp, is_dir boolean, stat_ok boolean"
 )
@@ -38,16 +39,20 @@ def _list_folders(rows_per_batch: int):
 
         import pandas as pd
 
-        columns = ["dir_name", "path", "kind"]
+        columns = ["dir_name", "path", "raw", "kind"]
 
-        def text(path):
-            return path.encode("utf-8", "surrogateescape").decode("utf-8", "backslashreplace")
+        def named(path):
+            raw = os.fsencode(path)
+            try:
+                return raw.decode("utf-8"), None
+            except UnicodeDecodeError:
+                return raw.decode("utf-8", "backslashreplace"), raw
 
         for folders in batches:
             rows = []
-            for dir_name, folder in zip(folders["dir_name"], folders["path"]):
+            for dir_name, folder, raw in zip(folders["dir_name"], folders["path"], folders["raw"]):
                 try:
-                    entries = os.scandir(folder)
+                    entries = os.scandir(folder if raw is None else raw)
                 except OSError:
                     continue
                 with entries:
@@ -61,7 +66,7 @@ def _list_folders(rows_per_batch: int):
                                 continue
                         except OSError:
                             continue
-                        rows.append((dir_name, text(entry.path), kind))
+                        rows.append((dir_name, *named(entry.path), kind))
                         if len(rows) >= rows_per_batch:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
@@ -79,18 +84,16 @@ def _measure():
 
         for entries in batches:
             sizes, times, keep, readable = [], [], [], []
-            for path, kind in zip(entries["path"], entries["kind"]):
+            for path, raw, kind in zip(entries["path"], entries["raw"], entries["kind"]):
                 size = micros = None
-                present, known = True, True
+                present, known = True, raw is None
                 try:
-                    found = os.stat(path)
-                    size, micros = found.st_size, found.st_mtime_ns // 1000
+                    if known:
+                        found = os.stat(path)
+                        size, micros = found.st_size, found.st_mtime_ns // 1000
                 except OSError as problem:
-                    escaped = "\\x" in path
-                    present, known = escaped or not isinstance(problem, FileNotFoundError), False
-                if kind == "dir":
-                    size = None
-                sizes.append(size)
+                    present, known = not isinstance(problem, FileNotFoundError), False
+                sizes.append(None if kind == "dir" else size)
                 times.append(micros)
                 keep.append(present)
                 readable.append(known)
@@ -129,12 +132,14 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
     listing is written below ``run_dir`` before the next level reads it, so neither the driver nor a
     single task ever holds a subtree, however lopsided the tree. Measuring, the slow call per file, is a
     separate pass over the written listing, whose files of bounded row count spread the entries evenly
-    without a shuffle, also those of one giant flat folder. Hidden names, empty
-    files and links to files count; links to folders are not followed. A missing root lists nothing. A name that is not valid UTF-8 is
-    listed with its bytes escaped and as unreadable, so it is counted and never purged.
+    without a shuffle, also those of one giant flat folder. Hidden names, empty files and links to files
+    count; links to folders are not followed. A missing root lists nothing. A path that is not valid UTF-8
+    is listed with its bytes escaped and as unreadable, so it is counted and never purged.
     """
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folders = spark.createDataFrame(list(roots.items()), "dir_name string, path string")
+    folders = spark.createDataFrame(
+        [(name, path, None) for name, path in roots.items()], "dir_name string, path string, raw binary"
+    )
     level, known = 0, len(roots)
     while known:
         listing = write_once(
@@ -142,7 +147,7 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
             f"{run_dir}/listing/level={level}",
             maxRecordsPerFile=ENTRIES_PER_FILE,
         )
-        folders = listing.where(F.col("kind") == "dir").select("dir_name", "path")
+        folders = listing.where(F.col("kind") == "dir").select("dir_name", "path", "raw")
         level, known = level + 1, folders.count()
     entries = spark.read.schema(LISTING_SCHEMA).parquet(f"{run_dir}/listing").drop("level")
     measured = entries.mapInPandas(

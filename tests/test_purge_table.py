@@ -63,7 +63,8 @@ def test_null_partition_is_rewritten(spark, tmp_path):
 def test_dated_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     table = spark.range(100).select(
-        "id", (F.lit("2025-06-15 12:00:00").cast("timestamp") - F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("at")
+        "id",
+        (F.lit(AS_OF.isoformat(" ")).cast("timestamp") - F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("at"),
     )
     table.withColumn("day", F.to_date("at")).write.partitionBy("day").parquet(path)
     taken = purge_table(spark, path, "day", AS_OF, 24, "at", dated=True)

@@ -72,9 +72,18 @@ def test_name_that_is_no_utf8(spark, base, tmp_path):
     put(base / "plans" / "good", "x", 48)
     with open(os.fsencode(base / "plans") + b"/bad\xff", "wb") as f:
         f.write(b"x")
-    rows = {r["stat_ok"]: r for r in walk(spark, base, tmp_path).collect()}
-    assert rows[False]["path"].endswith("bad\\xff")
-    assert rows[False]["mtime"] is None
+    os.mkdir(os.fsencode(base / "plans") + b"/dir\xfe")
+    with open(os.fsencode(base / "plans") + b"/dir\xfe/inner", "wb") as f:
+        f.write(b"x")
+    rows = {os.path.relpath(r["path"], base / "plans"): r for r in walk(spark, base, tmp_path).collect()}
+    assert {p: (r["is_dir"], r["stat_ok"], r["mtime"] is None) for p, r in rows.items()} == {
+        "good": (False, True, False),
+        "bad\\xff": (False, False, True),
+        "dir\\xfe": (True, False, True),
+        "dir\\xfe/inner": (False, False, True),
+    }
+    stats = tree_status(spark, roots_below(str(base), ["plans"]), AS_OF, 24, str(tmp_path / "status")).stats.first()
+    assert (stats["file_count"], stats["total_size"], stats["violations"]) == (3, 1, 1)
 
 
 def test_status(spark, base, tmp_path):
