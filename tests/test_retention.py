@@ -133,24 +133,43 @@ def test_predicates_reach_the_reader(spark, tmp_path):
     assert "Or(IsNull(mtime),GreaterThanOrEqual(mtime" in kept
 
 
+def scanned_rows(df):
+    """Rows the parquet scans of an executed plan handed on."""
+
+    def visit(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return visit(node.executedPlan())
+        if "QueryStage" in name:
+            return visit(node.plan())
+        if "Scan parquet" in name:
+            return node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        return sum(visit(children.apply(i)) for i in range(children.size()))
+
+    df.collect()
+    return visit(df._jdf.queryExecution().executedPlan())
+
+
 def test_row_groups_newer_than_the_cutoff_are_skipped(spark, tmp_path):
     path = str(tmp_path / "t")
-    rows = spark.range(100_000).coalesce(1)
-    rows.select(
-        "id", F.timestamp_micros(F.unix_micros(F.lit(AS_OF)) - (100_000 - F.col("id")) * 1_000_000).alias("mtime")
+    age = (100_000 - F.col("id")) * 1_000_000
+    spark.range(100_000).coalesce(1).select(
+        F.lit("a").alias("dir_name"),
+        F.col("id").cast("string").alias("path"),
+        F.col("id").alias("size_bytes"),
+        F.timestamp_micros(F.unix_micros(F.lit(AS_OF)) - age).alias("mtime"),
+        F.lit(False).alias("is_dir"),
+        F.lit(True).alias("stat_ok"),
     ).write.option("parquet.block.row.count.limit", "10000").parquet(path)
     table = spark.read.parquet(path)
-    gone = table.where(retention.expired_flag(table, AS_OF, 24))
+    gone = retention.expired_files(table, AS_OF, 24)
     assert gone.count() == 100_000 - 86_400
-    gone.collect()
-
-    def scanned(node):
-        if "Scan parquet" in node.nodeName():
-            return node.metrics().apply("numOutputRows").value()
-        children = node.children()
-        return sum(scanned(children.apply(i)) for i in range(children.size()))
-
-    assert scanned(gone._jdf.queryExecution().executedPlan()) <= 20_000
+    assert scanned_rows(gone) <= 20_000
+    policy = spark.createDataFrame([("a", 26), ("b", 25)], "dir_name string, retention_hours int")
+    gone = retention.expired_by_policy(table, policy, AS_OF)
+    assert gone.count() == 100_000 - 93_600
+    assert scanned_rows(gone) <= 20_000
 
 
 def test_prune(spark):
