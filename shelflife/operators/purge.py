@@ -15,15 +15,22 @@ FILE_OUTCOME = "dir_name string, path string, size_bytes bigint, deleted boolean
 DIR_OUTCOME = "dir_name string, path string, depth int, removed boolean"
 
 
-def _forbid_speculation(spark: SparkSession) -> None:
-    if spark.sparkContext.getConf().get("spark.speculation", "false") == "true":
-        raise ValueError("deleting needs spark.speculation=false: a second copy would race the first")
+def _may_have_run(spark: SparkSession, marker: str) -> bool:
+    """Whether some of a step's work may be done already, or be done at the same time by a second copy.
+
+    True when an earlier run entered the step, which ``marker`` records, or when tasks are speculative.
+    """
+    speculative = spark.sparkContext.getConf().get("spark.speculation", "false") == "true"
+    entered = is_written(spark, marker)
+    if not entered:
+        spark.range(0).write.mode("overwrite").parquet(marker)
+    return entered or speculative
 
 
-def _unlink(roots: dict[str, str], resumed: bool):
+def _unlink(roots: dict[str, str], may_have_run: bool):
     """Delete each file unless it left its root or changed since it was listed.
 
-    A file that is already gone counts as deleted only if an earlier attempt of the same work may have
+    A file that is already gone counts as deleted only if another attempt of the same work may have
     deleted it.
     """
     known = dict(roots)
@@ -34,7 +41,7 @@ def _unlink(roots: dict[str, str], resumed: bool):
 
         from pyspark import TaskContext
 
-        again = resumed or TaskContext.get().attemptNumber() > 0
+        again = may_have_run or TaskContext.get().attemptNumber() > 0
         bases = {name: os.path.realpath(base) + os.sep for name, base in known.items()}
 
         @lru_cache(maxsize=10_000)
@@ -74,25 +81,16 @@ def purge_files(plan: DataFrame, roots: dict[str, str], run_dir: str) -> DataFra
     finished one only returns its outcome.
     """
     spark = plan.sparkSession
-    _forbid_speculation(spark)
     staged = write_once(
         plan.select("dir_name", "path", "size_bytes", F.unix_micros("mtime").alias("micros")),
         f"{run_dir}/plan",
         maxRecordsPerFile=FILES_PER_STAGED_FILE,
     )
-    resumed = not _first_entry(spark, f"{run_dir}/deleting")
-    return write_once(staged.mapInPandas(_unlink(roots, resumed), FILE_OUTCOME), f"{run_dir}/outcome")
-
-
-def _first_entry(spark: SparkSession, marker: str) -> bool:
-    """Mark a step as entered; True if no earlier run did."""
-    if is_written(spark, marker):
-        return False
-    spark.range(0).write.mode("overwrite").parquet(marker)
-    return True
+    may_have_run = _may_have_run(spark, f"{run_dir}/deleting")
+    return write_once(staged.mapInPandas(_unlink(roots, may_have_run), FILE_OUTCOME), f"{run_dir}/outcome")
 
 
-def _remove_folders(resumed: bool):
+def _remove_folders(may_have_run: bool):
     def run(batches):
         import os
 
@@ -107,7 +105,7 @@ def _remove_folders(resumed: bool):
                 return False
             return True
 
-        again = resumed or TaskContext.get().attemptNumber() > 0
+        again = may_have_run or TaskContext.get().attemptNumber() > 0
         for pdf in batches:
             yield pdf.assign(removed=[attempt(path) for path in pdf["path"]])
 
@@ -120,18 +118,18 @@ def remove_folders(plan: DataFrame, run_dir: str) -> DataFrame:
     Only an empty directory can be removed, so one that received a file meanwhile stays.
     """
     spark = plan.sparkSession
-    _forbid_speculation(spark)
     staged = write_once(
         plan.select("dir_name", "path", "depth"),
         f"{run_dir}/prune",
         partition_by=("depth",),
         maxRecordsPerFile=FILES_PER_STAGED_FILE,
     )
-    resumed = not _first_entry(spark, f"{run_dir}/pruning")
+    may_have_run = _may_have_run(spark, f"{run_dir}/pruning")
     deepest = staged.agg(F.max("depth")).first()[0] or 0
     for depth in range(deepest, 0, -1):
         level = staged.where(F.col("depth") == depth)
-        write_once(level.mapInPandas(_remove_folders(resumed), DIR_OUTCOME), f"{run_dir}/removed/level={depth}")
+        removed = level.mapInPandas(_remove_folders(may_have_run), DIR_OUTCOME)
+        write_once(removed, f"{run_dir}/removed/level={depth}")
     if deepest == 0:
         return spark.createDataFrame([], DIR_OUTCOME)
     return spark.read.schema(DIR_OUTCOME).parquet(f"{run_dir}/removed").drop("level")

@@ -18,8 +18,6 @@ SETTINGS = {
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # Rows of a text column decoded at a time; 4096 long texts would fill a task's memory.
     "spark.sql.parquet.columnarReaderBatchSize": "1024",
-    # Tasks that delete files must not run twice at a time.
-    "spark.speculation": "false",
     "spark.ui.enabled": "false",
 }
 

@@ -2,8 +2,6 @@ from __future__ import annotations
 
 import os
 
-import pytest
-
 from shelflife.operators import detect
 from shelflife.operators.purge import FILE_OUTCOME, _unlink, purge_files, remove_folders
 from shelflife.operators.retention import purge_plan
@@ -142,7 +140,7 @@ def test_lost_task_is_counted_once(spark, base, tmp_path):
 
     outcome = (
         spark.read.parquet(str(tmp_path / "staged"))
-        .mapInPandas(_unlink(roots, resumed=False), FILE_OUTCOME)
+        .mapInPandas(_unlink(roots, may_have_run=False), FILE_OUTCOME)
         .mapInPandas(die_once, FILE_OUTCOME)
     )
     outcome.write.parquet(str(tmp_path / "outcome"))
@@ -211,13 +209,14 @@ def test_scan_of_trees(spark, base, tmp_path):
         assert advice["debug"] == (5, True) and advice["todos"] == (0, False) and "plans" not in advice
 
 
-def test_speculation_is_refused(spark, base, tmp_path, monkeypatch):
-    from shelflife.operators import purge
-
-    class Conf:
-        def get(self, *_):
-            return "true"
-
-    monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda self: Conf())
-    with pytest.raises(ValueError):
-        purge._forbid_speculation(spark)
+def test_second_copy_of_a_task_counts_what_the_first_deleted(spark, base, tmp_path, monkeypatch):
+    gone = put(base / "debug" / "gone", "x", 48)
+    roots, plan = plan_of(spark, base, tmp_path)
+    gone.unlink()
+    get = type(spark.sparkContext.getConf()).get
+    monkeypatch.setattr(
+        type(spark.sparkContext.getConf()),
+        "get",
+        lambda self, key, default=None: "true" if key == "spark.speculation" else get(self, key, default),
+    )
+    assert [r["deleted"] for r in purge_files(plan, roots, str(tmp_path / "run")).collect()] == [True]
