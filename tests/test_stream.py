@@ -86,6 +86,17 @@ def test_more_activity_goes_on_from_the_checkpoint(spark, tmp_path, activity):
     assert spark.read.parquet(str(tmp_path / "out" / "runs")).count() == 2
 
 
+def test_a_failed_batch_is_repeated_without_a_trace(spark, tmp_path, activity):
+    def fails(as_of, run_dir):
+        raise RuntimeError("driver lost")
+
+    with pytest.raises(Exception, match="driver lost"):
+        start(spark, tmp_path, fails)
+    start(spark, tmp_path, table_pass(spark, tmp_path))
+    assert spark.read.parquet(str(tmp_path / "out" / "sessions")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "out" / "runs")).count() == 1
+
+
 def test_disabled(spark, tmp_path, activity):
     def never(as_of, run_dir):
         raise AssertionError("the pass must not run")
