@@ -36,13 +36,12 @@ def prune_plan(
 ) -> DataFrame:
     """Directories below each root that hold nothing once the files flagged ``goes`` are deleted.
 
-    ``goes`` is a boolean over the inventory (NULL counts as staying), ``base`` the path of the root
-    as an expression over ``dir_name``.
-    A root without any ``expired`` file (by default: any that goes) is left alone, so directories that
-    were empty before stay there too. Files are first reduced to the directories that hold them, with
-    partial aggregation, and only those few rows are expanded to their ancestors. ``has_dir_rows=False``
-    says that the inventory lists files only; every candidate then has a file that goes and the check of
-    the roots is not needed.
+    ``goes`` is a boolean over the inventory (NULL counts as staying), ``base`` the path of the root as an
+    expression over ``dir_name``. A root without any ``expired`` file (by default: any that goes) is left
+    alone, so directories that were empty before stay there too. Files are first reduced to the directories
+    that hold them, with partial aggregation, and only those rows are expanded to their ancestors.
+    ``has_dir_rows=False`` says that the inventory lists files only; every candidate then has a file that
+    goes and the check of the roots is not needed.
     """
     is_file, going = ~F.col("is_dir"), F.coalesce(goes, F.lit(False))
     triggers = going if expired is None else F.coalesce(expired, F.lit(False))

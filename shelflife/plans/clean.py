@@ -53,7 +53,7 @@ def clean_trees(
     """List the roots, delete what is older than the window, remove emptied directories, sum up.
 
     A dry run stops after the plan. Everything is written below ``run_dir``; calling again with the same
-    folder finishes an interrupted run instead of starting another.
+    folder and arguments finishes an interrupted run instead of starting another.
     """
     hours, dry_run = effective_settings(policy, hours, dry_run)
     run_dir = run_dir or shared_dir(spark, "clean")
