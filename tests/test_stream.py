@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,26 @@ def test_more_activity_goes_on_from_the_checkpoint(spark, tmp_path, activity):
     assert spark.read.parquet(str(tmp_path / "out" / "runs")).count() == 2
 
 
+def test_files_one_at_a_time_give_the_same_sessions(spark, tmp_path):
+    rows = [("a", t) for t in minutes(0, 5, 30, 31, 36, 100)] + [("b", t) for t in minutes(2, 11, 33, 90)]
+    ends = [12, 34, 1000]
+    for start_at, end in zip([0, *ends], ends):
+        part = [r for r in rows if start_at <= (r[1] - dt.datetime(2025, 6, 15)).seconds / 60 < end]
+        write(spark, tmp_path / "in", part)
+        time.sleep(1.1)
+    found = {}
+    for name, files in {"all": 1000, "each": 1}.items():
+        reader = spark.readStream.schema(SCHEMA.format("timestamp_ntz")).option("maxFilesPerTrigger", files)
+        sessions = closed_sessions(reader.parquet(str(tmp_path / "in")), "user", "at", "10 minutes", "5 minutes")
+        out = str(tmp_path / name)
+        run_on_session_end(sessions, table_pass(spark, tmp_path), out).awaitTermination()
+        closed = spark.read.parquet(f"{out}/sessions").select("user", "session_start", "session_end", "events")
+        found[name] = sorted(map(str, closed.collect()))
+    assert found["all"] == found["each"] and len(found["all"]) == 4
+    assert spark.read.parquet(str(tmp_path / "all" / "runs")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "each" / "runs")).count() > 1
+
+
 def test_a_failed_batch_is_repeated_without_a_trace(spark, tmp_path, activity):
     def fails(as_of, run_dir):
         raise RuntimeError("driver lost")
