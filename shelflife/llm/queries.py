@@ -4,21 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflife.llm import chat, mixing, packing, pii
-from shelflife.llm.common import read_table
+from shelflife.llm import chat, langid, merkle, mixing, neardup, packing, pii
+from shelflife.llm.common import held_out, read_table
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    filters = langid.trained(docs)
+    found = langid.identify(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", held_out("doc_id", langid.HELD_OUT_MODULUS).alias("held_out"), "lang_pred", "score")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edited(read_table(spark, sf_dir, "documents"))
+
+
 def op5_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = "conv_id long, turn long, role string, text string"
     control = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], columns)
@@ -40,10 +56,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [k.name for k in pii.KINDS if k.base]
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     listed = lambda spans: F.array_join(F.transform(spans, line), ",")
-    counts = [
-        F.size(F.filter("pii", lambda s, name=name: s["kind"] == F.lit(name))).cast("long").alias(f"n_{name}")
-        for name in base
-    ]
+    of_kind = lambda name: F.filter("pii", lambda s: s["kind"] == F.lit(name))
+    counts = [F.size(of_kind(name)).cast("long").alias(f"n_{name}") for name in base]
     return found.select(
         "doc_id",
         *counts,
@@ -53,8 +67,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_source_mixing": op3_source_mixing,
+    "op4_merkle_fingerprints": op4_merkle_fingerprints,
     "op5_length_packing": op5_length_packing,
+    "op6_minhash_neardup": op6_minhash_neardup,
     "op7_chat_format": op7_chat_format,
     "op10_pii": op10_pii,
 }
