@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflife.llm import chat, langid, merkle, mixing, neardup, packing, pii
+from shelflife.llm import chat, langid, lattice, merkle, mixing, neardup, packing, pii
 from shelflife.llm.common import held_out, read_table
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
@@ -51,6 +51,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(read_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(read_table(spark, sf_dir, "documents"))
     base = [k.name for k in pii.KINDS if k.base]
@@ -73,6 +77,7 @@ QUERIES = {
     "op5_length_packing": op5_length_packing,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_chat_format": op7_chat_format,
+    "op9_lattice_scoring": op9_lattice_scoring,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
