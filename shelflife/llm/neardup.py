@@ -12,8 +12,8 @@ that only one class has come first in that order and need no list. So a passage
 no candidates unless it makes up most of a document.
 
 Within a list not all pairs are formed. Each class is compared with one pivot; links join classes to components;
-only then pairs from different components are compared, without those of the largest component of the list
-among themselves. All classes of one list that the pivot already joins cost one comparison each.
+only then classes of different components are compared, in blocks that return links and no pairs. Classes of
+one list that its pivot joins cost one comparison each.
 
 Defined cases: a null text and one without words have an empty set and no link; a text with fewer words than a
 shingle has has one shingle, the whole sequence; rows are judged by their text, so rows that repeat an id keep
@@ -39,6 +39,8 @@ PERCENT = 75
 K = 64
 #: A binomial draw of K with probability 0.75 is smaller than this about once in 10^8.
 SHARED = 27
+#: Hashes of the sets a block of classes holds on average.
+BLOCK_VALUES = 1 << 19
 #: Word hashes a task remembers.
 REMEMBERED = 200_000
 
@@ -106,7 +108,10 @@ def _shared_at_least(n: Column) -> Column:
 
 
 def index_entries(classes: DataFrame) -> DataFrame:
-    """(value, key, n): for each class the lists of its rarest values that another class has too."""
+    """(value, key, n, own): for each class the lists of its rarest values that another class has too.
+
+    ``own`` is the share of its retained values that no other class has.
+    """
     values = classes.select("key", "n", F.explode("hashes").alias("value"))
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     # Classes that have such values, with them rarest first.
@@ -114,8 +119,8 @@ def index_entries(classes: DataFrame) -> DataFrame:
     size = F.least("n", F.lit(K)).cast("int")
     may_miss = size - _shared_at_least(F.col("n"))
     alone = size - F.size("values")
-    entries = listed.withColumn("take", may_miss + 1 - alone).where("take > 0")
-    return entries.select("key", "n", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("v.value", "key", "n")
+    entries = listed.withColumn("take", may_miss + 1 - alone).where("take > 0").withColumn("own", alone / size)
+    return entries.select("key", "n", "own", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("v.value", "key", "n", "own")
 
 
 def _sizes_fit(n_a: Column, n_b: Column) -> Column:
@@ -127,30 +132,67 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(entries: DataFrame) -> DataFrame:
-    """Each class of a list with the list's first."""
-    pivots = entries.groupBy("value").agg(F.min(F.struct("key", "n")).alias("p")).select("value", F.col("p.key").alias("other"), F.col("p.n").alias("other_n"))
+    """Each class of a list with the list's pivot, the class that has least of its own."""
+    pivots = entries.groupBy("value").agg(F.min(F.struct("own", "key", "n")).alias("p")).select("value", F.col("p.key").alias("other"), F.col("p.n").alias("other_n"))
     return _pairs(entries.join(pivots, "value").where(_sizes_fit(F.col("n"), F.col("other_n"))))
 
 
-def crossing_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs of each list that lie in different components."""
+def crossing_links(entries: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) between classes of one list that lie in different components.
+
+    Lists that hold more than one component, and more than the pair a pivot has settled, are gathered by the
+    component most of their classes are in. A gathering is dealt into blocks of some ``BLOCK_VALUES`` hashes;
+    each two blocks meet in one group, which compares full sets and returns links only.
+    """
     placed = entries.join(roots, "key", "left").select("value", "key", "n", F.coalesce("root", "key").alias("root"))
     placed = written(placed, "placed")
-    largest = (
+    mixed = (
         placed.groupBy("value", "root")
         .agg(F.count(F.lit(1)).alias("classes"))
         .groupBy("value")
-        .agg(F.max(F.struct("classes", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-        .where("roots > 1")
+        .agg(F.max(F.struct("classes", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("classes").alias("classes"))
+        .where("roots > 1 and classes > 2")
         .select("value", F.col("top.root").alias("top"))
     )
-    mixed = placed.join(largest, "value")
-    others = mixed.where("root != top")
-    left = others.select("value", "key", "n", "root")
-    right = mixed.select("value", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), "top")
-    once = (F.col("other_root") == F.col("top")) | (F.col("key") < F.col("other"))
-    apart = F.col("root") != F.col("other_root")
-    return _pairs(left.join(right, "value").where(apart & once & _sizes_fit(F.col("n"), F.col("other_n"))))
+    gathered = written(placed.join(mixed, "value").select("top", "key", "n", "root").distinct(), "gathered")
+    blocks = gathered.groupBy("top").agg(F.ceil(F.sum("n") / BLOCK_VALUES).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    meet = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")),
+    )
+    dealt = gathered.join(blocks, "top").withColumn("block", block).join(sets, "key").withColumn("meet", F.explode(meet))
+    rows = dealt.select("top", "meet.low", "meet.high", "key", "root", "block", "hashes")
+    return rows.groupBy("top", "low", "high").applyInArrow(_links_within, "a binary, b binary")
+
+
+def _links_within(group: pa.Table) -> pa.Table:
+    """Links between classes of different components; of two blocks only those across."""
+    keys, roots, block = group["key"].to_pylist(), group["root"].to_pylist(), group["block"].to_numpy()
+    top, across = group["top"][0].as_py(), group["low"][0].as_py() != group["high"][0].as_py()
+    column = group["hashes"].combine_chunks()
+    codes = np.unique(column.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
+    sizes = np.diff(starts)
+    component = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+    order = np.argsort(np.argsort(np.array([k.hex() for k in keys])))
+    in_top = np.array([r == top for r in roots])
+    mark = np.zeros(len(codes) + 1, bool)
+    found = []
+    for x in np.flatnonzero(~in_top):
+        other = (component != component[x]) & (in_top | (order > order[x]))
+        other &= np.minimum(sizes, sizes[x]) * 100 >= np.maximum(sizes, sizes[x]) * PERCENT
+        if across:
+            other &= block != block[x]
+        if other.any():
+            own = codes[starts[x] : starts[x + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[codes], starts[:-1], dtype=np.int64)
+            mark[own] = False
+            for y in np.flatnonzero(other & (both * 100 >= PERCENT * (sizes + sizes[x] - both))):
+                found.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 def _may_be_linked(a: Column, b: Column) -> Column:
@@ -192,11 +234,9 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     sets = _with_sets(texts, whole=True).join(listed.select("key").distinct(), "key", "left_semi")
     sets = written(sets.dropDuplicates(["key"]).select("key", "hashes"), "sets")
 
-    tested = written(pivot_pairs(entries), "pairs")
-    links = written(verified(tested, classes, sets), "linked")
+    links = written(verified(pivot_pairs(entries), classes, sets), "linked")
     roots = components(links)
-    crossing = crossing_pairs(entries, roots).join(tested, ["a", "b"], "left_anti")
-    links = links.union(written(verified(crossing, classes, sets), "linked"))
+    links = links.union(written(crossing_links(entries, roots, sets), "linked"))
     roots = components(links)
 
     placed = classes.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflife.llm import chat, langid, lattice, merkle, mixing, neardup, packing, pii
+from shelflife.llm import ann, chat, langid, lattice, merkle, mixing, neardup, packing, pii
 from shelflife.llm.common import held_out, read_table
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
@@ -51,6 +51,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op9_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(read_table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op5_length_packing": op5_length_packing,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_chat_format": op7_chat_format,
+    "op8_ann_cross_polytope": op8_ann_cross_polytope,
     "op9_lattice_scoring": op9_lattice_scoring,
     "op10_pii": op10_pii,
 }
