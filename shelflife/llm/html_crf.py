@@ -29,8 +29,8 @@ from shelflife.llm.html_pages import labelled_page
 
 TRAINING_PAGES = 1500
 SEED = 1
-STEPS = 300
-RATE, SHRINK = 0.1, 0.002
+STEPS = 200
+RATE, SHRINK = 0.1, 0.0002
 
 # Fixed sets of HTML element names by their role.
 NEVER = frozenset("head script style template noscript svg math iframe object canvas select textarea button datalist audio video".split())
@@ -124,8 +124,13 @@ def leaf_blocks(html: str | None) -> list[tuple[str, int, list]]:
     return parser.finish()
 
 
-def features(block: tuple[str, int, list]) -> set[str]:
-    """The names of what holds for a block."""
+def has_article(blocks: Iterable[tuple]) -> bool:
+    """Whether the page marks an article or main part at all."""
+    return any(tag in ("article", "main") for _, _, above in blocks for tag, _ in above)
+
+
+def features(block: tuple[str, int, list], marked: bool) -> set[str]:
+    """The names of what holds for a block; ``marked``: its page marks an article."""
     text, linked, above = block
     found = {"any"}
     article = False
@@ -136,6 +141,8 @@ def features(block: tuple[str, int, list]) -> set[str]:
             found.add(f"in:{'h' if re.fullmatch('h[1-6]', tag) else tag}")
         article |= tag in ("article", "main")
         found.update(f"word:{w}" for w in words)
+    if marked and not article:
+        found.add("outside")
     words = text.count(" ") + 1
     found.add(f"length:{min(6, words.bit_length())}")
     if text[-1] in ".!?":
@@ -155,12 +162,12 @@ class Field:
         #: step[a][b]: weight of label b after label a.
         self.step = step.tolist()
 
-    def labels(self, blocks: Iterable[tuple]) -> list[int]:
+    def labels(self, blocks: list[tuple]) -> list[int]:
         """The most probable labels, by Viterbi; a tie goes to the label 0."""
         (stay, enter), (leave, go_on) = self.step
-        best, back = None, []
+        best, back, marked = None, [], has_article(blocks)
         for block in blocks:
-            own = sum(self.weights.get(name, 0.0) for name in features(block))
+            own = sum(self.weights.get(name, 0.0) for name in features(block, marked))
             if best is None:
                 best = (0.0, own)
                 continue
@@ -191,33 +198,34 @@ def fit(pages: list[list[tuple[str, int]]]) -> Field:
         blocks = parser.finish()
         labels += [0] * (len(blocks) - len(labels))
         if blocks:
-            rows.append(([features(b) for b in blocks], labels))
+            marked = has_article(blocks)
+            rows.append(([features(b, marked) for b in blocks], labels))
     for found, _ in rows:
         for f in found:
             for name in sorted(f):
                 names.setdefault(name, len(names))
     n, longest = len(rows), max(len(labels) for _, labels in rows)
-    x = np.zeros((n, longest, len(names)), np.float32)
     y, here = np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for r, (found, labels) in enumerate(rows):
+    for r, (_, labels) in enumerate(rows):
         here[r, : len(labels)] = True
         y[r, : len(labels)] = labels
-        for c, f in enumerate(found):
-            x[r, c, [names[name] for name in f]] = 1
-    flat = x.reshape(-1, len(names))
-    weight, step = np.zeros(len(names)), np.zeros((2, 2))
+    x = np.zeros((int(here.sum()), len(names)))
+    for k, f in enumerate(f for found, _ in rows for f in found):
+        x[k, [names[name] for name in f]] = 1
     pairs = here[:, 1:] & here[:, :-1]
     seen = np.array([[np.sum(pairs & (y[:, :-1] == a) & (y[:, 1:] == b)) for b in (0, 1)] for a in (0, 1)])
-    squares_w, squares_s = np.full(len(names), 1e-8), np.full((2, 2), 1e-8)
-    for _ in range(STEPS):
-        own = np.stack([np.zeros((n, longest)), (flat @ weight).reshape(n, longest)], 2)
-        label_p, pair_p = _marginals(own, step, here)
-        slope_w = flat.T @ ((y - label_p[:, :, 1]) * here).ravel() / n - SHRINK * weight
-        slope_s = (seen - pair_p) / n - SHRINK * step
-        squares_w += slope_w**2
-        squares_s += slope_s**2
-        weight += RATE * slope_w / np.sqrt(squares_w)
-        step += RATE * slope_s / np.sqrt(squares_s)
+    # One vector of all weights: features, then label pairs. Steps follow Adam's running means of the slope.
+    weight = np.zeros(len(names) + 4)
+    mean, square = np.zeros_like(weight), np.zeros_like(weight)
+    own = np.zeros((n, longest, 2))
+    for turn in range(1, STEPS + 1):
+        own[here, 1] = x @ weight[:-4]
+        label_p, pair_p = _marginals(own, weight[-4:].reshape(2, 2), here)
+        slope = np.concatenate([x.T @ (y - label_p[:, :, 1])[here], (seen - pair_p).ravel()]) / n - SHRINK * weight
+        mean = 0.9 * mean + 0.1 * slope
+        square = 0.99 * square + 0.01 * slope**2
+        weight += RATE * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
+    step = weight[-4:].reshape(2, 2)
     return Field({name: float(weight[k]) for name, k in names.items()}, step)
 
 

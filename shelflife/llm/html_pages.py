@@ -46,14 +46,15 @@ def _paragraph(rng: random.Random, low: int = 1, high: int = 120) -> str:
     n = int(low * (high / low) ** rng.random())
     text = _words(rng, n, rng.choice([".", ".", ".", "!", "?", ":", ""]))
     if n > 8 and rng.random() < 0.3:
-        text = text.replace(" ", ' <a href="/x">', 1).replace(" ", "</a> ", 3) if rng.random() < 0.5 else f"<b>{text}</b>"
+        first, _, rest = text.partition(" ")
+        text = f'{first} <a href="/x">{rest[: n // 2]}</a>{rest[n // 2 :]}' if rng.random() < 0.5 else f"<b>{text}</b>"
     return text
 
 
 def _boilerplate(rng: random.Random, kind: str) -> str:
     short = f"<{(t := rng.choice(['p', 'div', 'span']))}>{_paragraph(rng, 1, 40)}</{t}>"
     loose = _paragraph(rng, 1, 40)
-    inner = rng.choice([short, loose, short * 2])
+    inner = rng.choice([short, loose, short * 2, f"<h{(n := rng.randint(2, 5))}>{_words(rng, 2)}</h{n}>{short}"])
     if kind == "navigation":
         return _part(rng, ["nav"], NAVIGATION, _links(rng, rng.randint(2, 8)), 0.6) if rng.random() < 0.6 else _part(rng, ["div", "ul"], NAVIGATION, _links(rng, 5))
     if kind == "head":
@@ -72,7 +73,9 @@ def _boilerplate(rng: random.Random, kind: str) -> str:
         one = [f"<{(t := rng.choice(['div', 'li', 'article']))}{_attributes(rng, COMMENT)}><p>{_paragraph(rng, 2, 60)}</p></{t}>" for _ in range(rng.randint(1, 4))]
         return _part(rng, ["div", "section", "ol", "ul"], COMMENT, f"<h3>{_words(rng, 2)}</h3>" * (rng.random() < 0.5) + "".join(one))
     names = {"advert": ADVERT, "notice": NOTICE, "social": SOCIAL}[kind]
-    return _part(rng, ["div", "div", "section", "p", "span" if kind == "social" else "div"], names, inner)
+    if inner == loose:
+        return _part(rng, ["div", "section", "p", "span"] if kind == "social" else ["div", "section", "p"], names, inner)
+    return _part(rng, ["div", "section"], names, inner)
 
 
 def _text(rng: random.Random) -> str:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflife.llm import ann, chat, langid, lattice, merkle, mixing, neardup, packing, pii
+from shelflife.llm import ann, chat, html_crf, langid, lattice, merkle, mixing, neardup, packing, pii
 from shelflife.llm.common import held_out, read_table
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     filters = langid.trained(docs)
@@ -76,6 +80,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
     "op3_source_mixing": op3_source_mixing,
     "op4_merkle_fingerprints": op4_merkle_fingerprints,
