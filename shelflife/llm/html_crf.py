@@ -51,6 +51,9 @@ ENDS = {
 SCOPE = frozenset("article aside blockquote body div footer form header main nav ol section table ul html".split())
 
 
+PARTS = frozenset("article aside footer form header main nav".split())
+
+
 class _Blocks(HTMLParser):
     """Collects (text, link code points, ancestors); an ancestor is (tag, words of class, id and role)."""
 
@@ -143,6 +146,12 @@ def features(block: tuple[str, int, list], marked: bool) -> set[str]:
         found.update(f"word:{w}" for w in words)
     if marked and not article:
         found.add("outside")
+    # The innermost part that says what it is counts once more.
+    for tag, words in reversed(above):
+        if tag in PARTS or words:
+            found.add(f"inner:{tag if tag in PARTS else 'other'}")
+            found.update(f"inner word:{w}" for w in words)
+            break
     words = text.count(" ") + 1
     found.add(f"length:{min(6, words.bit_length())}")
     if text[-1] in ".!?":
