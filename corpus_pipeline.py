@@ -4,8 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflife.llm import mixing, packing, pii
-from shelflife.llm.common import read_table, word_count, written
+from shelflife.llm import langid, mixing, neardup, packing, pii
+from shelflife.llm.common import read_table, written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the others (no letter, or no known n-gram) go.
+
+    A null lang becomes the recognised one; a given lang stays.
+    """
+    found = langid.identify(docs, langid.trained(docs))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id; of repeated rows one."""
+    return neardup.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +31,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, the last time cut after the words it takes."""
-    taken = mixing.mix(docs).select("doc_id", "size", "source", "passes", "words_to").distinct()
-    size = word_count("text")
-    same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["source"]) & (size == taken["size"])
+    # Rows that agree in id, source and text are one document here; texts are told apart by a hash.
+    text_key = F.xxhash64("text")
+    keyed = docs.withColumn("text_key", text_key)
+    once = mixing.mix(keyed.select("doc_id", "source", "text", "text_key"), keep=["text_key"])
+    taken = once.groupBy("doc_id", "source", "text_key").agg(F.max("passes").alias("passes"), F.max("words_to").alias("words_to"))
+    same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["source"]) & (text_key == taken["text_key"])
     copies = F.transform(F.sequence(F.lit(1), F.col("passes")), lambda _: F.col("text"))
     whole = F.when(F.col("passes") > 0, copies).otherwise(F.array().cast("array<string>"))
     part = F.array(mixing.first_words(F.col("text"), F.col("words_to")))
@@ -32,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("pii", personal_data), ("mixing", mix), ("packing", pack)]
+STAGES = [("language", language), ("near-duplicates", near_duplicates), ("pii", personal_data), ("mixing", mix), ("packing", pack)]
 ORACLE_SQL = None
 
 

@@ -70,16 +70,16 @@ def block_words(total: int, n_sources: int) -> int:
     return max(1, min(MAX_BLOCK, total // (BLOCKS_PER_SOURCE * max(1, n_sources))))
 
 
-def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, cap=CAP, seed=SEED, shard_docs=SHARD_DOCS) -> DataFrame:
+def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, cap=CAP, seed=SEED, shard_docs=SHARD_DOCS, keep=()) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, passes, words_from, words_to, taken.
 
     The mix holds a document ``passes`` times in full and once more from its word ``words_from`` to before
-    ``words_to``; ``taken`` are the words this makes.
+    ``words_to``; ``taken`` are the words this makes. ``keep`` names further columns to return.
     """
     spark = docs.sparkSession
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     sized = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key")
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key"), *keep
     )
     sized = written(sized, "mix")
 
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
 
     number = F.conv(F.substr("key", F.lit(1), F.lit(8)), 16, 10).cast("long")
     dealt = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select(
-        "doc_id", sized["source"], "size", "key", "source_no", "source_size", "target", F.pmod(number, F.col("shards")).alias("shard")
+        "doc_id", sized["source"], "size", "key", "source_no", "source_size", "target", F.pmod(number, F.col("shards")).alias("shard"), *keep
     )
     per_shard = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("words")).collect()
     per_shard.sort(key=lambda r: (r["source_no"], r["shard"]))
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
         .withColumn("words_to", part)
         .select(
             "doc_id", "source", "size", "source_size", "target", "passes", F.lit(0).cast("long").alias("words_from"), "words_to",
-            (F.col("passes") * F.col("size") + F.col("words_to")).alias("taken"),
+            (F.col("passes") * F.col("size") + F.col("words_to")).alias("taken"), *keep,
         )
     )
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelflife.llm.common import written
 from shelflife.llm.components import components
@@ -249,3 +249,30 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
         .select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def deduplicated(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, and of kept rows with one id and shingle set the first by text."""
+    found = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    kept = found.groupBy("kept_id", "kept_key").agg(F.count(F.lit(1)).alias("times"))
+    keyed = _keyed(docs, text)
+    same = F.col(doc_id).eqNullSafe(F.col("kept_id")) & F.col("__key").eqNullSafe(F.col("kept_key"))
+    rows = keyed.join(kept, same)
+    single = rows.where("times = 1 or __key is null").select(docs.columns)
+    first = Window.partitionBy("kept_id", "kept_key").orderBy(text, *(c for c in docs.columns if c not in (doc_id, text)))
+    repeated = rows.where("times > 1 and __key is not null").withColumn("__row", F.row_number().over(first)).where("__row = 1")
+    return single.union(repeated.select(docs.columns))
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the key of their shingle sets in ``__key``."""
+    names = docs.columns
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered = _WordHashes()
+        for batch in batches:
+            found = [_key(shingle_set(t.as_py(), remembered)) for t in batch[text]]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(found, pa.binary())], [*names, "__key"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return docs.mapInArrow(keys, ", ".join([*fields, "__key binary"]))
