@@ -1,0 +1,458 @@
+"""Operators over documents against brute force, on odd rows and on the driver's small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from shelflife.llm import langid, lattice, merkle, mixing, neardup, packing, pii
+from shelflife.llm.common import read_table
+
+SF = "/root/testdata/sf0.001"
+
+
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+# Near-duplicates.
+
+
+def shingles(text):
+    w = words_of(text)
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+
+
+def brute_components(rows):
+    """(id, text) rows to a list of (id, set size, component, kept)."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    lists = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            lists[x].append(k)
+    shared = Counter(p for own in lists.values() for p in itertools.combinations(own, 2))
+    for (a, b), n in shared.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            parent[find(b)] = find(a)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, len(sets[k]), least.get(find(k)), i == least.get(find(k))) for k, (i, _) in enumerate(rows)]
+
+
+def order(rows):
+    return sorted(rows, key=repr)
+
+
+def found_components(df):
+    return order((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect())
+
+
+def test_neardup_odd_rows(odd):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert found_components(neardup.near_duplicates(odd)) == order(brute_components(rows))
+
+
+def test_neardup_driver_rows(spark):
+    docs = read_table(spark, SF, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert found_components(neardup.near_duplicates(docs)) == order(brute_components(rows))
+
+
+def test_neardup_large_groups(spark, monkeypatch):
+    """Chains, stars around a text nobody holds, and unlike texts around one passage; small blocks of classes."""
+    monkeypatch.setattr(neardup, "BLOCK_VALUES", 600)
+    rng = random.Random(4)
+    rows, core = [], [f"c{i}" for i in range(80)]
+    for k in range(120):  # edits of one text, some too far from most others
+        w = list(core)
+        for _ in range(rng.choice([1, 2, 3, 6])):
+            w[rng.randrange(80)] = f"e{k}-{rng.random()}"
+        rows.append((k, " ".join(w)))
+    for k in range(60):  # a passage in texts of their own
+        rows.append((1000 + k, " ".join([f"p{i}" for i in range(50)] + [f"o{k}-{i}" for i in range(rng.randint(5, 60))])))
+    w = [f"z{i}" for i in range(100)]
+    for k in range(40):  # a chain: neighbours are alike, the ends are not
+        rows.append((2000 + k, " ".join(w[k : k + 60])))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_components(neardup.near_duplicates(docs)) == order(brute_components(rows))
+
+
+def test_neardup_empty(no_docs):
+    assert neardup.near_duplicates(no_docs).collect() == []
+    assert neardup.deduplicated(no_docs).collect() == []
+
+
+def test_deduplicated(odd):
+    kept = neardup.deduplicated(odd)
+    assert kept.columns == odd.columns
+    rows = Counter(r["doc_id"] for r in kept.collect())
+    assert rows == {1: 1, 4: 1, 5: 1, 6: 1, 7: 1, 9: 1, 10: 1, None: 1, 11: 1}
+
+
+# Language identification.
+
+
+def test_language_bloom_masks_contain_what_was_put_in():
+    rng = np.random.default_rng(1)
+    hashed = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    places = list(langid._slots(hashed, 1 << 12))
+    masks = np.zeros(1 << 12, np.uint64)
+    for p in places:
+        np.bitwise_or.at(masks, p, np.uint64(4))
+    assert ((masks[places[0]] & masks[places[1]]) == 4).all()
+
+
+def test_language_ngrams_of_long_texts_do_not_depend_on_parts(monkeypatch):
+    text = "Der schnelle Fuchs, 12 Hühner und ein Äffchen. " * 40
+    whole = np.sort(np.concatenate([h for h, _ in langid.ngrams([text])]))
+    monkeypatch.setattr(langid, "PART", 64)
+    parts = np.sort(np.concatenate([h for h, _ in langid.ngrams([text])]))
+    clean = re.sub(r"[^\w]|\d", " ", text.lower())
+    expected = sum(
+        1 for n in (3, 4, 5) for i in range(len(clean) + 3 - n) if " " not in f" {clean} "[i + 1 : i + n - 1]
+    )
+    assert len(whole) == expected
+    # Parts end in the middle of words; an n-gram may gain a space there, none is lost or counted twice.
+    assert len(parts) >= len(whole) and len(np.setdiff1d(whole, parts)) == 0
+
+
+def test_language_accuracy_on_held_out(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    found = langid.identify(docs, langid.trained(docs)).collect()
+    out = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.97 * len(out)
+    assert all(0 <= r["score"] <= 1 for r in found)
+
+
+def test_language_odd_rows(odd):
+    found = langid.identify(odd.select("doc_id", "text"), langid.trained(odd)).collect()
+    by_id = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in found}
+    assert len(found) == odd.count()
+    for i in (4, 5, 6, 11):
+        assert by_id[i] == ("und", 0.0)
+    assert by_id[1][0] == "en"
+
+
+def test_language_without_labels(no_docs, odd):
+    assert langid.identify(no_docs, langid.trained(no_docs)).collect() == []
+    found = langid.identify(odd.select("doc_id", "text"), langid.trained(no_docs)).collect()
+    assert {r["lang_pred"] for r in found} == {"und"}
+
+
+# Fingerprints.
+
+
+def brute_edited(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    out = []
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        text, after = text or "", after or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), merkle.fingerprint(text), merkle.fingerprint(edited)))
+    return out
+
+
+@pytest.mark.parametrize("parts", [None, 1, 3])
+def test_edited_texts(odd, parts, monkeypatch):
+    if parts:
+        plain = merkle.with_next
+        monkeypatch.setattr(merkle, "with_next", lambda docs: plain(docs, parts))
+    found = merkle.compare_edited(odd).collect()
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
+    assert order(tuple(r)[:5] for r in found) == order(brute_edited(rows))
+    for r in found:
+        assert r["near_edited"] == merkle.likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert 0 <= r["near_next"] <= 1
+
+
+def test_edited_single_and_none(spark, no_docs):
+    one = spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")
+    row = merkle.compare_edited(one).first()
+    assert row["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and row["near_next"] == 1.0
+    assert merkle.compare_edited(no_docs).collect() == []
+
+
+def test_fingerprints_tell_equality_and_edits(odd):
+    text = "\n".join(f"Paragraph {i} says this and that. It goes on for a while, as they do." for i in range(40))
+    edited = text.replace("Paragraph 20 says", "Paragraph 20 denies")
+    a, b = merkle.fingerprint(text), merkle.fingerprint(edited)
+    assert a != b and merkle.likeness(a, a) == 1.0 and 0.9 < merkle.likeness(a, b) < 1
+    only_a, only_b = merkle.differing(a, b)
+    assert len(only_a) == len(only_b) == 1
+    assert merkle.likeness(a, merkle.fingerprint("quite another text")) == 0
+    assert merkle.fingerprint(None) == merkle.fingerprint("") != merkle.fingerprint("\n")
+    assert merkle.fingerprint("a\nb") != merkle.fingerprint("a b")
+    marks = {r["doc_id"]: r["fingerprint"] for r in merkle.fingerprints(odd).collect()}
+    assert marks[1] == marks[2] != marks[3] and marks[4] == marks[5]
+
+
+# Lattice likelihood.
+
+
+def brute_word(lat, word):
+    codes = [lattice._FRONT] + [ord(c) for c in word]
+    pieces = {int(h): p for h, p in zip(lat.prefixes, lat.piece_of)}
+    sums = [1.0] + [0.0] * len(codes)
+    for j in range(1, len(codes) + 1):
+        for i in range(j):
+            p = pieces.get(lattice._hash(codes[i:j]), -1)
+            if p >= 0:
+                sums[j] += sums[i] * math.exp(lat.log_p[p])
+        if j > 1:
+            sums[j] += sums[j - 1] * math.exp(sum(lat.log_p[b] for b in chr(codes[j - 1]).encode()))
+    return math.log(sums[-1])
+
+
+SMALL = [("▁", -1.0), ("▁a", -2.0), ("a", -3.0), ("b", -4.0), ("ab", -5.0), ("bab", -6.0), ("▁ab", -7.0)]
+
+
+def test_word_probabilities_sum_all_segmentations():
+    lat = lattice.Lattice.start(SMALL)
+    words = ["a", "ab", "abab", "babba", "é", "aé▁b", "b" * 12]
+    assert np.allclose(lat.word_logs(words), [brute_word(lat, w) for w in words])
+
+
+def test_expected_uses_are_slopes():
+    """The expected uses of a piece are the slope of the log likelihood in its log probability."""
+    lat, words, times = lattice.Lattice.start(SMALL), ["abab", "bab", "é"], np.array([3, 1, 2])
+    uses = lat.expected(words, times)
+    for p in range(len(lat.log_p)):
+        up = lattice.Lattice(lat.prefixes, lat.piece_of, lat.log_p.copy())
+        up.log_p[p] += 1e-6
+        slope = ((up.word_logs(words) - lat.word_logs(words)) * times).sum() / 1e-6
+        assert abs(slope - uses[p]) < 1e-3
+
+
+def test_estimation_raises_likelihood():
+    lat, words, times = lattice.Lattice.start(SMALL), ["abab", "bab", "ab"], np.array([300, 100, 200])
+    uses = lat.expected(words, times)
+    uses[-1] = 10
+    new = lat.reestimated(uses, lat)
+    assert (new.word_logs(words) * times).sum() > (lat.word_logs(words) * times).sum()
+    assert abs(np.exp(new.log_p).sum() - 1) < 1e-9
+
+
+def brute_base(rows):
+    train = Counter()
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            train.update([*words_of(t), None])
+    n, v = sum(train.values()), len(train)
+    for i, t in rows:
+        tokens = [*words_of(t), None]
+        base = sum(math.log10((train[x] + 1) / (n + v + 1)) for x in tokens)
+        yield i, len(tokens), sum(train[x] > 0 for x in tokens), n, base
+
+
+@pytest.mark.parametrize("block_tokens", [50, 1 << 20])
+def test_scores(odd, block_tokens):
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
+    found = lattice.score(odd, block_tokens=block_tokens, rounds=1).collect()
+    key = lambda r: (str(r[0]), r[1])
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in found), key=key)
+    for a, b in zip(got, sorted(brute_base(rows), key=key), strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) <= 1e-9 * abs(b[4])
+    scores = {r["doc_id"]: r["score"] for r in found}
+    assert scores[4] == scores[5] == scores[6] > scores[7] > scores[1]
+
+
+def test_scores_do_not_depend_on_blocks(odd):
+    one, many = (
+        {(r["doc_id"], r["n_tokens"]): r["score"] for r in lattice.score(odd, block_tokens=n, rounds=1).collect()} for n in (50, 1 << 20)
+    )
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) <= 1e-6 * abs(one[k]) for k in one)
+
+
+def test_scores_empty(no_docs):
+    assert lattice.score(no_docs).collect() == []
+
+
+# Mixing.
+
+
+def test_targets_are_capped_and_shared_again():
+    assert mixing.targets([10, 100, 1000], [1, 2, 3]) == [30.0, 300.0, 780.0]
+    assert mixing.targets([100, 100], [1, 3]) == [50.0, 150.0]
+    assert mixing.targets([0, 7], [1, 2]) == [0.0, 7.0]
+    assert mixing.targets([], []) == []
+
+
+def test_apportionment_equals_one_by_one():
+    rng = random.Random(3)
+    for _ in range(50):
+        votes = [float(rng.choice([0, 1, 5, rng.randint(1, 10_000)])) for _ in range(rng.randint(1, 8))]
+        seats = rng.randint(0, 200)
+        got = [0] * len(votes)
+        for _ in range(seats if any(votes) else 0):
+            best = max(range(len(votes)), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))
+            got[best] += 1
+        assert mixing.sainte_lague(votes, seats) == got
+
+
+def test_mix(odd, no_docs):
+    found = mixing.mix(odd, shard_docs=2).collect()
+    assert len(found) == odd.count()
+    assert order(tuple(r) for r in mixing.mix(odd, shard_docs=2).collect()) == order(tuple(r) for r in found)
+    sizes = Counter()
+    for r in odd.collect():
+        sizes[r["source"]] += len(words_of(r["text"]))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goals = dict(zip(names, mixing.targets([sizes[s] for s in names], [(1, 2, 3)[k % 3] for k in range(len(names))])))
+    taken = Counter()
+    for r in found:
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == goals[r["source"]]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    block = mixing.block_words(sum(sizes.values()), len(sizes))
+    assert all(abs(taken[s] - goals[s]) <= block + 1 for s in names)
+    assert mixing.mix(no_docs).collect() == []
+
+
+def test_first_words(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(" a  b\tc ", 2), ("x", 5), ("", 1)], "t string, n long")
+    assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == [" a  b", "x", ""]
+
+
+# Packing.
+
+
+def brute_padding(lengths, buckets):
+    values = sorted(set(lengths))
+    best = math.inf
+    for inner in itertools.combinations(values[:-1], min(buckets, len(values)) - 1):
+        bounds = [*inner, values[-1]]
+        best = min(best, sum(min(b for b in bounds if b >= n) - n for n in lengths))
+    return best
+
+
+def test_bounds_are_optimal():
+    rng = random.Random(5)
+    for _ in range(60):
+        lengths = [rng.choice([0, 1, rng.randint(0, 30), rng.randint(0, 300)]) for _ in range(rng.randint(1, 14))]
+        counts, buckets = Counter(lengths), rng.randint(1, 4)
+        bounds = packing.best_bounds([(n, c, n * c) for n, c in sorted(counts.items())], buckets)
+        assert len(bounds) <= buckets and bounds == sorted(bounds)
+        assert sum(min(b for b in bounds if b >= n) - n for n in lengths) == brute_padding(lengths, buckets)
+
+
+def test_grid(spark):
+    from pyspark.sql import functions as F
+
+    n = [0, 1, 4095, 4096, 4097, 4099, 8191, 8192, 8193, 1 << 30, (1 << 30) + 1]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").select(packing.grid(F.col("n"))).collect()]
+    assert got == [0, 1, 4095, 4096, 4098, 4100, 8192, 8192, 8196, 1 << 30, (1 << 30) + (1 << 19)]
+
+
+def test_pack(odd, no_docs):
+    found = packing.pack(odd, buckets=3, batch_tokens=100, shard_docs=2).collect()
+    assert sorted(r["n_tokens"] for r in found) == sorted(len(words_of(r["text"])) for r in odd.collect())
+    rows = defaultdict(set)
+    for r in found:
+        assert r["padding"] == r["bucket_len"] - r["n_tokens"] >= 0
+        assert (r["batch"], r["row"]) not in rows[r["bucket"]]
+        rows[r["bucket"]].add((r["batch"], r["row"]))
+        assert r["row"] < max(1, 100 // max(1, r["bucket_len"]))
+    for r in found:  # all batches but a bucket's last are full
+        full = max(1, 100 // max(1, r["bucket_len"]))
+        numbers = sorted(b * full + k for b, k in rows[r["bucket"]])
+        assert numbers == list(range(len(numbers)))
+    assert packing.pack(no_docs).collect() == []
+
+
+# Personal data.
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes_luhn(digits):
+    double = [int(d) * 2 if k % 2 else int(d) for k, d in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in double) % 10 == 0
+
+
+def good(kind, hit):
+    digits = re.sub("[^0-9]", "", hit)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in hit.split("."))
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and passes_luhn(digits)
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def brute_spans(text):
+    found = [(m.start(), k, kind, m.end()) for k, (kind, p) in enumerate(BASE.items()) for m in re.finditer(p, text or "") if good(kind, m[0])]
+    return [(kind, a, b) for a, _, kind, b in sorted(found)]
+
+
+def luhn_number(rng, n):
+    body = "".join(rng.choices("0123456789", k=n - 1))
+    return next(body + d for d in "0123456789" if passes_luhn(body + d))
+
+
+def test_base_spans_equal_the_plain_patterns(spark, odd):
+    rng = random.Random(6)
+    atoms = ["a", "é", "𝄞", "@", ".", "-", "+", " ", "1", "25", "300", "0007", "x.y", "b_c%", "(", ")", "\n", "c@d.ef", "1.2.3.4", "+49 30 1234567", "_"]
+    texts = ["".join(rng.choices(atoms, k=rng.randint(0, 30))) for _ in range(1500)]
+    for _ in range(300):
+        number = luhn_number(rng, rng.randint(11, 20))
+        cut = rng.choice(["", " ", "-"]).join(re.findall("..?.?.?", number))
+        texts.append("".join(rng.choices(atoms, k=5)) + cut + "".join(rng.choices(atoms, k=5)))
+    texts += [None, "", "a@b.c_d@e.f", "a@b@c.d", "9" * 30_000, "a" * 60_000 + "@b.cd", "1.1." * 4000, "1 " * 20_000, "+1(" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = [k.name for k in pii.KINDS if k.base]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["pii"] if s["kind"] in base] for r in pii.detect(df).collect()}
+    assert got == {k: brute_spans(t) for k, t in enumerate(texts)}
+    assert pii.detect(odd).count() == odd.count()
+
+
+def test_added_kinds_and_context(spark):
+    texts = [
+        "Pay to DE89 3704 0044 0532 0130 00 please",
+        "Pay to DE88 3704 0044 0532 0130 00 please",
+        "IBAN GB82WEST12345698765432.",
+        "number 123-45-6789 alone",
+        "my social security number is 123-45-6789.",
+        "call me: +1 (988) 555-2485",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]], s["score"]) for s in r["pii"]] for r in pii.detect(df).collect()}
+    assert rows[0] == [("iban", "DE89 3704 0044 0532 0130 00", 0.6)]
+    assert all(kind != "iban" for kind, _, _ in rows[1])
+    assert rows[2] == [("iban", "GB82WEST12345698765432", 0.85)]
+    assert rows[3] == []
+    assert rows[4] == [("ssn", "123-45-6789", 0.55)]
+    assert rows[5] == [("phone", "+1 (988) 555-2485", 0.85)]
+
+
+def test_redaction(spark, odd, no_docs):
+    texts = ["é mail a.b@c.de, or 1.2.3.4!", None, "clean", "+49 4111 1111 1111", "x 4111-1111-1111-1111 y a@b.cd"]
+    df = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, pii string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert got == {0: "é mail [EMAIL], or [IP]!", 1: None, 2: "clean", 3: "[PHONE]", 4: "x [CARD] y [EMAIL]"}
+    assert pii.redact(odd).columns == odd.columns
+    assert pii.redact(no_docs).collect() == [] == pii.detect(no_docs).collect()
