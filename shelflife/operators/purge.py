@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelflife.functions.times import as_of_literal, cutoff, is_expired, time_type
 from shelflife.operators.retention import retained_rows
-from shelflife.session import drop_uri, is_written, write_once
+from shelflife.session import drop_folder, folder_exists, is_written, local_name, move_folder, write_once
 
 FILES_PER_STAGED_FILE = 20_000
 FILE_OUTCOME = "dir_name string, path string, size_bytes bigint, deleted boolean, error string"
+MANIFEST = "folder string, mark string, action string"
+# Columns a purge adds: the folder a row is in, and a short name for it.
+FOLDER, MARK = "__folder", "__mark"
 DIR_OUTCOME = "dir_name string, path string, depth int, removed boolean"
 
 
@@ -137,20 +141,21 @@ def remove_folders(plan: DataFrame, run_dir: str) -> DataFrame:
 
 def partition_actions(
     table: DataFrame,
-    partition: str,
+    partition: str | list[str],
     as_of: dt.datetime,
     hours: int,
     time: str,
-    dated: bool = False,
+    dated: bool | str = False,
 ) -> DataFrame:
     """What a purge does to each partition: drop it, rewrite it, or keep it untouched.
 
-    ``dated`` says that the partition column is the date of the time column; partitions newer than the
-    cutoff are then not even listed.
+    ``dated`` says that the partition column, or the column it names, is the date of the time column;
+    partitions newer than the cutoff are then not even listed.
     """
     now = as_of_literal(as_of, time_type(table, time))
     if dated:
-        table = table.where(F.col(partition) <= F.to_date(cutoff(now, hours)))
+        day = dated if isinstance(dated, str) else partition
+        table = table.where(F.col(day) <= F.to_date(cutoff(now, hours)))
     return (
         table.groupBy(partition)
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if(is_expired(F.col(time), now, hours)).alias("expired"))
@@ -163,9 +168,20 @@ def partition_actions(
     )
 
 
-def _in_partitions(column: Column, values: list) -> Column:
-    named = column.isin([v for v in values if v is not None])
-    return named | column.isNull() if None in values else named
+PURGE_FOLDER = "_shelflife_purge"
+
+
+def _finish_purge(spark: SparkSession, staging: str) -> None:
+    """Put the staged folders of a manifest in place. Every step may have been done before."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{staging}/manifest")
+    for row in manifest.collect():
+        new, old = f"{staging}/new/{MARK}={row['mark']}", f"{staging}/old/{row['mark']}"
+        waiting = row["action"] == "rewrite" and folder_exists(spark, new)
+        if (waiting or row["action"] == "drop") and not folder_exists(spark, old):
+            move_folder(spark, row["folder"], old)
+        if waiting:
+            move_folder(spark, new, row["folder"])
+    drop_folder(spark, staging)
 
 
 def purge_table(
@@ -177,34 +193,51 @@ def purge_table(
     time: str,
     dated: bool = False,
 ) -> DataFrame:
-    """Delete the expired rows of a parquet table partitioned by one column; returns the actions taken.
-
-    Partly expired partitions are rewritten by dynamic partition overwrite, wholly expired ones are
-    dropped as folders without rewriting a row, and the others are not touched. Only the list of touched
-    partitions comes to the driver, which lists partitions anyway. Each step leaves a table on which the
-    next call goes on, so an interrupted purge is simply run again. No other job may write to the touched
-    partitions meanwhile. :func:`partition_actions` is the dry run.
+    """Delete the expired rows of a partitioned parquet table; returns the actions per value of ``partition``.
+
+    The table may have further partition columns; what is dropped or rewritten are its innermost folders,
+    under the names they have. Partly expired folders are rewritten in one job beside the table, with all
+    columns any of them has; columns whose types do not go together fail the purge before it changes
+    anything. The rewritten rows are counted against what must stay. Then a manifest is written, and from
+    there on the purge only moves folders: the old one away, the new one into its place. Wholly expired
+    folders are only moved away, the others are not touched.
+
+    A purge interrupted before the manifest has changed nothing; the next call finishes one interrupted
+    after it, whatever its arguments, and then does its own work. The driver holds one row per touched
+    folder and moves them; a reader may miss a folder while it is exchanged. No other job may write to the
+    touched folders meanwhile. :func:`partition_actions` is the dry run.
     """
-    table = spark.read.parquet(path)
-    actions = partition_actions(table, partition, as_of, hours, time, dated)
-    taken = actions.where(F.col("action") != "keep").collect()
-    rewritten = [r[partition] for r in taken if r["action"] == "rewrite"]
-    if rewritten:
-        kept = retained_rows(table.where(_in_partitions(F.col(partition), rewritten)), as_of, hours, time)
-        (
-            kept.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(partition)
-            .parquet(path)
-        )
-    dropped = [r[partition] for r in taken if r["action"] == "drop"]
-    if dropped:
-        # The folder names come from the files themselves, whatever way their values were written.
-        folders = (
-            table.where(_in_partitions(F.col(partition), dropped))
-            .select(F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("folder"))
-            .distinct()
-        )
-        for row in folders.collect():
-            drop_uri(spark, row["folder"])
-    return spark.createDataFrame(taken, actions.schema)
+    path = path.rstrip("/")
+    staging = f"{path}/{PURGE_FOLDER}"
+    if is_written(spark, f"{staging}/manifest"):
+        _finish_purge(spark, staging)
+    elif folder_exists(spark, staging):
+        drop_folder(spark, staging)
+    table = spark.read.option("mergeSchema", "true").parquet(path)
+    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1)
+    rows = table.select("*", folder.alias(FOLDER))
+    by_folder = partition_actions(rows, [partition, FOLDER], as_of, hours, time, dated and partition).where("action <> 'keep'")
+    touched = [(r[FOLDER], r["action"], r["rows"] - r["expired"]) for r in by_folder.collect()]
+    actions = partition_actions(table, partition, as_of, hours, time, dated).where("action <> 'keep'")
+    taken = spark.createDataFrame(actions.collect(), actions.schema) if touched else spark.createDataFrame([], actions.schema)
+    if not touched:
+        return taken
+    if any(f"/{partition}=" not in uri for uri, _, _ in touched):
+        raise ValueError(f"{partition} is no partition column of {path}")
+    marks = {uri: "f" + hashlib.md5(uri.encode()).hexdigest() for uri, _, _ in touched}
+    kept = {marks[uri]: n for uri, action, n in touched if action == "rewrite"}
+    if kept:
+        folders = [local_name(spark, uri) for uri, action, _ in touched if action == "rewrite"]
+        old = spark.read.option("mergeSchema", "true").parquet(*folders)
+        mark = F.concat(F.lit("f"), F.md5(folder.cast("binary")))
+        staying = retained_rows(old.select("*", mark.alias(MARK)), as_of, hours, time)
+        staying.write.partitionBy(MARK).parquet(f"{staging}/new")
+        found = spark.read.parquet(f"{staging}/new").groupBy(MARK).agg(F.count(F.lit(1)).alias("n"))
+        written = {r[MARK]: r["n"] for r in found.collect()}
+        if written != kept:
+            drop_folder(spark, staging)
+            raise RuntimeError(f"{path} changed while it was purged; nothing was deleted")
+    plan = [(uri, marks[uri], action) for uri, action, _ in touched]
+    spark.createDataFrame(plan, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{staging}/manifest")
+    _finish_purge(spark, staging)
+    return taken

@@ -62,11 +62,36 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def drop_uri(spark: SparkSession, uri: str) -> bool:
-    """Delete a table folder, given as its URI, through the file system that holds it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.delete(target, True)
+def _folder(spark: SparkSession, name: str):
+    """A folder given by its path or, as files report it, by its URI."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop(spark._jvm.java.net.URI(name)) if urlsplit(name).scheme else hadoop(name)
+
+
+def local_name(spark: SparkSession, uri: str) -> str:
+    """The path, as readers take it, of a folder given by its URI."""
+    return _folder(spark, uri).toString()
+
+
+def folder_exists(spark: SparkSession, name: str) -> bool:
+    target = _folder(spark, name)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def drop_folder(spark: SparkSession, name: str) -> bool:
+    target = _folder(spark, name)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder, making the folders above its new place."""
+    old, new = _folder(spark, source), _folder(spark, target)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(old):
+        return
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
 
 
 def write_once(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), **options) -> DataFrame:

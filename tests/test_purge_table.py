@@ -88,3 +88,85 @@ def test_random_tables(spark, tmp_path, seed):
     limit = AS_OF - dt.timedelta(hours=24)
     expected = sorted((n, str(part)) for n, at, part in data if at is None or at >= limit)
     assert rows(spark, path) == expected
+
+
+def two_levels(spark, path, last=None):
+    """Rows by month, as two digits, and kind; one folder's rows have a column more."""
+    old, new = dt.datetime(2025, 1, 1), dt.datetime(2025, 6, 15)
+    data = [(1, old, "01", "a"), (2, new, "01", "a"), (3, old, "01", "b"), (4, new, "02", "a"), (5, old, "02", "b")]
+    schema = "id bigint, at timestamp_ntz, part string, kind string"
+    spark.createDataFrame(data, schema).write.partitionBy("part", "kind").parquet(path)
+    more = [(6, old, "x", "02", "b"), (7, new, "note", "02", "b"), (8, None, "kept", "02", "b")]
+    spark.createDataFrame(more, "id bigint, at timestamp_ntz, note string, part string, kind string").write.mode(
+        "append"
+    ).partitionBy("part", "kind").parquet(path)
+
+
+def leaves(path):
+    return sorted(os.path.relpath(d, path) for d, _, files in os.walk(path) if any(f.endswith(".parquet") for f in files))
+
+
+def read_two(spark, path):
+    df = spark.read.option("mergeSchema", "true").parquet(path)
+    return sorted((r["id"], str(r["part"]), r["kind"], r["note"]) for r in df.collect())
+
+
+LEFT = [(2, "1", "a", None), (4, "2", "a", None), (7, "2", "b", "note"), (8, "2", "b", "kept")]
+
+
+def test_folder_names_depth_and_columns_stay(spark, tmp_path):
+    path = str(tmp_path / "t")
+    two_levels(spark, path)
+    untouched = {f: os.stat(f"{path}/part=02/kind=a/{f}").st_mtime_ns for f in os.listdir(f"{path}/part=02/kind=a")}
+    taken = {str(r["part"]): (r["rows"], r["expired"], r["action"]) for r in purge_table(spark, path, "part", AS_OF, 24, "at").collect()}
+    assert taken == {"1": (3, 2, "rewrite"), "2": (5, 2, "rewrite")}
+    assert leaves(path) == ["part=01/kind=a", "part=02/kind=a", "part=02/kind=b"]
+    assert read_two(spark, path) == LEFT
+    assert untouched == {f: os.stat(f"{path}/part=02/kind=a/{f}").st_mtime_ns for f in os.listdir(f"{path}/part=02/kind=a")}
+    for _ in range(2):
+        assert purge_table(spark, path, "part", AS_OF, 24, "at").count() == 0
+        assert read_two(spark, path) == LEFT
+
+
+@pytest.mark.parametrize("moves", range(6))
+def test_interrupted_purge_is_finished(spark, tmp_path, monkeypatch, moves):
+    """The driver dies before one of the moves; the next call loses and doubles nothing."""
+    from shelflife.operators import purge
+
+    path, done, move = str(tmp_path / "t"), [], purge.move_folder
+    two_levels(spark, path)
+
+    def dying(*args):
+        if len(done) == moves:
+            raise SystemError("driver lost")
+        done.append(move(*args))
+
+    monkeypatch.setattr(purge, "move_folder", dying)
+    try:
+        purge_table(spark, path, "part", AS_OF, 24, "at")
+    except SystemError:
+        pass
+    monkeypatch.undo()
+    purge_table(spark, path, "part", AS_OF, 24, "at")
+    assert read_two(spark, path) == LEFT
+    assert leaves(path) == ["part=01/kind=a", "part=02/kind=a", "part=02/kind=b"]
+
+
+def test_purge_interrupted_before_its_manifest_changed_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    two_levels(spark, path)
+    before = leaves(path)
+    spark.range(3).write.parquet(f"{path}/_shelflife_purge/new/__mark=f0")
+    assert len(read_two(spark, path)) == 8 and leaves(path) != before
+    purge_table(spark, path, "part", AS_OF, 24, "at")
+    assert read_two(spark, path) == LEFT
+
+
+def test_purge_that_cannot_merge_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    two_levels(spark, path)
+    spark.createDataFrame([(9, dt.datetime(2025, 1, 1), 5)], "id bigint, at timestamp_ntz, note int").write.parquet(f"{path}/part=03/kind=a")
+    before = leaves(path)
+    with pytest.raises(Exception, match="(?i)merge"):
+        purge_table(spark, path, "part", AS_OF, 24, "at")
+    assert leaves(path) == before
