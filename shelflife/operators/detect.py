@@ -6,7 +6,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from shelflife.sources.content import SPAN_BYTES
 
 
 @dataclass(frozen=True)
@@ -14,13 +16,16 @@ class Detector:
     """A regex whose group ``group`` is the secret; group 0 is the whole match.
 
     ``literals`` are texts of which every match contains at least one. They are tested by a plain
-    substring search first, so the regex only runs on texts that can match.
+    substring search first, so the regex only runs on texts that can match. ``span`` is how many bytes a
+    match may cover with what the pattern looks at around it; a detector with ``span=None`` gets every file
+    as one text. A match is never empty.
     """
 
     category: str
     pattern: str
     literals: tuple[str, ...] = ()
     group: int = 0
+    span: int | None = SPAN_BYTES
 
 
 @dataclass(frozen=True)
@@ -31,13 +36,13 @@ class BatchDetector:
     """
 
     category: str
-    find: Callable = field(compare=False)
+    find: Callable = field(compare=False, repr=False)
     literals: tuple[str, ...] = ()
 
 
-def from_patterns(patterns: dict[str, str], group: int = 0) -> list[Detector]:
+def from_patterns(patterns: dict[str, str], group: int = 0, span: int | None = SPAN_BYTES) -> list[Detector]:
     """A caller's own regexes by category."""
-    return [Detector(category, pattern, group=group) for category, pattern in patterns.items()]
+    return [Detector(category, pattern, group=group, span=span) for category, pattern in patterns.items()]
 
 
 def _token(prefix: str, rest: str) -> str:
@@ -100,6 +105,28 @@ def matches(text: Column, detector: Detector | BatchDetector) -> Column:
     return F.when(_can_match(text, detector), found).otherwise(F.array().cast("array<string>"))
 
 
+def owned_matches(text: Column, detector: Detector, own_from: Column, own_to: Column) -> Column:
+    """The secrets of one detector whose match starts in a range of the text's code points.
+
+    The texts between the matches and the matches themselves give where each starts.
+    """
+    whole = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
+    secrets = whole if detector.group == 0 else F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(detector.group))
+    steps = F.arrays_zip(F.split(text, detector.pattern, -1).alias("gap"), whole.alias("whole"), secrets.alias("secret"))
+
+    def step(state: Column, found: Column) -> Column:
+        start = state["at"] + F.length(found["gap"])
+        own = found["secret"].isNotNull() & (start >= own_from) & (start < own_to)
+        secrets = F.when(own, F.array_append(state["secrets"], found["secret"])).otherwise(state["secrets"])
+        after = start + F.coalesce(F.length(found["whole"]), F.lit(0))
+        return F.struct(after.alias("at"), secrets.alias("secrets"))
+
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("secrets"))
+    found = F.aggregate(steps, start, step, lambda state: state["secrets"])
+    return F.when(_can_match(text, detector), found).otherwise(none)
+
+
 def matches_any(text: Column, detector: Detector) -> Column:
     """Whether a detector matches anywhere in a text."""
     return F.coalesce(_can_match(text, detector) & text.rlike(detector.pattern), F.lit(False))
@@ -141,15 +168,54 @@ def find_secrets(
     )
 
 
+def find_in_files(content: DataFrame, detectors: Sequence[Detector | BatchDetector]) -> DataFrame:
+    """The same for file content that comes in parts: the matches each part owns.
+
+    Rows (dir_name, item, part, detector, category, position, secret), the position within the part; a row
+    without a category holds as secret why a part could not be read.
+    """
+    text, own = F.col("text"), (F.col("own_from"), F.col("own_to"))
+    found = [matches(text, d) if isinstance(d, BatchDetector) else owned_matches(text, d, *own) for d in detectors]
+    found.append(F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.array().cast("array<string>")))
+    wide = content.select("dir_name", "item", "part", *[c.alias(f"_{i}") for i, c in enumerate(found)])
+    names = [*(F.lit(d.category) for d in detectors), F.lit(None).cast("string")]
+    long = [F.struct(F.lit(i).alias("detector"), name.alias("category"), F.col(f"_{i}").alias("secrets")) for i, name in enumerate(names)]
+    return wide.select("dir_name", "item", "part", F.inline(F.array(*long))).select(
+        "dir_name", "item", "part", "detector", "category", F.posexplode("secrets").alias("position", "secret")
+    )
+
+
+def number_positions(findings: DataFrame) -> DataFrame:
+    """Findings of parts with ``position`` counted over the whole item; only findings are shuffled."""
+    keys = ["dir_name", "item", "category", "detector"]
+    counted = F.row_number().over(Window.partitionBy(*keys).orderBy("part", "position")) - 1
+    return findings.withColumn("position", counted).drop("part")
+
+
 def merge_findings(findings: DataFrame) -> DataFrame:
     """Each secret of an item once per category, whichever detectors reported it.
 
-    ``position``, and ``part`` where items are read in parts, are those of its first report.
+    ``position`` is that of its first report. The one column that is not a key is an integer, so the
+    merge is a hash aggregate.
     """
-    place = [c for c in ("part", "position") if c in findings.columns]
-    keys = [c for c in findings.columns if c not in place]
-    first = findings.groupBy(*keys).agg(F.min(F.struct(*place)).alias("_first"))
-    return first.select(*keys, *[F.col("_first")[c].alias(c) for c in place])
+    keys = [c for c in findings.columns if c not in ("position", "detector")]
+    return findings.groupBy(*keys).agg(F.min("position").alias("position"))
+
+
+def shared_categories(detectors: Sequence[Detector | BatchDetector]) -> list[str]:
+    """Categories that more than one detector reports."""
+    names = [d.category for d in detectors]
+    return sorted({n for n in names if names.count(n) > 1})
+
+
+def merge_shared(findings: DataFrame, detectors: Sequence[Detector | BatchDetector]) -> DataFrame:
+    """Merge the reports of categories several detectors have; all others stay as they are."""
+    shared = shared_categories(detectors)
+    findings = findings.drop("detector")
+    if not shared:
+        return findings
+    several = F.coalesce(F.col("category").isin(shared), F.lit(False))
+    return findings.where(~several).unionByName(merge_findings(findings.where(several)))
 
 
 def scan_with(
@@ -157,8 +223,9 @@ def scan_with(
     extra: Sequence[Detector | BatchDetector],
     builtin: Sequence[Detector] = BUILTIN_DETECTORS,
 ) -> DataFrame:
-    """The built-in detectors and the caller's together, overlapping reports merged."""
-    return merge_findings(find_secrets(content, [*builtin, *extra]))
+    """The built-in detectors and the caller's together; a secret that two of one category report counts once."""
+    detectors = [*builtin, *extra]
+    return merge_shared(find_secrets(content, detectors), detectors)
 
 
 def summarize(findings: DataFrame, item: str = "item") -> DataFrame:

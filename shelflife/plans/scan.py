@@ -5,44 +5,64 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelflife.operators.detect import (
     BUILTIN_DETECTORS,
     BatchDetector,
     Detector,
-    find_secrets,
-    merge_findings,
+    find_in_files,
+    merge_shared,
+    number_positions,
     recommend,
     summarize,
 )
-from shelflife.session import shared_dir, write_once
+from shelflife.session import bound_run_dir, write_once
 from shelflife.sources.content import SPLIT_BYTES, file_content
-from shelflife.sources.tree import existing_roots, walk_inventory
+from shelflife.sources.tree import existing_roots, rooted, walk_inventory
 
 
 class Scan(NamedTuple):
     findings: DataFrame
     summary: DataFrame
     advice: DataFrame
+    #: Files, or parts of files, that could not be read: the findings do not cover them.
+    unread: DataFrame
+    run_dir: str
 
 
-def scan_content(
-    content: DataFrame,
+def scan_files(
+    inventory: DataFrame,
     roots: DataFrame,
     run_dir: str,
     extra: Sequence[Detector | BatchDetector] = (),
     builtin: Sequence[Detector] = BUILTIN_DETECTORS,
+    split_bytes: int | None = SPLIT_BYTES,
+    digest: bool = False,
 ) -> Scan:
-    """Findings, counts and advice. The findings are written once, so the text is read once.
+    """Findings, counts and advice. What is found is written once, so the text is read once.
 
-    They are rebalanced before the write, since most tasks of a large scan find little or nothing.
+    Detectors with a span read files in parts; those without one, and batch detectors, read every file as one
+    text. Which way a detector goes depends on the detector and never on the size of a file. The findings are
+    rebalanced before the write, since most tasks of a large scan find little or nothing. ``digest`` keeps the
+    SHA-256 of each secret in the secret's place.
     """
-    findings = find_secrets(content, [*builtin, *extra])
-    if extra:
-        findings = merge_findings(findings)
-    findings = write_once(findings.hint("rebalance"), f"{run_dir}/findings")
-    return Scan(findings, summarize(findings), recommend(roots.select("dir_name"), findings))
+    detectors = [*builtin, *extra]
+    in_parts = [d for d in detectors if isinstance(d, Detector) and d.span is not None and split_bytes is not None]
+    whole = [d for d in detectors if d not in in_parts]
+    found = []
+    if in_parts:
+        found.append(find_in_files(file_content(inventory, split_bytes, max(d.span for d in in_parts)), in_parts))
+    if whole:
+        found.append(find_in_files(file_content(inventory, None), whole).withColumn("detector", F.col("detector") + len(in_parts)))
+    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    if digest:
+        rows = rows.withColumn("secret", F.when(F.col("category").isNull(), F.col("secret")).otherwise(F.sha2("secret", 256)))
+    rows = write_once(rows.hint("rebalance"), f"{run_dir}/found")
+    unread = rows.where("category is null").select("dir_name", "item", F.col("secret").alias("error")).distinct()
+    findings = merge_shared(number_positions(rows.where("category is not null")), detectors)
+    findings = write_once(findings.select("dir_name", "item", "category", "position", "secret"), f"{run_dir}/findings")
+    return Scan(findings, summarize(findings), recommend(roots.select("dir_name"), findings), unread, run_dir)
 
 
 def scan_trees(
@@ -51,9 +71,15 @@ def scan_trees(
     extra: Sequence[Detector | BatchDetector] = (),
     run_dir: str | None = None,
     split_bytes: int | None = SPLIT_BYTES,
+    digest: bool = False,
 ) -> Scan:
-    """Scan every file below the roots."""
-    run_dir = run_dir or shared_dir(spark, "scan")
+    """Scan every file below the roots.
+
+    The findings, secrets included unless ``digest``, stay below the scan's ``run_dir`` until the caller
+    deletes it.
+    """
+    roots = rooted(roots)
+    named = [repr(d) for d in extra]
+    run_dir = bound_run_dir(spark, run_dir, "scan", roots=roots, extra=named, split_bytes=split_bytes, digest=digest)
     inventory = walk_inventory(spark, roots, f"{run_dir}/walk")
-    content = file_content(inventory, split_bytes)
-    return scan_content(content, existing_roots(spark, roots), run_dir, extra)
+    return scan_files(inventory, existing_roots(spark, roots), run_dir, extra, split_bytes=split_bytes, digest=digest)

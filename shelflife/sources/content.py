@@ -9,65 +9,84 @@ from pyspark.sql import DataFrame, functions as F
 from shelflife.sources.tables import files_only
 
 SPLIT_BYTES = 16 * 1024 * 1024
+#: Bytes a match may cover together with what its pattern looks at around it.
+SPAN_BYTES = 1024 * 1024
 TASK_BYTES = 1024 * 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
-CONTENT_SCHEMA = "dir_name string, item string, part bigint, text string"
+CONTENT_SCHEMA = "dir_name string, item string, part bigint, text string, own_from int, own_to int, error string"
+COLUMNS = [field.split()[0] for field in CONTENT_SCHEMA.split(", ")]
 
 
-def _read_ranges(split_bytes: int | None, batch_bytes: int):
-    """Whole lines that start in a file's byte range; the whole file when it is not split."""
+def _read_window(path, part: int, split_bytes: int, span_bytes: int) -> tuple[str, int, int]:
+    """The text of one part with its surroundings, and where in it (code points) the part lies.
 
+    Cuts move forward to the next first byte of a character, in the same way for both parts they lie between.
+    """
+    start, stop = part * split_bytes, (part + 1) * split_bytes
+    low = max(0, start - span_bytes)
+    with open(path, "rb") as stream:
+        stream.seek(low)
+        data = stream.read(stop + span_bytes - low)
+
+    def cut(at):
+        at = min(at - low, len(data))
+        for _ in range(3):
+            if 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+                at += 1
+        return at
+
+    texts = [data[a:b].decode("utf-8", "replace") for a, b in ((cut(low), cut(start)), (cut(start), cut(stop)), (cut(stop), len(data)))]
+    # A match may also stand at the very end of the file.
+    end = len(texts[0]) + len(texts[1]) + (cut(stop) == len(data))
+    return "".join(texts), len(texts[0]), end
+
+
+def _read_parts(split_bytes: int | None, span_bytes: int, batch_bytes: int):
     def read(path, part):
+        if split_bytes is not None:
+            return _read_window(path, part, split_bytes, span_bytes)
         with open(path, "rb") as stream:
-            if split_bytes is None:
-                return stream.read()
-            start, stop = part * split_bytes, (part + 1) * split_bytes
-            if start:
-                stream.seek(start - 1)
-                stream.readline()
-            data = stream.read(max(stop - stream.tell(), 0))
-            if data and not data.endswith(b"\n"):
-                data += stream.readline()
-            return data
+            text = stream.read().decode("utf-8", "replace")
+        return text, 0, len(text) + 1
 
     def run(batches):
         import pandas as pd
 
-        columns = ["dir_name", "item", "part", "text"]
         rows, held = [], 0
         for pdf in batches:
-            for dir_name, path, part in zip(pdf["dir_name"], pdf["item"], pdf["part"]):
+            for dir_name, item, raw, part in zip(pdf["dir_name"], pdf["item"], pdf["raw"], pdf["part"]):
                 try:
-                    data = read(path, int(part))
-                except OSError:
+                    text, own_from, own_to = read(item if raw is None else raw, int(part))
+                except (OSError, MemoryError) as problem:
+                    rows.append((dir_name, item, int(part), None, 0, 0, type(problem).__name__))
                     continue
-                if not data:
+                if len(text) >= 2**31 - 64:
+                    rows.append((dir_name, item, int(part), None, 0, 0, "too large for one text"))
                     continue
-                rows.append((dir_name, path, int(part), data.decode("utf-8", "replace")))
-                held += len(data)
+                rows.append((dir_name, item, int(part), text, own_from, own_to, None))
+                held += len(text)
                 if held >= batch_bytes:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield pd.DataFrame(rows, columns=COLUMNS)
                     rows, held = [], 0
-        yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(rows, columns=COLUMNS)
 
     return run
 
 
-def file_content(inventory: DataFrame, split_bytes: int | None = SPLIT_BYTES) -> DataFrame:
+def file_content(inventory: DataFrame, split_bytes: int | None = SPLIT_BYTES, span_bytes: int = SPAN_BYTES) -> DataFrame:
     """Text of every file of an inventory, as UTF-8 with invalid bytes replaced.
 
-    A file larger than ``split_bytes`` is read as several parts by several tasks, each part made of the
-    whole lines that start in its byte range, so all text is read exactly once and a detector whose match
-    stays on one line finds the same secrets as on the whole file. ``split_bytes=None`` gives one row per
-    file for detectors that span lines. Files that cannot be read are skipped. Only paths are shuffled,
-    into tasks of about ``TASK_BYTES`` of text each.
+    A file is read in parts of ``split_bytes`` by several tasks. A part's text also holds the ``span_bytes``
+    before and after it, and ``own_from`` and ``own_to`` say which code points are the part's own: a match
+    belongs to the part it starts in, and what it needs to be recognised is in the text of that part, wherever
+    the cuts fall and whether the file has line breaks or not. ``split_bytes=None`` gives one text per file.
+    A file that cannot be read has a row with ``error`` and no text. Only paths are shuffled, into tasks of
+    about ``TASK_BYTES`` of text each.
     """
-    files = files_only(inventory).where(F.col("stat_ok"))
-    last = (
-        F.lit(0).cast("bigint")
-        if split_bytes is None
-        else F.floor(F.greatest(F.col("size_bytes") - 1, F.lit(0)) / split_bytes)
-    )
+    span_bytes = max(span_bytes, 8)
+    files = files_only(inventory).where(F.col("stat_ok") & (F.col("size_bytes") > 0))
+    raw = F.col("raw") if "raw" in inventory.columns else F.lit(None).cast("binary")
+    last = F.lit(0).cast("bigint") if split_bytes is None else F.floor((F.col("size_bytes") - 1) / split_bytes)
     zero = F.lit(0).cast("bigint")
     found = files.agg(
         F.coalesce(F.sum(last + 1), zero).alias("ranges"), F.coalesce(F.sum("size_bytes"), zero).alias("bytes")
@@ -77,6 +96,7 @@ def file_content(inventory: DataFrame, split_bytes: int | None = SPLIT_BYTES) ->
     ranges = files.select(
         "dir_name",
         F.col("path").alias("item"),
+        raw.alias("raw"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"),
     )
-    return ranges.repartition(tasks).mapInPandas(_read_ranges(split_bytes, BATCH_BYTES), CONTENT_SCHEMA)
+    return ranges.repartition(tasks).mapInPandas(_read_parts(split_bytes, span_bytes, BATCH_BYTES), CONTENT_SCHEMA)

@@ -16,7 +16,7 @@ DEFAULT_ROOTS = [
     "shell-snapshots",
 ]
 
-# ``raw`` holds the bytes of a path that is not valid UTF-8; ``path`` then shows them escaped.
+# ``raw`` holds the bytes of a path that is not valid UTF-8, and is what tasks open; ``path`` shows them escaped.
 LISTING_SCHEMA = "dir_name string, path string, raw binary, kind string"
 INVENTORY_SCHEMA = (
     "dir_name string, path string, size_bytes bigint, mtime timestamp, is_dir boolean, stat_ok boolean"
@@ -25,6 +25,18 @@ ENTRIES_PER_FILE = 20_000
 ROWS_PER_BATCH = 10_000
 
 
+def root_path(path: str) -> str:
+    """A root as the walk spells it: absolute, on a mount, without a slash at the end."""
+    path = mounted_path(path)
+    if not path.startswith("/"):
+        raise ValueError(f"a root must be an absolute path: {path}")
+    return path.rstrip("/") or "/"
+
+
+def rooted(roots: dict[str, str]) -> dict[str, str]:
+    return {name: root_path(path) for name, path in roots.items()}
+
+
 def roots_below(base: str, names: list[str] | None = None) -> dict[str, str]:
     """Root names and their paths below a base folder that every executor sees."""
     base = mounted_path(base).rstrip("/")
@@ -32,7 +44,11 @@ def roots_below(base: str, names: list[str] | None = None) -> dict[str, str]:
 
 
 def _list_folders(rows_per_batch: int):
-    """Entries directly in each folder: folders to descend into and files, without measuring them."""
+    """Entries directly in each folder: folders to descend into and files, without measuring them.
+
+    A folder that is gone lists nothing, one that may not be listed comes back as blocked; any other failure
+    (a lost mount, a broken disk) fails the task, since the walk would not be whole.
+    """
 
     def run(batches):
         import os
@@ -53,7 +69,10 @@ def _list_folders(rows_per_batch: int):
             for dir_name, folder, raw in zip(folders["dir_name"], folders["path"], folders["raw"]):
                 try:
                     entries = os.scandir(folder if raw is None else raw)
-                except OSError:
+                except (FileNotFoundError, NotADirectoryError):
+                    continue
+                except PermissionError:
+                    rows.append((dir_name, folder, raw, "blocked"))
                     continue
                 with entries:
                     for entry in entries:
@@ -64,8 +83,10 @@ def _list_folders(rows_per_batch: int):
                                 kind = "file"
                             else:
                                 continue
-                        except OSError:
+                        except FileNotFoundError:
                             continue
+                        except PermissionError:
+                            kind = "file"
                         rows.append((dir_name, *named(entry.path), kind))
                         if len(rows) >= rows_per_batch:
                             yield pd.DataFrame(rows, columns=columns)
@@ -86,21 +107,21 @@ def _measure():
             sizes, times, keep, readable = [], [], [], []
             for path, raw, kind in zip(entries["path"], entries["raw"], entries["kind"]):
                 size = micros = None
-                present, known = True, raw is None
+                present, known = True, kind != "blocked"
                 try:
                     if known:
-                        found = os.stat(path)
+                        found = os.stat(path if raw is None else raw)
                         size, micros = found.st_size, found.st_mtime_ns // 1000
                 except OSError as problem:
                     present, known = not isinstance(problem, FileNotFoundError), False
-                sizes.append(None if kind == "dir" else size)
+                sizes.append(size if kind == "file" else None)
                 times.append(micros)
                 keep.append(present)
                 readable.append(known)
-            out = entries[["dir_name", "path"]].copy()
+            out = entries[["dir_name", "path", "raw"]].copy()
             out["size_bytes"] = _nullable(sizes)
             out["mtime_micros"] = _nullable(times)
-            out["is_dir"] = entries["kind"] == "dir"
+            out["is_dir"] = entries["kind"] != "file"
             out["stat_ok"] = readable
             yield out[keep]
 
@@ -121,7 +142,7 @@ def existing_roots(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
         for pdf in batches:
             yield pdf[[os.path.isdir(p) for p in pdf["path"]]]
 
-    wanted = spark.createDataFrame(list(roots.items()), "dir_name string, path string")
+    wanted = spark.createDataFrame(list(rooted(roots).items()), "dir_name string, path string")
     return wanted.mapInPandas(present, wanted.schema)
 
 
@@ -134,8 +155,10 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
     separate pass over the written listing, whose files of bounded row count spread the entries evenly
     without a shuffle, also those of one giant flat folder. Hidden names, empty files and links to files
     count; links to folders are not followed. A missing root lists nothing. A path that is not valid UTF-8
-    is listed with its bytes escaped and as unreadable, so it is counted and never purged.
+    is listed with its bytes escaped, and has them in ``raw``. A folder that may not be listed is there with
+    ``stat_ok`` false, a root as well.
     """
+    roots = rooted(roots)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folders = spark.createDataFrame(
         [(name, path, None) for name, path in roots.items()], "dir_name string, path string, raw binary"
@@ -150,9 +173,13 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
         folders = listing.where(F.col("kind") == "dir").select("dir_name", "path", "raw")
         level, known = level + 1, folders.count()
     entries = spark.read.schema(LISTING_SCHEMA).parquet(f"{run_dir}/listing").drop("level")
+    blocked = entries.where(F.col("kind") == "blocked")
+    if not blocked.isEmpty():
+        twice = blocked.select("dir_name", "path", F.lit("dir").alias("kind"))
+        entries = entries.join(twice, ["dir_name", "path", "kind"], "left_anti").select(entries.columns)
     measured = entries.mapInPandas(
         _measure(),
-        "dir_name string, path string, size_bytes bigint, mtime_micros bigint, is_dir boolean, stat_ok boolean",
+        "dir_name string, path string, raw binary, size_bytes bigint, mtime_micros bigint, is_dir boolean, stat_ok boolean",
     )
     return write_once(
         measured.select(
@@ -162,6 +189,7 @@ def walk_inventory(spark: SparkSession, roots: dict[str, str], run_dir: str) ->
             F.timestamp_micros("mtime_micros").alias("mtime"),
             "is_dir",
             "stat_ok",
+            "raw",
         ),
         f"{run_dir}/inventory",
     )

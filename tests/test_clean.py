@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import hashlib
 import os
+import re
+
+import pytest
 
 from shelflife.operators import detect
 from shelflife.operators.purge import FILE_OUTCOME, _unlink, purge_files, remove_folders
 from shelflife.operators.retention import purge_plan
 from shelflife.plans.clean import clean_trees
-from shelflife.plans.scan import scan_trees
+from shelflife.plans.scan import scan_files, scan_trees
 from shelflife.sources.tree import roots_below, walk_inventory
 from trees import AS_OF, put, touch
 
@@ -127,7 +131,7 @@ def test_lost_task_is_counted_once(spark, base, tmp_path):
     for n in range(50):
         put(base / "debug" / str(n), "xx", 48)
     roots, plan = plan_of(spark, base, tmp_path)
-    staged = plan.selectExpr("dir_name", "path", "size_bytes", "unix_micros(mtime) micros")
+    staged = plan.selectExpr("dir_name", "path", "raw", "size_bytes", "unix_micros(mtime) micros")
     staged.repartition(4).write.parquet(str(tmp_path / "staged"))
 
     def die_once(batches):
@@ -185,28 +189,102 @@ def test_folder_that_filled_up_meanwhile_stays(spark, base, tmp_path):
     assert [r["removed"] for r in remove_folders(plan, str(tmp_path / "run")).collect()] == [False, False]
 
 
+TOKEN = "AKIA" + "Q" * 16
+
+
+def scanned(spark, base, run_dir, extra=(), split=None, **more):
+    scan = scan_trees(spark, roots_below(str(base)), extra, run_dir=str(run_dir), split_bytes=split, **more)
+    found = sorted((os.path.basename(r["item"]), r["category"], r["position"], r["secret"]) for r in scan.findings.collect())
+    return scan, found
+
+
+def test_scan_does_not_depend_on_the_split(spark, base, tmp_path):
+    """Multi-line, anchored and grouped detectors, a file without line breaks, characters of several bytes."""
+    block = "BEGIN\n" + "body\n" * 20 + "END"
+    put(base / "debug" / "text", "filler é\n" * 130 + block + "\n" + f"KEY={TOKEN}\n" + "filler 😀\n" * 60 + block + f" {TOKEN}")
+    put(base / "debug" / "long", ("x😀" * 200 + f" {TOKEN} ") * 3 + "id=42")
+    put(base / "plans" / "bytes", b"\xff\xfe" * 700 + f" {TOKEN} ".encode() + b"\xff" * 50)
+    extra = [
+        detect.Detector("Blocks", "(?s)BEGIN.*?END", span=200),
+        detect.Detector("Starts", "^filler", span=100),
+        detect.Detector("Numbers", "id=([0-9]+)", group=1, span=100),
+        detect.Detector("Ends", "[A-Z]+$", span=None),
+        detect.BatchDetector("Batch", lambda texts: texts.map(re.compile("KEY=").findall)),
+    ]
+    builtin_span = {"span": 300}
+    monkey = [detect.Detector(d.category, d.pattern, d.literals, d.group, **builtin_span) for d in detect.BUILTIN_DETECTORS]
+    inventory = walk_inventory(spark, roots_below(str(base)), str(tmp_path / "walk"))
+    roots = spark.createDataFrame([("debug",), ("plans",)], "dir_name string")
+    expected = None
+    for split in (None, 64, 1000, *range(1400, 1461, 15), 1 << 24):
+        scan = scan_files(inventory, roots, str(tmp_path / str(split)), extra, monkey, split_bytes=split)
+        found = sorted((os.path.basename(r["item"]), r["category"], r["position"], r["secret"]) for r in scan.findings.collect())
+        expected = expected or found
+        assert found == expected, split
+    categories = sorted((item, category) for item, category, *_ in expected)
+    assert categories == sorted(
+        [("text", "Blocks")] * 2 + [("text", "Starts"), ("text", "Batch"), ("text", "Ends"), ("long", "Numbers"), ("bytes", "AWS Keys")]
+        + [("text", "AWS Keys")] * 2 + [("long", "AWS Keys")] * 3
+    )
+    assert [p for item, category, p, _ in expected if (item, category) == ("long", "AWS Keys")] == [0, 1, 2]
+
+
 def test_scan_of_trees(spark, base, tmp_path):
-    token = "AKIA" + "Q" * 16
-    put(base / "debug" / ".env", f"KEY={token}\n" + "filler\n" * 100 + f"again {token}\n")
-    put(base / "debug" / "big", ("line of text\n" * 500 + f"{token}\n") * 3)
+    put(base / "debug" / ".env", f"KEY={TOKEN}\n" + "filler\n" * 100 + f"again {TOKEN}\n")
+    put(base / "debug" / "big", ("line of text\n" * 500 + f"{TOKEN}\n") * 3)
     put(base / "todos" / "clean", "nothing")
+    with open(os.fsencode(base / "debug") + b"/bad\xff", "wb") as f:
+        f.write(TOKEN.encode())
     (base / "plans").rmdir()
-    for n, split in enumerate((None, 1000)):
-        scan = scan_trees(spark, roots_below(str(base)), run_dir=str(tmp_path / str(n)), split_bytes=split)
-        assert [tuple(r) for r in scan.summary.collect()] == [("debug", "AWS Keys", 5, 2)]
-        numbers = [detect.Detector("Lines", "(again|line) ", group=1)]
-        merged = scan_trees(
-            spark, roots_below(str(base)), numbers, run_dir=str(tmp_path / f"m{n}"), split_bytes=split
-        )
-        found = sorted((os.path.basename(r["item"]), r["category"], r["secret"]) for r in merged.findings.collect())
-        assert found == [
-            (".env", "AWS Keys", token),
-            (".env", "Lines", "again"),
-            ("big", "AWS Keys", token),
-            ("big", "Lines", "line"),
-        ]
-        advice = {r["dir_name"]: (r["matches"], r["cleanup_advised"]) for r in scan.advice.collect()}
-        assert advice["debug"] == (5, True) and advice["todos"] == (0, False) and "plans" not in advice
+    scan, found = scanned(spark, base, tmp_path / "a", split=1000)
+    assert [tuple(r) for r in scan.summary.collect()] == [("debug", "AWS Keys", 6, 3)]
+    assert scan.run_dir == str(tmp_path / "a") and scan.unread.count() == 0
+    advice = {r["dir_name"]: (r["matches"], r["cleanup_advised"]) for r in scan.advice.collect()}
+    assert advice["debug"] == (6, True) and advice["todos"] == (0, False) and "plans" not in advice
+    # A detector of another category leaves the counts as they were, one of the same category adds none.
+    _, more = scanned(spark, base, tmp_path / "b", detect.from_patterns({"Tickets": "T-[0-9]+"}), 1000)
+    assert more == found
+    _, same = scanned(spark, base, tmp_path / "c", detect.from_patterns({"AWS Keys": "AKIA[A-Z]{16}"}), 1000)
+    assert {(item, secret) for item, _, _, secret in same} == {(item, secret) for item, _, _, secret in found} and len(same) == 3
+    _, hidden = scanned(spark, base, tmp_path / "d", split=1000, digest=True)
+    assert [s for *_, s in hidden] == [hashlib.sha256(TOKEN.encode()).hexdigest()] * 6
+    with pytest.raises(ValueError):
+        scanned(spark, base, tmp_path / "d", split=1000)
+
+
+def test_files_that_cannot_be_read_are_reported(spark, base, tmp_path):
+    put(base / "debug" / "there", TOKEN)
+    gone = put(base / "debug" / "gone", TOKEN)
+    inventory = walk_inventory(spark, roots_below(str(base)), str(tmp_path / "walk"))
+    gone.unlink()
+    scan = scan_files(inventory, spark.createDataFrame([("debug",)], "dir_name string"), str(tmp_path / "run"))
+    assert scan.findings.count() == 1
+    assert [(os.path.basename(r["item"]), r["error"]) for r in scan.unread.collect()] == [("gone", "FileNotFoundError")]
+
+
+def test_names_that_are_no_utf8_are_purged(spark, base, tmp_path):
+    raw = os.fsencode(base / "debug") + b"/bad\xff"
+    with open(raw, "wb") as f:
+        f.write(b"x")
+    os.utime(raw, (0, 0))
+    run = clean_trees(spark, {"debug": f"{base}/debug/"}, AS_OF, run_dir=str(tmp_path / "run"))
+    assert run.total.first()["files"] == 1 and not os.path.exists(raw)
+
+
+def test_a_root_with_a_slash_is_pruned_alike(spark, base, tmp_path):
+    put(base / "debug" / "d" / "e" / "f", "x", 48)
+    run = clean_trees(spark, {"debug": f"{base}/debug/"}, AS_OF, run_dir=str(tmp_path / "run"))
+    removed = sorted((os.path.relpath(r["path"], base), r["depth"], r["removed"]) for r in run.removed.collect())
+    assert removed == [("debug/d", 1, True), ("debug/d/e", 2, True)]
+
+
+def test_a_run_folder_belongs_to_one_run(spark, base, tmp_path):
+    put(base / "debug" / "f", "x", 30)
+    roots, run_dir = roots_below(str(base)), str(tmp_path / "run")
+    assert clean_trees(spark, roots, AS_OF, hours=40, run_dir=run_dir).run_dir == run_dir
+    with pytest.raises(ValueError):
+        clean_trees(spark, roots, AS_OF, hours=24, run_dir=run_dir)
+    assert clean_trees(spark, roots, AS_OF, hours=40, run_dir=run_dir).total.first()["files"] == 0
 
 
 def test_second_copy_of_a_task_counts_what_the_first_deleted(spark, base, tmp_path, monkeypatch):

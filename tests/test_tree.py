@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from shelflife.plans.status import tree_status
 from shelflife.sources.content import file_content
-from shelflife.sources.tree import DEFAULT_ROOTS, existing_roots, roots_below, walk_inventory
+from shelflife.sources.tree import DEFAULT_ROOTS, _list_folders, existing_roots, roots_below, walk_inventory
 from trees import AS_OF, put
 
 
@@ -17,7 +19,7 @@ def walk(spark, base, tmp_path, names=None):
 def test_empty_roots(spark, base, tmp_path):
     found = walk(spark, base, tmp_path)
     assert found.count() == 0
-    assert found.columns == ["dir_name", "path", "size_bytes", "mtime", "is_dir", "stat_ok"]
+    assert found.columns == ["dir_name", "path", "size_bytes", "mtime", "is_dir", "stat_ok", "raw"]
 
 
 def test_missing_roots_are_no_error(spark, tmp_path):
@@ -78,12 +80,13 @@ def test_name_that_is_no_utf8(spark, base, tmp_path):
     rows = {os.path.relpath(r["path"], base / "plans"): r for r in walk(spark, base, tmp_path).collect()}
     assert {p: (r["is_dir"], r["stat_ok"], r["mtime"] is None) for p, r in rows.items()} == {
         "good": (False, True, False),
-        "bad\\xff": (False, False, True),
-        "dir\\xfe": (True, False, True),
-        "dir\\xfe/inner": (False, False, True),
+        "bad\\xff": (False, True, False),
+        "dir\\xfe": (True, True, False),
+        "dir\\xfe/inner": (False, True, False),
     }
+    assert rows["bad\\xff"]["raw"] == os.fsencode(base / "plans") + b"/bad\xff" and rows["good"]["raw"] is None
     stats = tree_status(spark, roots_below(str(base), ["plans"]), AS_OF, 24, str(tmp_path / "status")).stats.first()
-    assert (stats["file_count"], stats["total_size"], stats["violations"]) == (3, 1, 1)
+    assert (stats["file_count"], stats["total_size"], stats["violations"]) == (3, 3, 1)
 
 
 def test_status(spark, base, tmp_path):
@@ -100,19 +103,20 @@ def test_status(spark, base, tmp_path):
     assert status.summary.first()["oldest"] == "Oldest file: 48.0 hours ago"
 
 
-def read(spark, base, tmp_path, split):
-    rows = file_content(walk(spark, base, tmp_path), split).collect()
+def read(spark, base, tmp_path, split, span=100):
+    rows = file_content(walk(spark, base, tmp_path), split, span).collect()
     texts = {}
     for row in sorted(rows, key=lambda r: (r["item"], r["part"])):
-        texts[os.path.basename(row["item"])] = texts.get(os.path.basename(row["item"]), "") + row["text"]
+        own = row["text"][row["own_from"] : row["own_to"]]
+        texts[os.path.basename(row["item"])] = texts.get(os.path.basename(row["item"]), "") + own
     return texts, len(rows)
 
 
-def test_content_is_read_once_and_whole(spark, base, tmp_path):
+def test_parts_own_every_character_once(spark, base, tmp_path):
     cases = {
         "lines": "".join(f"line {n} é😀\n" for n in range(2000)),
         "no_end": "a\nb\nc",
-        "one_line": "x" * 50_000,
+        "one_line": "x😀" * 25_000,
         "blank": "\n" * 999,
         "edge": "y" * 511 + "\n" + "z" * 511 + "\n",
         "after": "y" * 512 + "\n" + "z" * 600,
@@ -120,20 +124,85 @@ def test_content_is_read_once_and_whole(spark, base, tmp_path):
     for name, text in cases.items():
         put(base / "debug" / name, text)
     put(base / "debug" / "nothing", "")
-    put(base / "debug" / "bytes", b"ok \xff\xfe end\n\xc3")
-    cases["bytes"] = b"ok \xff\xfe end\n\xc3".decode("utf-8", "replace")
+    put(base / "debug" / "bytes", b"ok \xff\xfe end\n\xc3" * 300)
+    cases["bytes"] = (b"ok \xff\xfe end\n\xc3" * 300).decode("utf-8", "replace")
     for run, split in enumerate((None, 512, 1000, 1 << 20)):
         texts, rows = read(spark, base, tmp_path / str(run), split)
         assert texts == cases
         assert split != 512 or rows > 50
 
 
+def test_a_file_without_line_breaks_is_read_about_once(tmp_path, monkeypatch):
+    """Bytes asked for by all parts together, and the largest request."""
+    import builtins
+
+    from shelflife.sources.content import _read_window
+
+    path, asked = tmp_path / "long", []
+    path.write_bytes(b"x" * 4_000_000)
+    real = builtins.open
+
+    def counting(*args):
+        stream = real(*args)
+        read = stream.read
+        wrapper = type("S", (), {"seek": stream.seek, "__enter__": lambda s: s, "__exit__": lambda s, *a: stream.close()})()
+        wrapper.read = lambda n: asked.append(len(data := read(n))) or data
+        return wrapper
+
+    monkeypatch.setattr(builtins, "open", counting)
+    for part in range(4):
+        _read_window(path, part, 1_000_000, 50_000)
+    monkeypatch.undo()
+    assert 4_000_000 <= sum(asked) <= 8_000_000 and max(asked) <= 1_100_000
+
+
 def test_content_of_a_file_that_is_gone(spark, base, tmp_path):
     put(base / "debug" / "stays", "text")
     gone = put(base / "debug" / "goes", "text")
     inventory = walk(spark, base, tmp_path)
     gone.unlink()
-    assert [os.path.basename(r["item"]) for r in file_content(inventory).collect()] == ["stays"]
+    rows = {os.path.basename(r["item"]): (r["text"], r["error"]) for r in file_content(inventory).collect()}
+    assert rows == {"stays": ("text", None), "goes": (None, "FileNotFoundError")}
+
+
+def test_roots_are_spelled_one_way(spark, base, tmp_path):
+    put(base / "debug" / "d" / "f", "x")
+    plain = walk_inventory(spark, {"debug": f"{base}/debug"}, str(tmp_path / "a")).collect()
+    for n, form in enumerate((f"{base}/debug/", f"file://{base}/debug", f"{base}/debug//")):
+        assert walk_inventory(spark, {"debug": form}, str(tmp_path / f"b{n}")).collect() == plain
+    for bad in ("hdfs://host/logs", "logs/debug"):
+        with pytest.raises(ValueError):
+            walk_inventory(spark, {"debug": bad}, str(tmp_path / "c"))
+
+
+def listed(monkeypatch, problem):
+    def scandir(path):
+        raise problem
+
+    monkeypatch.setattr(os, "scandir", scandir)
+    folders = pd.DataFrame({"dir_name": ["debug"], "path": ["/x/sealed"], "raw": [None]})
+    return [row for pdf in _list_folders(10)([folders]) for row in pdf.itertuples(index=False, name=None)]
+
+
+def test_folders_that_cannot_be_listed(spark, base, tmp_path, monkeypatch):
+    assert listed(monkeypatch, FileNotFoundError()) == []
+    assert listed(monkeypatch, PermissionError()) == [("debug", "/x/sealed", None, "blocked")]
+    with pytest.raises(OSError):
+        listed(monkeypatch, OSError(5, "I/O error"))
+    monkeypatch.undo()
+    # As if the folder, listed with its parent, had then refused.
+    put(base / "debug" / "sealed" / "f", "x")
+    run_dir = tmp_path / "run"
+    roots = {"debug": f"{base}/debug"}
+    walk_inventory(spark, roots, str(run_dir)).count()
+    sealed = [("debug", f"{base}/debug/sealed", None, "blocked")]
+    spark.createDataFrame(sealed, "dir_name string, path string, raw binary, kind string").write.mode("overwrite").parquet(
+        f"{run_dir}/listing/level=1"
+    )
+    (run_dir / "inventory" / "_SUCCESS").unlink()
+    (run_dir / "listing" / "level=2" / "_SUCCESS").unlink(missing_ok=True)
+    rows = [(os.path.basename(r["path"]), r["is_dir"], r["stat_ok"]) for r in walk_inventory(spark, roots, str(run_dir)).collect()]
+    assert rows == [("sealed", True, False)]
 
 
 def test_entry_gone_between_listing_and_measuring(spark, base, tmp_path):
@@ -150,7 +219,7 @@ def test_entry_gone_between_listing_and_measuring(spark, base, tmp_path):
 
 def test_one_large_file_is_read_by_several_tasks(spark, base, tmp_path):
     put(base / "debug" / "large", "some line\n" * 10_000)
-    parts = file_content(walk(spark, base, tmp_path), 10_000)
+    parts = file_content(walk(spark, base, tmp_path), 10_000, 100)
     tasks = parts.select(F.spark_partition_id().alias("task")).distinct().count()
     assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert parts.count() == 10
