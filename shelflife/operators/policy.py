@@ -21,6 +21,11 @@ TYPES = {
 }
 
 
+def settings_of(policy: dict | None) -> dict:
+    """The settings of one run: what the policy says, defaults where it is silent or NULL."""
+    return {**DEFAULTS, **{name: value for name, value in (policy or {}).items() if value is not None}}
+
+
 def _typed(name: str, column: Column) -> Column:
     return column.cast(TYPES[name]) if name in TYPES else column
 
@@ -72,14 +77,18 @@ def set_retention(policy: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply updates ``(dir_name, retention_hours, updated_at)`` to the policy table.
 
     Negative hours are rejected, the last accepted update of a root wins, other columns stay, and a
-    root without a stored policy gains one. Updates are reduced per root before the join, so many
+    root without a stored policy gains one. An update without a time counts as older than all others; of
+    updates of one time the larger window wins. A stored policy without hours gains the column. Updates are reduced per root before the join, so many
     updates of one root cost a partial aggregate and not a hot join key.
     """
+    # A NULL time is the least field of a struct.
     latest = (
         updates.where(is_valid_retention(F.col("retention_hours")))
         .groupBy("dir_name")
-        .agg(F.max_by("retention_hours", "updated_at").cast("int").alias("_new_hours"))
+        .agg(F.max(F.struct("updated_at", "retention_hours"))["retention_hours"].cast("int").alias("_new_hours"))
     )
+    if "retention_hours" not in policy.columns:
+        policy = policy.withColumn("retention_hours", F.lit(None).cast("int"))
     return (
         policy.join(latest, "dir_name", "full_outer")
         .withColumn("retention_hours", F.coalesce("_new_hours", "retention_hours"))

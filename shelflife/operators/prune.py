@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelflife.functions.times import as_of_literal, is_expired, time_type
-from shelflife.operators.joins import join_root_rows
 
 
 def _levels(path: Column) -> Column:
@@ -50,9 +49,10 @@ def prune_plan(
             "dir_name",
             F.when(is_file, _parent(F.col("path"))).otherwise(F.col("path")).alias("holder"),
             (is_file & ~going).alias("stays"),
+            (is_file & triggers).alias("triggers"),
         )
         .groupBy("dir_name", "holder")
-        .agg(F.bool_or("stays").alias("stays"))
+        .agg(F.bool_or("stays").alias("stays"), F.bool_or("triggers").alias("triggers"))
     )
     emptied = (
         holders.select("dir_name", "stays", F.explode(_ancestors(F.col("holder"), base)).alias("path"))
@@ -63,8 +63,9 @@ def prune_plan(
     )
     if not has_dir_rows:
         return emptied
-    touched = inventory.where(is_file & triggers).select("dir_name").distinct()
-    return join_root_rows(emptied, touched, "left_semi")
+    # One row per root, from the aggregate above, so the inventory is read once.
+    touched = holders.groupBy("dir_name").agg(F.bool_or("triggers").alias("touched")).where("touched")
+    return emptied.join(touched, "dir_name", "left_semi")
 
 
 def prune_plan_at(

@@ -52,8 +52,9 @@ def _unlink(roots: dict[str, str], may_have_run: bool):
         def inside(folder, base):
             return base is not None and (os.path.realpath(folder) + os.sep).startswith(base)
 
-        def attempt(dir_name, path, micros):
-            if not inside(os.path.dirname(path), bases.get(dir_name)):
+        def attempt(dir_name, path, raw, micros):
+            path = path if raw is None else raw
+            if not inside(os.fsdecode(os.path.dirname(path)), bases.get(dir_name)):
                 return False, "outside its root"
             try:
                 if os.stat(path).st_mtime_ns // 1000 != micros:
@@ -66,7 +67,7 @@ def _unlink(roots: dict[str, str], may_have_run: bool):
             return True, None
 
         for pdf in batches:
-            done = [attempt(*row) for row in zip(pdf["dir_name"], pdf["path"], pdf["micros"])]
+            done = [attempt(*row) for row in zip(pdf["dir_name"], pdf["path"], pdf["raw"], pdf["micros"])]
             out = pdf[["dir_name", "path", "size_bytes"]].copy()
             out["deleted"] = [ok for ok, _ in done]
             out["error"] = [problem for _, problem in done]
@@ -85,8 +86,9 @@ def purge_files(plan: DataFrame, roots: dict[str, str], run_dir: str) -> DataFra
     finished one only returns its outcome.
     """
     spark = plan.sparkSession
+    raw = F.col("raw") if "raw" in plan.columns else F.lit(None).cast("binary").alias("raw")
     staged = write_once(
-        plan.select("dir_name", "path", "size_bytes", F.unix_micros("mtime").alias("micros")),
+        plan.select("dir_name", "path", raw, "size_bytes", F.unix_micros("mtime").alias("micros")),
         f"{run_dir}/plan",
         maxRecordsPerFile=FILES_PER_STAGED_FILE,
     )

@@ -81,7 +81,9 @@ def purge_plan(
     """The files one run would delete, with the size that counts and the line a dry run prints."""
     flag = dry_run if isinstance(dry_run, Column) else F.lit(dry_run)
     size = F.coalesce("size_bytes", F.lit(0).cast("bigint"))
+    raw = ["raw"] if "raw" in inventory.columns else []
     return expired_files(inventory, as_of, hours, partition_date).select(
+        *raw,
         "dir_name",
         "path",
         size.alias("size_bytes"),

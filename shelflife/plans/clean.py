@@ -7,13 +7,13 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflife.operators.policy import DEFAULTS
+from shelflife.operators.policy import settings_of
 from shelflife.operators.prune import prune_plan
 from shelflife.operators.purge import purge_files, remove_folders
 from shelflife.operators.retention import expired_flag, purge_plan
 from shelflife.operators.stats import purge_summary, purge_total
-from shelflife.session import shared_dir
-from shelflife.sources.tree import walk_inventory
+from shelflife.session import bound_run_dir
+from shelflife.sources.tree import rooted, walk_inventory
 
 
 class CleanRun(NamedTuple):
@@ -22,13 +22,14 @@ class CleanRun(NamedTuple):
     removed: DataFrame | None
     summary: DataFrame
     total: DataFrame
+    run_dir: str | None = None
 
 
 def effective_settings(
     policy: dict | None = None, hours: int | None = None, dry_run: bool = False
 ) -> tuple[int, bool]:
     """Hours and dry run of one run: an override of 0 means the policy's hours, a flag only turns on."""
-    settings = {**DEFAULTS, **{k: v for k, v in (policy or {}).items() if v is not None}}
+    settings = settings_of(policy)
     return hours or settings["retention_hours"], dry_run or settings["dry_run"]
 
 
@@ -53,19 +54,21 @@ def clean_trees(
     """List the roots, delete what is older than the window, remove emptied directories, sum up.
 
     A dry run stops after the plan. Everything is written below ``run_dir``; calling again with the same
-    folder and arguments finishes an interrupted run instead of starting another.
+    folder and arguments finishes an interrupted run instead of starting another, with other arguments it is
+    refused.
     """
     hours, dry_run = effective_settings(policy, hours, dry_run)
-    run_dir = run_dir or shared_dir(spark, "clean")
+    roots = rooted(roots)
+    run_dir = bound_run_dir(spark, run_dir, "clean", roots=roots, as_of=as_of, hours=hours, dry_run=dry_run)
     inventory = walk_inventory(spark, roots, f"{run_dir}/walk")
     plan = purge_plan(inventory, as_of, hours, dry_run)
     if dry_run:
         summary = purge_summary(plan, dry_run)
-        return CleanRun(plan, None, None, summary, purge_total(summary, hours, dry_run))
+        return CleanRun(plan, None, None, summary, purge_total(summary, hours, dry_run), run_dir)
     outcome = purge_files(plan, roots, run_dir)
     removed = remove_folders(_emptied(inventory, outcome, roots, as_of, hours), run_dir)
     summary = purge_summary(outcome, dry_run)
-    return CleanRun(plan, outcome, removed, summary, purge_total(summary, hours, dry_run))
+    return CleanRun(plan, outcome, removed, summary, purge_total(summary, hours, dry_run), run_dir)
 
 
 def _emptied(

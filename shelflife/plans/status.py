@@ -8,14 +8,15 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from shelflife.operators.stats import dir_stats, stats_for_roots, status_report, status_summary
-from shelflife.session import shared_dir
-from shelflife.sources.tree import existing_roots, walk_inventory
+from shelflife.session import bound_run_dir
+from shelflife.sources.tree import existing_roots, rooted, walk_inventory
 
 
 class Status(NamedTuple):
     stats: DataFrame
     report: DataFrame
     summary: DataFrame
+    run_dir: str | None = None
 
 
 def inventory_status(inventory: DataFrame, roots: DataFrame, as_of: dt.datetime, hours: int) -> Status:
@@ -32,5 +33,7 @@ def tree_status(
     run_dir: str | None = None,
 ) -> Status:
     """The same for file trees; a missing root has no line."""
-    inventory = walk_inventory(spark, roots, run_dir or shared_dir(spark, "status"))
-    return inventory_status(inventory, existing_roots(spark, roots), as_of, hours)
+    roots = rooted(roots)
+    run_dir = bound_run_dir(spark, run_dir, "status", roots=roots)
+    inventory = walk_inventory(spark, roots, f"{run_dir}/walk")
+    return inventory_status(inventory, existing_roots(spark, roots), as_of, hours)._replace(run_dir=run_dir)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import shutil
 import tempfile
 import uuid
+from functools import cache
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +42,21 @@ def local_session(cores: int | str = "*", app: str = "shelflife", **extra: str)
     return spark
 
 
+@cache
+def _local_base() -> str:
+    """A folder for local mode that goes when the process ends."""
+    base = tempfile.mkdtemp(prefix="shelflife-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for one run below the checkpoint folder every executor can reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="shelflife-")
+        base = _local_base()
     return f"{base.rstrip('/')}/shelflife/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -94,6 +106,19 @@ def move_folder(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def bound_run_dir(spark: SparkSession, run_dir: str | None, purpose: str, **arguments) -> str:
+    """The folder of a run, a new one if none is given, bound to the run's arguments.
+
+    A folder that holds a run with other arguments is refused, since its stages would be taken for this run's.
+    """
+    run_dir = run_dir or shared_dir(spark, purpose)
+    wanted = json.dumps({"purpose": purpose, **arguments}, sort_keys=True, default=str)
+    found = write_once(spark.createDataFrame([(wanted,)], "arguments string").coalesce(1), f"{run_dir}/arguments").first()[0]
+    if found != wanted:
+        raise ValueError(f"{run_dir} holds another run: {found}")
+    return run_dir
+
+
 def write_once(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), **options) -> DataFrame:
     """Write ``df`` to ``path`` unless an earlier attempt of the run committed it, then read it.
 

@@ -6,12 +6,12 @@ from pathlib import Path
 
 import pytest
 
-import __spark_entry__ as contract
+from shelflife.plans.registered import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="driver tables are not here")
 # These run their stages when called; their plan is only a read of what they wrote.
-EAGER = {name for name in contract.queries() if name.startswith(("tree_", "session_", "table_purge_applied"))}
+EAGER = {name for name in QUERIES if name.startswith(("tree_", "session_", "table_purge_applied"))}
 MAP_ONLY = [
     "inventory",
     "expired_files",
@@ -34,13 +34,13 @@ READS = {
 
 
 def plan(spark, name):
-    df = contract.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     return df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_no_pairing_of_everything(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

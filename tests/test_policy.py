@@ -65,6 +65,17 @@ def test_set_retention(spark):
     assert told["d", 1] == "Invalid hours value: NULL"
 
 
+def test_set_retention_orders_all_updates(spark):
+    stored = spark.createDataFrame([("a", "x"), ("b", "y")], "dir_name string, owner string")
+    updates = spark.createDataFrame(
+        [("a", 48, None), ("b", 5, None), ("b", 9, 1), ("b", 3, 1), ("b", 100, None), ("n", 6, None), ("n", 2, None)],
+        "dir_name string, retention_hours int, updated_at int",
+    )
+    rows = {r["dir_name"]: (r["owner"], r["retention_hours"]) for r in policy.set_retention(stored, updates).collect()}
+    assert rows == {"a": ("x", 48), "b": ("y", 9), "n": (None, 6)}
+    assert policy.settings_of({"clean_on_session_end": None, "dry_run": True}) == {**policy.DEFAULTS, "dry_run": True}
+
+
 def test_gates(spark):
     df = spark.createDataFrame([(None,), (False,), (True,)], "v boolean")
     assert [r[0] for r in df.select(policy.runs_on_session_end(F.col("v"))).collect()] == [True, False, True]

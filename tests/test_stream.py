@@ -163,3 +163,26 @@ def test_a_closed_session_cleans_trees(spark, tmp_path, activity, base):
     assert not old.exists()
     run = spark.read.parquet(str(tmp_path / "out" / "runs")).first()
     assert run["session_message"] == "[retention] Cleaned 1 files (1 B freed)"
+
+
+def test_policy_is_read_at_every_batch(spark, tmp_path, activity):
+    """NULL means not set; switching cleaning off takes effect at the next batch, which leaves a record."""
+    policies = [{"clean_on_session_end": None}, {"clean_on_session_end": False}]
+    start(spark, tmp_path, table_pass(spark, tmp_path), lambda: policies[0])
+    assert spark.read.parquet(str(tmp_path / "out" / "runs")).count() == 1
+    policies.pop(0)
+    write(spark, tmp_path / "in", [("b", t) for t in minutes(205, 400)])
+    start(spark, tmp_path, table_pass(spark, tmp_path), lambda: policies[0])
+    assert spark.read.parquet(str(tmp_path / "out" / "runs")).count() == 1
+    skipped = spark.read.parquet(str(tmp_path / "out" / "skipped")).first()
+    assert skipped["closed_sessions"] == 1 and skipped["as_of"] is not None
+
+
+def test_batches_without_closed_sessions_leave_nothing(spark, tmp_path, activity):
+    start(spark, tmp_path, table_pass(spark, tmp_path))
+    folders = set(os.listdir(tmp_path / "out" / "sessions"))
+    write(spark, tmp_path / "in", [("z", t) for t in minutes(206)])
+    start(spark, tmp_path, table_pass(spark, tmp_path))
+    kept = {f for f in os.listdir(tmp_path / "out" / "sessions") if f.startswith("batch_id=")}
+    assert all(any(n.endswith(".parquet") for n in os.listdir(tmp_path / "out" / "sessions" / f)) for f in kept)
+    assert folders <= set(os.listdir(tmp_path / "out" / "sessions"))
