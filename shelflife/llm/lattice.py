@@ -35,7 +35,7 @@ MARK = "▁"
 OFFSET = 3
 PRIOR_TOKENS = 1000.0
 ROUNDS = 2
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 #: Code points of words that a task scores together.
 POINTS_TOGETHER = 1 << 19
 MODULUS = 7
@@ -139,7 +139,7 @@ class Lattice:
         n_nodes = int(lengths.sum()) + len(lengths)
         front = first + np.arange(len(lengths))
         depth = (target - front[word]) if forward else (front + lengths)[word] - target
-        order = np.lexsort((target, depth))
+        order = np.argsort(depth * n_nodes + target)
         source, target, logs, depth = source[order], target[order], logs[order], depth[order]
         out = np.full(n_nodes, -np.inf)
         out[front if forward else front + lengths] = 0.0
@@ -192,15 +192,23 @@ def read_pieces(model: str = MODEL) -> list[tuple[str, float]]:
     return pieces if any(p == MARK for p, _ in pieces) else [*pieces, (MARK, min(s for _, s in pieces))]
 
 
+class _Numbers(dict):
+    """Numbers words in order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def blocks_of(docs: DataFrame, doc_id: str, text: str, modulus: int, block_tokens: int) -> DataFrame:
     """One row per block: its documents, their words as numbers into the block's words, most frequent first."""
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), held_out(doc_id, modulus).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
 
-    def block(docs: list[tuple], tokens: list[list[int]], words: dict[bytes, int], id_type) -> pa.RecordBatch:
+    def block(docs: list[tuple], tokens: list[np.ndarray], words: dict[bytes, int], id_type) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in tokens], np.int32)
-        numbers = np.concatenate([np.array(t, np.int32) for t in tokens]) if tokens else np.zeros(0, np.int32)
+        numbers = np.concatenate(tokens)
         train = np.repeat(np.array([not held for _, held in docs]), lengths)
         order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
         place = np.empty(len(words), np.int32)
@@ -220,18 +228,18 @@ def blocks_of(docs: DataFrame, doc_id: str, text: str, modulus: int, block_token
         return pa.RecordBatch.from_pydict(columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, tokens, words, size, id_type = [], [], {}, 0, None
+        docs, tokens, words, size, id_type = [], [], _Numbers(), 0, None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             ids, held = batch["doc_id"].to_pylist(), batch["held_out"].to_pylist()
             for k in range(len(ids)):
                 found = batch["text"][k].as_py().encode().lower().split()
                 docs.append((ids[k], held[k]))
-                tokens.append([words.setdefault(w, len(words)) for w in found])
+                tokens.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 size += len(found) + 1
                 if size >= block_tokens:
                     yield block(docs, tokens, words, id_type)
-                    docs, tokens, words, size = [], [], {}, 0
+                    docs, tokens, words, size = [], [], _Numbers(), 0
         if docs:
             yield block(docs, tokens, words, id_type)
 
