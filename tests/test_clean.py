@@ -278,6 +278,22 @@ def test_a_root_with_a_slash_is_pruned_alike(spark, base, tmp_path):
     assert removed == [("debug/d", 1, True), ("debug/d/e", 2, True)]
 
 
+def test_a_policy_table_gives_each_root_its_window(spark, base, tmp_path):
+    for root in ("debug", "plans", "todos", "projects"):
+        put(base / root / "d" / "f", "xx", 30)
+    table = [("debug", 24, None), ("plans", 48, None), ("todos", 24, True), ("elsewhere", 1, None)]
+    policy = spark.createDataFrame(table, "dir_name string, retention_hours int, dry_run boolean")
+    run = clean(spark, base, tmp_path / "run", policy=policy)
+    assert [(base / r / "d").exists() for r in ("debug", "plans", "todos", "projects")] == [False, True, True, False]
+    messages = {r["dir_name"]: (r["files"], r["message"]) for r in run.summary.collect()}
+    assert messages["debug"] == (1, "debug: Deleted 1 files (2 B freed)") and messages["projects"][0] == 1
+    assert messages["todos"][0] == 1 and "Deleted" not in messages["todos"][1] and "plans" not in messages
+    assert sorted(os.path.relpath(r["path"], base) for r in run.removed.collect()) == ["debug/d", "projects/d"]
+    assert run.total.first()["retention_hours"] == 48
+    dry = clean(spark, base, tmp_path / "dry", policy=policy, dry_run=True)
+    assert dry.outcome is None and [r["dir_name"] for r in dry.plan.collect()] == ["todos"]
+
+
 def test_a_run_folder_belongs_to_one_run(spark, base, tmp_path):
     put(base / "debug" / "f", "x", 30)
     roots, run_dir = roots_below(str(base)), str(tmp_path / "run")
