@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelflife.llm import ann, chat, html_crf, langid, lattice, merkle, mixing, neardup, packing, pii
 from shelflife.llm.common import held_out, read_table
+from shelflife.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -91,4 +92,3 @@ QUERIES = {
     "op9_lattice_scoring": op9_lattice_scoring,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
