@@ -26,8 +26,9 @@ POLICY = """policy AS (
               WHEN c_mktsegment <> 'FURNITURE' THEN true END AS clean_on_session_end,
          CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN true
               WHEN c_mktsegment = 'HOUSEHOLD' THEN false END AS dry_run,
+         CASE c_custkey % 4 WHEN 0 THEN false WHEN 1 THEN true END AS session_end_summary,
          c_name AS owner
-  FROM customer)"""
+  FROM customer WHERE c_custkey % 10 <> 0)"""
 UPDATES = """updates AS (
   SELECT o_custkey::VARCHAR AS dir_name, floor(o_totalprice)::INTEGER - 150000 AS retention_hours,
          o_orderkey AS updated_at
@@ -160,14 +161,14 @@ roots AS (SELECT DISTINCT o_custkey::VARCHAR AS dir_name FROM orders),
 known AS (
   SELECT dir_name, coalesce(retention_hours, 24) AS retention_hours,
          coalesce(clean_on_session_end, true) AS clean_on_session_end, coalesce(dry_run, false) AS dry_run,
-         owner, true AS session_end_summary
+         owner, coalesce(session_end_summary, true) AS session_end_summary
   FROM roots LEFT JOIN policy USING (dir_name))
 SELECT *, clean_on_session_end AS runs, clean_on_session_end AND session_end_summary AS prints FROM known""",
     "policy_upsert": f"""WITH {POLICY}, {UPDATES},
 latest AS (
   SELECT dir_name, arg_max(retention_hours, updated_at) AS new_hours
   FROM updates WHERE retention_hours >= 0 GROUP BY dir_name)
-SELECT dir_name, coalesce(new_hours, retention_hours) AS retention_hours, clean_on_session_end, dry_run, owner
+SELECT dir_name, coalesce(new_hours, retention_hours) AS retention_hours, clean_on_session_end, dry_run, session_end_summary, owner
 FROM policy FULL JOIN latest USING (dir_name)""",
     "policy_update_outcome": f"""WITH {UPDATES}
 SELECT *, retention_hours >= 0 AS accepted,
@@ -208,6 +209,9 @@ FROM found CROSS JOIN (VALUES (false), (true)) AS modes(dry_run)""",
   FROM orders GROUP BY ALL)
 SELECT *, CASE expired WHEN 0 THEN 'keep' WHEN rows THEN 'drop' ELSE 'rewrite' END AS action FROM counted""",
     "table_purge_applied": f"""SELECT *, year(o_orderdate)::INTEGER AS order_year FROM orders
+WHERE o_orderdate IS NULL OR o_orderdate >= {ORDERS_CUTOFF}""",
+    "table_purge_layouts": f"""SELECT *, month(o_orderdate)::INTEGER AS order_month,
+       CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS note FROM orders
 WHERE o_orderdate IS NULL OR o_orderdate >= {ORDERS_CUTOFF}""",
     "tree_inventory": f"""WITH {TREE}
 SELECT dir_name, path, size_bytes, mtime, false AS is_dir, true AS stat_ok FROM files
@@ -230,7 +234,7 @@ FROM sums LEFT JOIN removed USING (dir_name)""",
 SELECT lang AS dir_name, path, category, position, secret FROM findings""",
     "prune_dirs": """WITH files AS (
   SELECT event_type AS root, event_type || '/' || user_id AS folder,
-         ts < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR AS gone
+         event_type <> 'view' AND ts < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR AS gone
   FROM events),
 swept AS (SELECT DISTINCT root FROM files WHERE gone),
 folders AS (SELECT root, folder, bool_and(coalesce(gone, false)) AS emptied FROM files GROUP BY root, folder)
@@ -267,15 +271,32 @@ FROM total""",
 SELECT dir_name, category, count(*) AS matches, count(DISTINCT item) AS items
 FROM findings GROUP BY dir_name, category""",
     "secret_custom_detector": f"WITH {CONTENT}, {_findings({**BUILTIN, **CUSTOM})} SELECT * FROM findings",
-    "secret_scanner_union": f"""WITH {CONTENT}, {_findings({**BUILTIN, **CUSTOM})}
-SELECT dir_name, item, category, secret, min(position) AS position FROM findings
-GROUP BY dir_name, item, category, secret""",
+    "secret_scanner_union": f"""WITH {CONTENT}, {_findings({**BUILTIN, **CUSTOM})},
+words AS (
+  SELECT dir_name, item, list_filter(regexp_extract_all(text, '\\b[0-9a-f]{{40}}\\b'),
+                                     lambda w: len(list_distinct(string_split(w, ''))) >= 10) AS secrets FROM content),
+varied AS (
+  SELECT dir_name, item, 'Assigned tokens' AS category, unnest(range(len(secrets)))::INTEGER AS position, unnest(secrets) AS secret
+  FROM words)
+SELECT dir_name, item, category, secret, position FROM findings WHERE category <> 'Assigned tokens'
+UNION ALL
+SELECT dir_name, item, category, secret, min(position)
+FROM (SELECT * FROM findings WHERE category = 'Assigned tokens' UNION ALL SELECT * FROM varied) GROUP BY ALL""",
     "scan_recommendation": f"""WITH {DOCUMENTS}, {_findings({**BUILTIN, **CUSTOM})},
 sums AS (SELECT dir_name, count(*) AS matches FROM findings GROUP BY dir_name)
 SELECT dir_name, coalesce(matches, 0) AS matches, coalesce(matches, 0) > 0 AS cleanup_advised
 FROM (SELECT DISTINCT dir_name FROM content) LEFT JOIN sums USING (dir_name)""",
     "scan_items": f"""WITH {DOCUMENTS}, {_findings(CUSTOM)}
 SELECT dir_name, item FROM content SEMI JOIN findings USING (dir_name, item)""",
+    "session_end_clean": f"""WITH {SESSIONS}, {TREE},
+ran AS (SELECT max(session_end) AS as_of, count(*) AS closed_sessions FROM closed),
+total AS (
+  SELECT as_of, closed_sessions, count(*) FILTER (WHERE mtime < as_of - INTERVAL 10 HOUR) AS files,
+         coalesce(sum(size_bytes) FILTER (WHERE mtime < as_of - INTERVAL 10 HOUR), 0)::BIGINT AS bytes,
+         count(*) FILTER (WHERE mtime >= as_of - INTERVAL 10 HOUR) AS files_left
+  FROM ran CROSS JOIN files GROUP BY as_of, closed_sessions)
+SELECT *, CASE WHEN files = 0 THEN 'No files older than 10h found'
+               ELSE 'Cleanup complete: ' || files || ' files processed' END AS message FROM total""",
     "session_end_trigger": f"WITH {SESSIONS} SELECT user_id, session_start, session_end, events FROM closed",
     "session_end_run": f"""WITH {SESSIONS}, {EVENTS_INVENTORY},
 ran AS (SELECT max(session_end) AS as_of, count(*) AS closed_sessions FROM closed),
@@ -290,3 +311,5 @@ SELECT *, 168 AS retention_hours, 'Starting cleanup (retention: 168h, dry_run: T
             ELSE '[retention] Would clean ' || files || ' files (' || {_size('bytes')} || ')' END AS session_message
 FROM total""",
 }
+# However files are read, the same is found.
+ORACLE_SQL["tree_scan_parts"] = ORACLE_SQL["tree_scan"]

@@ -55,15 +55,16 @@ def by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored policy per customer, with gaps: NULLs, no summary column, one unknown column."""
-    segment = F.col("c_mktsegment")
-    return _table(spark, sf_dir, "customer").select(
+    """A stored policy for most customers, with gaps: NULLs and customers without one, and one unknown column."""
+    segment, turn = F.col("c_mktsegment"), F.col("c_custkey") % 4
+    return _table(spark, sf_dir, "customer").where(F.col("c_custkey") % 10 != 0).select(
         F.col("c_custkey").cast("string").alias("dir_name"),
         F.when(segment != "MACHINERY", F.floor("c_acctbal").cast("int") * 6).alias("retention_hours"),
         F.when(segment == "BUILDING", False)
         .when(segment != "FURNITURE", True)
         .alias("clean_on_session_end"),
         F.when(segment == "AUTOMOBILE", True).when(segment == "HOUSEHOLD", False).alias("dry_run"),
+        F.when(turn == 0, False).when(turn == 1, True).alias("session_end_summary"),
         F.col("c_name").alias("owner"),
     )
 
@@ -152,12 +153,18 @@ def _below(roots: dict[str, str]) -> Column:
     return F.substring("path", len(base) + 2, 1 << 30)
 
 
-# A caller's own detectors: an assigned 40-digit token, in plain text and in markup.
+# A caller's own detectors: an assigned 40-digit token, in plain text and in markup, and any word of 40
+# digits with enough different ones, which no pattern can tell.
 TOKEN_PATTERN = 'token = (?:"|&quot;)([0-9a-f]{40})'
 ASSIGNED_TOKEN = detect.Detector("Assigned tokens", TOKEN_PATTERN, ("token = ",), group=1)
-BATCH_TOKEN = detect.BatchDetector(
-    "Assigned tokens", lambda texts: texts.map(re.compile(TOKEN_PATTERN).findall), ("token = ",)
-)
+VARIED = re.compile(r"\b[0-9a-f]{40}\b", re.ASCII)
+
+
+def _varied_tokens(texts):
+    return texts.map(lambda text: [word for word in VARIED.findall(text) if len(set(word)) >= 10])
+
+
+BATCH_TOKEN = detect.BatchDetector("Assigned tokens", _varied_tokens)
 
 
 # Inventory, selection, policy.
@@ -320,9 +327,25 @@ def table_purge_applied(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def table_purge_layouts(spark, sf_dir):
+    """The same by two-digit month and status, in two appends of which the second has a column more."""
+    path = shared_dir(spark, "orders")
+    orders = _table(spark, sf_dir, "orders").withColumn("order_month", F.date_format("o_orderdate", "MM"))
+    odd = F.col("o_orderkey") % 2 == 1
+    for rows in (orders.where(~odd), orders.where(odd).withColumn("note", F.col("o_orderpriority"))):
+        rows.write.mode("append").partitionBy("order_month", "o_orderstatus").parquet(path)
+    purge.purge_table(spark, path, "order_month", ORDERS_AT, ORDERS_HOURS, "o_orderdate")
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def prune_dirs(spark, sf_dir):
-    """Files older than a day go; each user folder also has a sub-folder that was empty before."""
+    """Files older than a day go; each user folder also has a sub-folder that was empty before.
+
+    The files of one root are moved on by 40 days, so nothing of it is old and it is not swept.
+    """
     files = events_inventory(spark, sf_dir)
+    later = F.when(F.col("dir_name") == "view", F.col("mtime") + F.expr("INTERVAL 40 DAYS")).otherwise(F.col("mtime"))
+    files = files.withColumn("mtime", later)
     folder = F.concat("event_type", F.lit("/"), F.col("user_id").cast("string"))
     empty = (
         _table(spark, sf_dir, "events")
@@ -376,6 +399,15 @@ def tree_scan(spark, sf_dir):
     )
 
 
+def tree_scan_parts(spark, sf_dir):
+    """The same with files of more than 4 kB read in parts."""
+    roots = document_tree(planted_documents(spark, sf_dir))
+    findings = scan.scan_trees(spark, roots, split_bytes=4096).findings
+    return findings.withColumnRenamed("item", "path").select(
+        "dir_name", _below(roots).alias("path"), "category", "position", "secret"
+    )
+
+
 # Reports.
 
 
@@ -439,7 +471,7 @@ def scan_items(spark, sf_dir):
 # Stream.
 
 
-def _session_stream(spark: SparkSession, sf_dir: str) -> str:
+def _session_stream(spark: SparkSession, sf_dir: str, retention_pass: Callable | None = None) -> str:
     """Play the events as a stream to its end; each batch with closed sessions runs the pass."""
     out_dir = shared_dir(spark, "session-end")
     path = f"{sf_dir}/events.parquet"
@@ -448,10 +480,10 @@ def _session_stream(spark: SparkSession, sf_dir: str) -> str:
     activity = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     sessions = closed_sessions(activity, "user_id", "ts", SESSION_GAP, WATERMARK_DELAY)
 
-    def retention_pass(as_of: dt.datetime, run_dir: str) -> DataFrame:
+    def planned(as_of: dt.datetime, run_dir: str) -> DataFrame:
         return plan_run(events_inventory(spark, sf_dir), as_of, EVENTS_HOURS).total
 
-    query = run_on_session_end(sessions, retention_pass, out_dir)
+    query = run_on_session_end(sessions, retention_pass or planned, out_dir)
     query.awaitTermination()
     return out_dir
 
@@ -466,6 +498,21 @@ def session_end_run(spark, sf_dir):
     return out.withColumn("as_of", to_utc_wall_clock(F.col("as_of")))
 
 
+def session_end_clean(spark, sf_dir):
+    """The pass deletes: the run's files and bytes, and how many files the trees still hold."""
+    roots = document_tree(_table(spark, sf_dir, "documents"))
+
+    def cleaned(as_of: dt.datetime, run_dir: str) -> DataFrame:
+        return clean_trees(spark, roots, as_of, TREE_HOURS, run_dir=run_dir).total
+
+    runs = spark.read.parquet(f"{_session_stream(spark, sf_dir, cleaned)}/runs")
+    left = walk_inventory(spark, roots, shared_dir(spark, "walk")).where(~F.col("is_dir")).count()
+    return runs.select(
+        to_utc_wall_clock(F.col("as_of")).alias("as_of"), "closed_sessions", "files", "bytes", "message",
+        F.lit(left).cast("bigint").alias("files_left"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inventory": inventory,
     "multi_root_union": multi_root_union,
@@ -486,11 +533,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_purge_retained": table_purge_retained,
     "table_purge_partitions": table_purge_partitions,
     "table_purge_applied": table_purge_applied,
+    "table_purge_layouts": table_purge_layouts,
     "prune_dirs": prune_dirs,
     "tree_inventory": tree_inventory,
     "tree_status": tree_status,
     "tree_clean": tree_clean,
     "tree_scan": tree_scan,
+    "tree_scan_parts": tree_scan_parts,
     "format_size": format_sizes,
     "dir_stats": dir_stats,
     "dir_stats_orders": dir_stats_orders,
@@ -505,4 +554,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_items": scan_items,
     "session_end_trigger": session_end_trigger,
     "session_end_run": session_end_run,
+    "session_end_clean": session_end_clean,
 }

@@ -11,7 +11,7 @@ from shelflife.plans.registered import QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="driver tables are not here")
 # These run their stages when called; their plan is only a read of what they wrote.
-EAGER = {name for name in QUERIES if name.startswith(("tree_", "session_", "table_purge_applied"))}
+EAGER = {name for name in QUERIES if name.startswith(("tree_", "session_", "table_purge_applied", "table_purge_layouts"))}
 MAP_ONLY = [
     "inventory",
     "expired_files",
