@@ -10,15 +10,16 @@ Rows with the same id are documents of their own. A document without words takes
 shard is (md5 of seed and id, id, size), so equal rows may swap places without changing the result. Sources
 are ordered by code point, null last. An empty table gives an empty result.
 
-The driver holds one row per source and one per shard of ``SHARD_DOCS`` documents, never documents.
+The driver holds one row per source. The sums of a source's shards, one number per ``SHARD_DOCS`` documents,
+meet in one task.
 """
 
 from __future__ import annotations
 
 import heapq
-import itertools
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelflife.llm.common import WORD, word_count, written
@@ -27,7 +28,7 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = "mix-1"
 #: Documents a shard holds on average: the rows one task sorts.
-SHARD_DOCS = 1 << 18
+SHARD_DOCS = 1 << 13
 #: A block is the total over this many blocks per source, between one word and MAX_BLOCK words.
 BLOCKS_PER_SOURCE = 1000
 MAX_BLOCK = 4096
@@ -90,22 +91,22 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     total, block = sum(sizes), block_words(sum(sizes), len(sizes))
     blocks = sainte_lague(goals, round(total / block))
     plan = [
-        (i, r["source"], r["words"], goals[i], -(-r["docs"] // shard_docs)) for i, r in enumerate(per_source)
+        (i, r["source"], r["words"], goals[i], -(-r["docs"] // shard_docs), blocks[i]) for i, r in enumerate(per_source)
     ]
-    sources = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, shards long")
+    sources = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, shards long, blocks long")
 
     number = F.conv(F.substr("key", F.lit(1), F.lit(8)), 16, 10).cast("long")
     dealt = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select(
-        "doc_id", sized["source"], "size", "key", "source_no", "source_size", "target", F.pmod(number, F.col("shards")).alias("shard"), *keep
+        "doc_id", sized["source"], "size", "key", "source_no", "source_size", "target", "blocks", F.pmod(number, F.col("shards")).alias("shard"), *keep
     )
-    per_shard = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("words")).collect()
-    per_shard.sort(key=lambda r: (r["source_no"], r["shard"]))
-    quotas = []
-    for i, group in itertools.groupby(per_shard, key=lambda r: r["source_no"]):
-        own = list(group)
-        seats = sainte_lague([float(r["words"]) for r in own], blocks[i])
-        quotas += [(i, r["shard"], r["words"], min(n * block, cap * r["words"])) for r, n in zip(own, seats)]
-    shards = spark.createDataFrame(quotas, "source_no int, shard long, shard_words long, quota long")
+    def quotas(shards: pd.DataFrame) -> pd.DataFrame:
+        shards = shards.sort_values("shard")
+        seats = sainte_lague([float(w) for w in shards["shard_words"]], int(shards["blocks"].iloc[0]))
+        quota = [min(n * block, cap * int(w)) for n, w in zip(seats, shards["shard_words"])]
+        return shards[["source_no", "shard", "shard_words"]].assign(quota=quota)
+
+    per_shard = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_words"), F.max("blocks").alias("blocks"))
+    shards = per_shard.groupBy("source_no").applyInPandas(quotas, "source_no int, shard long, shard_words long, quota long")
 
     in_order = Window.partitionBy("source_no", "shard").orderBy("key", "doc_id", "size")
     at = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")

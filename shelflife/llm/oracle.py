@@ -35,7 +35,7 @@ seats AS (
   WHERE turn <= blocks GROUP BY no),
 dealt AS (
   SELECT s.*, g.no, g.source_size, g.target, g.block, coalesce(n.seats, 0) AS seats,
-         ('0x' || substr(key, 1, 8))::BIGINT % ((g.docs + 262143) // 262144) AS shard
+         ('0x' || substr(key, 1, 8))::BIGINT % ((g.docs + 8191) // 8192) AS shard
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN seats n ON n.no = g.no),
 shards AS (SELECT no, shard, sum(size)::BIGINT AS words, any_value(seats) AS seats, any_value(block) AS block FROM dealt GROUP BY no, shard),
 shard_seats AS (
