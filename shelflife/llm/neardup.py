@@ -40,7 +40,7 @@ K = 64
 #: A binomial draw of K with probability 0.75 is smaller than this about once in 10^8.
 SHARED = 27
 #: Hashes of the sets a block of classes holds on average.
-BLOCK_VALUES = 1 << 19
+BLOCK_VALUES = 1 << 17
 #: Word hashes a task remembers.
 REMEMBERED = 200_000
 
@@ -253,14 +253,16 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 def deduplicated(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, and of kept rows with one id and shingle set the first by text."""
-    found = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
-    kept = found.groupBy("kept_id", "kept_key").agg(F.count(F.lit(1)).alias("times"))
+    # Id and key in one column: rows are never dealt by the key alone, which a group of copies shares.
+    pair = lambda key: F.struct(F.col(doc_id).alias("id"), F.col(key).alias("key"))
+    found = near_duplicates(docs, doc_id, text)
+    kept_as = F.struct(F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    kept = found.where("kept").groupBy(kept_as.alias("__kept")).agg(F.count(F.lit(1)).alias("__times"))
     keyed = _keyed(docs, text)
-    same = F.col(doc_id).eqNullSafe(F.col("kept_id")) & F.col("__key").eqNullSafe(F.col("kept_key"))
-    rows = keyed.join(kept, same)
-    single = rows.where("times = 1 or __key is null").select(docs.columns)
-    first = Window.partitionBy("kept_id", "kept_key").orderBy(text, *(c for c in docs.columns if c not in (doc_id, text)))
-    repeated = rows.where("times > 1 and __key is not null").withColumn("__row", F.row_number().over(first)).where("__row = 1")
+    rows = keyed.join(kept, pair("__key").eqNullSafe(F.col("__kept")))
+    single = rows.where("__times = 1 or __key is null").select(docs.columns)
+    first = Window.partitionBy("__kept").orderBy(text, *(c for c in docs.columns if c not in (doc_id, text)))
+    repeated = rows.where("__times > 1 and __key is not null").withColumn("__row", F.row_number().over(first)).where("__row = 1")
     return single.union(repeated.select(docs.columns))
 
 
