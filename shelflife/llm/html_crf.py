@@ -6,7 +6,8 @@ length, links, sentence end, copyright signs) and for each pair of neighbouring
 pages (``TRAINING_PAGES`` generated layouts, a bounded set) and decoded by Viterbi; the blocks labelled as text
 are the page's main text, in page order.
 
-Head, scripts, styles, templates, comments in the markup, and the controls of forms are never text. Character
+Head, scripts, styles, templates, comments in the markup, hidden elements and the controls of forms are never
+text. Character
 references are decoded; white space inside a block, line breaks included, becomes one space.
 
 Defined cases: a null or empty page, and one without text, gives the empty text; open tags at the end of a cut
@@ -51,6 +52,7 @@ ENDS = {
 SCOPE = frozenset("article aside blockquote body div footer form header main nav ol section table ul html".split())
 
 
+HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 PARTS = frozenset("article aside footer form header main nav".split())
 
 
@@ -60,20 +62,22 @@ class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.unseen: list[bool] = []
         self.blocks: list[tuple[str, int, list]] = []
         self.text: list[str] = []
+        self.above: list[tuple[str, tuple[str, ...]]] = []
         self.linked = self.never = self.links = 0
 
     def _flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.blocks.append((text, self.linked, list(self.open)))
-        self.text, self.linked = [], 0
+                self.blocks.append((text, self.linked, self.above))
+        self.text, self.linked, self.above = [], 0, []
 
     def _pop(self) -> None:
         tag, _ = self.open.pop()
-        self.never -= tag in NEVER
+        self.never -= self.unseen.pop()
         self.links -= tag == "a"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -93,9 +97,12 @@ class _Blocks(HTMLParser):
             while any(t == "head" for t, _ in self.open):
                 self._pop()
         if tag not in VOID:
+            shown = dict(attrs)
+            unseen = tag in NEVER or "hidden" in shown or shown.get("aria-hidden") == "true" or HIDDEN.search(shown.get("style") or "")
             names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
             self.open.append((tag, tuple(re.findall(r"[a-z]+", names))))
-            self.never += tag in NEVER
+            self.unseen.append(bool(unseen))
+            self.never += self.unseen[-1]
             self.links += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
@@ -112,6 +119,8 @@ class _Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.never:
             self.text.append(data)
+            if not self.above and not data.isspace():
+                self.above = list(self.open)  # where the block's first word stands
             if self.links:
                 self.linked += len(data)
 

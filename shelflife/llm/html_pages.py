@@ -8,8 +8,8 @@ import random
 NAVIGATION = "nav menu navbar navigation breadcrumb breadcrumbs topbar toolbar pagination pager tabs skip toc".split()
 HEAD = "header masthead banner site-header branding logo top hero".split()
 FOOT = "footer site-footer bottom colophon copyright legal contentinfo credits".split()
-SIDE = "sidebar aside widget related recommended trending popular complementary rail more-stories teaser".split()
-ADVERT = "ad ads advert advertisement sponsor sponsored promo promotion adsense dfp outbrain taboola".split()
+SIDE = "sidebar aside widget related recommended trending popular complementary rail more-stories teaser side side-bar side-column".split()
+ADVERT = "ad ads advert advertisement sponsor sponsored promo promotion adsense adsbygoogle adbox adslot dfp outbrain taboola".split()
 NOTICE = "notice cookie cookies consent alert gdpr popup modal overlay dialog warning disclaimer message".split()
 FORM = "form login search subscribe newsletter signup register contact".split()
 SOCIAL = "share social follow sharing buttons tags meta-links".split()
@@ -58,7 +58,9 @@ def _boilerplate(rng: random.Random, kind: str) -> str:
     if kind == "navigation":
         return _part(rng, ["nav"], NAVIGATION, _links(rng, rng.randint(2, 8)), 0.6) if rng.random() < 0.6 else _part(rng, ["div", "ul"], NAVIGATION, _links(rng, 5))
     if kind == "head":
-        return _part(rng, ["header"], HEAD, rng.choice(["<h1>", "<h2>", "<p>"]) + _words(rng, 3) + "</h1>", 0.6) if rng.random() < 0.6 else _part(rng, ["div"], HEAD, inner)
+        name = f"<h{(n := rng.randint(1, 3))}>{_words(rng, rng.randint(1, 6))}</h{n}>"
+        name = rng.choice([name, name + short, short, name + _links(rng, 3), inner])
+        return _part(rng, ["header"], HEAD, name, 0.6) if rng.random() < 0.6 else _part(rng, ["div"], HEAD, name)
     if kind == "foot":
         line = rng.choice(["&copy; ", "Copyright ", ""]) + _words(rng, rng.randint(2, 14), rng.choice(["", "."]))
         line = rng.choice([line, f"<p>{line}</p>", line + _links(rng, 3), f"{line} &middot; {loose}"])
@@ -73,6 +75,8 @@ def _boilerplate(rng: random.Random, kind: str) -> str:
         one = [f"<{(t := rng.choice(['div', 'li', 'article']))}{_attributes(rng, COMMENT)}><p>{_paragraph(rng, 2, 60)}</p></{t}>" for _ in range(rng.randint(1, 4))]
         return _part(rng, ["div", "section", "ol", "ul"], COMMENT, f"<h3>{_words(rng, 2)}</h3>" * (rng.random() < 0.5) + "".join(one))
     names = {"advert": ADVERT, "notice": NOTICE, "social": SOCIAL}[kind]
+    if kind == "advert" and rng.random() < 0.2:
+        return _part(rng, ["ins"], names, loose)
     if inner == loose:
         return _part(rng, ["div", "section", "p", "span"] if kind == "social" else ["div", "section", "p"], names, inner)
     return _part(rng, ["div", "section"], names, inner)
