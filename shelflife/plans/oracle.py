@@ -300,6 +300,25 @@ SELECT *, CASE WHEN files = 0 THEN 'No files older than 10h found'
     "session_end_trigger": f"WITH {SESSIONS} SELECT user_id, session_start, session_end, events FROM closed",
     "session_end_run": f"""WITH {SESSIONS}, {EVENTS_INVENTORY},
 ran AS (SELECT max(session_end) AS as_of, count(*) AS closed_sessions FROM closed),
+total AS (
+  SELECT as_of, closed_sessions, count(path) AS files, coalesce(sum(size_bytes), 0)::BIGINT AS bytes
+  FROM ran LEFT JOIN inv ON mtime < as_of - INTERVAL 168 HOUR
+  WHERE closed_sessions > 0 GROUP BY as_of, closed_sessions)
+SELECT *, 168 AS retention_hours, 'Starting cleanup (retention: 168h, dry_run: True)' AS start,
+       CASE WHEN files = 0 THEN 'No files older than 168h found'
+            ELSE 'Cleanup complete: ' || files || ' files processed' END AS message,
+       CASE WHEN files = 0 THEN '[retention] No old files to clean'
+            ELSE '[retention] Would clean ' || files || ' files (' || {_size('bytes')} || ')' END AS session_message
+FROM total""",
+    "session_end_batches": f"""WITH {SESSIONS}, {EVENTS_INVENTORY},
+parts AS (
+  SELECT CASE WHEN ts < DATE '2024-01-11' THEN 1 WHEN ts < DATE '2024-01-21' THEN 2 ELSE 3 END AS part,
+         date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS mark
+  FROM events WHERE ts IS NOT NULL GROUP BY part),
+marks AS (SELECT mark, lag(mark, 1, TIMESTAMP '0001-01-01 00:00:00') OVER (ORDER BY part) AS before FROM parts),
+ran AS (
+  SELECT max(session_end) AS as_of, count(*) AS closed_sessions
+  FROM sessions JOIN marks ON session_end <= mark AND session_end > before GROUP BY mark),
 total AS (
   SELECT as_of, closed_sessions, count(path) AS files, coalesce(sum(size_bytes), 0)::BIGINT AS bytes
   FROM ran LEFT JOIN inv ON mtime < as_of - INTERVAL 168 HOUR

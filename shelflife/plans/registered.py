@@ -22,6 +22,7 @@ from shelflife.streaming.session_end import closed_sessions, run_on_session_end
 EVENTS_AT, EVENTS_HOURS = dt.datetime(2024, 1, 31), 168
 PRUNE_HOURS, TREE_HOURS = 24, 10
 ORDERS_AT, ORDERS_HOURS = dt.datetime(2001, 8, 2), 8760
+BATCH_DAYS = ("2024-01-11", "2024-01-21")
 SESSION_GAP, WATERMARK_DELAY = "6 hours", "1 hour"
 
 
@@ -471,13 +472,20 @@ def scan_items(spark, sf_dir):
 # Stream.
 
 
-def _session_stream(spark: SparkSession, sf_dir: str, retention_pass: Callable | None = None) -> str:
-    """Play the events as a stream to its end; each batch with closed sessions runs the pass."""
+def _session_stream(
+    spark: SparkSession, sf_dir: str, retention_pass: Callable | None = None, files: str | None = None
+) -> str:
+    """Play the events as a stream to its end; each batch with closed sessions runs the pass.
+
+    ``files`` is a pattern of files to be played one after the other, a batch each.
+    """
     out_dir = shared_dir(spark, "session-end")
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # A pattern, so that the table may be one file or a folder of files.
-    activity = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    reader = spark.readStream.schema(_table(spark, sf_dir, "events").schema)
+    if files:
+        activity = reader.option("maxFilesPerTrigger", 1).parquet(files)
+    else:
+        # A pattern, so that the table may be one file or a folder of files.
+        activity = reader.parquet(f"{sf_dir}/events.parque[t]")
     sessions = closed_sessions(activity, "user_id", "ts", SESSION_GAP, WATERMARK_DELAY)
 
     def planned(as_of: dt.datetime, run_dir: str) -> DataFrame:
@@ -498,6 +506,17 @@ def session_end_run(spark, sf_dir):
     return out.withColumn("as_of", to_utc_wall_clock(F.col("as_of")))
 
 
+def session_end_batches(spark, sf_dir):
+    """The events in three files by time, a batch each: one run for each batch that closes sessions."""
+    folder, events = shared_dir(spark, "events"), _table(spark, sf_dir, "events")
+    days = [F.to_timestamp_ntz(F.lit(day)) for day in BATCH_DAYS]
+    at = F.col("ts")
+    for k, part in enumerate([at < days[0], (at >= days[0]) & (at < days[1]), at >= days[1]]):
+        events.where(part).coalesce(1).write.parquet(f"{folder}/{k}")
+    runs = spark.read.parquet(f"{_session_stream(spark, sf_dir, files=f'{folder}/*/*.parquet')}/runs")
+    return runs.drop("batch_id").withColumn("as_of", to_utc_wall_clock(F.col("as_of")))
+
+
 def session_end_clean(spark, sf_dir):
     """The pass deletes: the run's files and bytes, and how many files the trees still hold."""
     roots = document_tree(_table(spark, sf_dir, "documents"))
@@ -554,5 +573,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_items": scan_items,
     "session_end_trigger": session_end_trigger,
     "session_end_run": session_end_run,
+    "session_end_batches": session_end_batches,
     "session_end_clean": session_end_clean,
 }

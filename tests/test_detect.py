@@ -123,3 +123,9 @@ def test_summary_and_advice(spark):
 def test_scan_does_not_shuffle(spark):
     plan = detect.find_secrets(content(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_a_wide_catalogue(spark):
+    rules = [detect.Detector(f"K{i}", f"k{i}=([0-9]+)", (f"k{i}=",), group=1) for i in range(300)]
+    rows = detect.find_secrets(content(spark, [" ".join(f"k{i}={i}" for i in range(0, 300, 7)), "k1= k2="]), rules).collect()
+    assert sorted((r["category"], r["secret"]) for r in rows) == sorted((f"K{i}", str(i)) for i in range(0, 300, 7))
