@@ -29,9 +29,10 @@ CAP = 3
 SEED = "mix-1"
 #: Documents a shard holds on average: the rows one task sorts.
 SHARD_DOCS = 1 << 13
-#: A block is the total over this many blocks per source, between one word and MAX_BLOCK words.
+#: A block is the total over this many blocks per source, between one word and MAX_BLOCK words. Blocks are small so
+#: that small sources come near their targets too; how many there are costs nothing.
 BLOCKS_PER_SOURCE = 1000
-MAX_BLOCK = 4096
+MAX_BLOCK = 16
 
 
 def targets(sizes: Sequence[int], weights: Sequence[int], cap: int = CAP) -> list[float]:

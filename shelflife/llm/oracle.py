@@ -26,7 +26,7 @@ goals AS (
   SELECT *, CASE WHEN at_cap THEN (3 * source_size)::DOUBLE
                  ELSE ((total - coalesce(sum(3 * source_size) FILTER (WHERE at_cap) OVER (), 0)) * weight)::BIGINT::DOUBLE
                       / (sum(weight) FILTER (WHERE NOT at_cap) OVER ())::DOUBLE END AS target,
-         greatest(1, least(4096, total // (1000 * count(*) OVER ())))::BIGINT AS block
+         greatest(1, least(16, total // (1000 * count(*) OVER ())))::BIGINT AS block
   FROM capped),
 seats AS (
   SELECT no, count(*) AS seats FROM (
