@@ -13,9 +13,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null lang becomes the recognised one; a given lang stays.
     """
-    found = langid.identify(docs, langid.trained(docs))
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = langid.identify(docs, langid.trained(docs), names=("__lang", "__score"))
+    kept = found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") > 0))
+    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,9 +25,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from shelflife.llm.common import held_out, written
+from shelflife.llm.common import held_out
 
 SIZES = (3, 4, 5)
 SAMPLE_DOCS = 2000
@@ -167,31 +167,31 @@ def fit(docs: DataFrame, text="text", lang="lang", sample_key="doc_id", sample_d
         .select("ngram", "all_rates", F.inline("uses"))
         .where(F.col("rate") >= SHARE * F.col("all_rates"))
     )
-    held = written(held.select("lang", "ngram", "times"), "langid")
     masks = np.zeros((-(-len(languages) // 64), slots), np.uint64)
+    often = Window.partitionBy("lang").orderBy(F.col("times").desc(), "ngram")
+    top = held.withColumn("place", F.row_number().over(often)).where(F.col("place") <= n_grams).select("lang", "ngram").collect()
     for k, code in enumerate(languages):
-        top = held.where(F.col("lang") == code).orderBy(F.col("times").desc(), "ngram").limit(n_grams).select("ngram")
-        hashed = np.array([r[0] for r in top.collect()], np.int64).view(np.uint64)
+        hashed = np.array([r["ngram"] for r in top if r["lang"] == code], np.int64).view(np.uint64)
         for place in _slots(hashed, slots):
             masks[k // 64, place] |= np.uint64(1) << np.uint64(k % 64)
     fill = np.array([np.count_nonzero(masks[k // 64] >> np.uint64(k % 64) & np.uint64(1)) / slots for k in range(len(languages))])
     return Filters(languages, masks, fill**HASHES, max(languages, key=lambda code: (per_lang[code], code)))
 
 
-def identify(docs: DataFrame, filters: Filters, text="text") -> DataFrame:
-    """``docs`` with lang_pred and score; the text alone decides."""
-    names = docs.columns
+def identify(docs: DataFrame, filters: Filters, text="text", names=("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its score in columns of these ``names``; the text alone decides."""
+    pred, score = names
+    kept = docs.drop(pred, score)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = filters.classify(batch[text].to_pylist())
-            arrays = [batch[c] for c in names if c not in ("lang_pred", "score")]
-            arrays += [pa.array([code for code, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*(c for c in names if c not in ("lang_pred", "score")), "lang_pred", "score"])
+            codes, scores = pa.array([code for code, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), codes, scores], [*columns, pred, score])
 
-    kept = docs.drop("lang_pred", "score")
+    columns = kept.columns
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
-    return docs.mapInArrow(classify, ", ".join([*fields, "lang_pred string", "score double"]))
+    return kept.mapInArrow(classify, ", ".join([*fields, f"{pred} string", f"{score} double"]))
 
 
 def trained(docs: DataFrame, doc_id="doc_id", text="text", lang="lang") -> Filters:

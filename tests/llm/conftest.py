@@ -6,6 +6,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Names the operators use inside; callers' tables may have them too.
 CLASHING = "key string, size int, n long, value double, hashes string, word string, block int, held_out string, score string, slot int, bucket int"
 
+EXTRA = ("k", 5, 6, 0.5, "h", "w", 7, "held", "s", 8, 9)
+
 
 def base_rows():
     words = [f"w{i}x" for i in range(60)]
@@ -30,8 +32,7 @@ def base_rows():
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with everything that may go wrong, and columns whose names clash."""
-    n = len(CLASHING.split(", "))
-    rows = [(*row, *[None] * n) for row in base_rows()]
+    rows = [(*row, *EXTRA) for row in base_rows()]
     return spark.createDataFrame(rows, f"{SCHEMA}, {CLASHING}").repartition(3)
 
 
