@@ -227,9 +227,11 @@ def fit(pages: list[list[tuple[str, int]]]) -> Field:
     for r, (_, labels) in enumerate(rows):
         here[r, : len(labels)] = True
         y[r, : len(labels)] = labels
-    x = np.zeros((int(here.sum()), len(names)))
-    for k, f in enumerate(f for found, _ in rows for f in found):
-        x[k, [names[name] for name in f]] = 1
+    # The numbers of each block's features, filled up with one number more that stays without weight.
+    blocks = [f for found, _ in rows for f in found]
+    x = np.full((len(blocks), max(map(len, blocks))), len(names))
+    for k, f in enumerate(blocks):
+        x[k, : len(f)] = [names[name] for name in f]
     pairs = here[:, 1:] & here[:, :-1]
     seen = np.array([[np.sum(pairs & (y[:, :-1] == a) & (y[:, 1:] == b)) for b in (0, 1)] for a in (0, 1)])
     # One vector of all weights: features, then label pairs. Steps follow Adam's running means of the slope.
@@ -237,9 +239,11 @@ def fit(pages: list[list[tuple[str, int]]]) -> Field:
     mean, square = np.zeros_like(weight), np.zeros_like(weight)
     own = np.zeros((n, longest, 2))
     for turn in range(1, STEPS + 1):
-        own[here, 1] = x @ weight[:-4]
+        own[here, 1] = np.append(weight[:-4], 0.0)[x].sum(axis=1)
         label_p, pair_p = _marginals(own, weight[-4:].reshape(2, 2), here)
-        slope = np.concatenate([x.T @ (y - label_p[:, :, 1])[here], (seen - pair_p).ravel()]) / n - SHRINK * weight
+        missing = np.repeat((y - label_p[:, :, 1])[here], x.shape[1])
+        by_name = np.bincount(x.ravel(), missing, len(names) + 1)[:-1]
+        slope = np.concatenate([by_name, (seen - pair_p).ravel()]) / n - SHRINK * weight
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
         weight += RATE * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
