@@ -100,6 +100,7 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     dealt = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select(
         "doc_id", sized["source"], "size", "key", "source_no", "source_size", "target", "blocks", F.pmod(number, F.col("shards")).alias("shard"), *keep
     )
+
     def quotas(shards: pd.DataFrame) -> pd.DataFrame:
         shards = shards.sort_values("shard")
         seats = sainte_lague([float(w) for w in shards["shard_words"]], int(shards["blocks"].iloc[0]))
