@@ -103,6 +103,30 @@ def differing(a: str, b: str) -> tuple[list[tuple], list[tuple]]:
     return a, b
 
 
+def edited_ranges(a: str, b: str) -> list[tuple[int, int]]:
+    """Code point ranges of the first text that the second does not have, by their fingerprints alone.
+
+    Of equal pieces the earlier ones count as those both texts have.
+    """
+    only = Counter(differing(a, b)[0])
+    leaves = [leaf for section in _tree(a)[1] for paragraph in section for leaf in paragraph]
+    both = Counter(leaves) - only
+    ranges, at = [], 0
+    for section in _tree(a)[1]:
+        for paragraph in section:
+            for leaf in paragraph:
+                end = at + leaf[1]
+                if both[leaf] > 0:
+                    both[leaf] -= 1
+                elif ranges and ranges[-1][1] == at:
+                    ranges[-1] = (ranges[-1][0], end)
+                else:
+                    ranges.append((at, end))
+                at = end
+            at += 1  # the line feed
+    return ranges
+
+
 def _size(mark: str) -> int:
     return sum(bits >> 2 for _, bits in LEAF.iter_unpack(base64.b64decode(mark.partition(":")[2])))
 

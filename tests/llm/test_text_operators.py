@@ -198,6 +198,11 @@ def test_fingerprints_tell_equality_and_edits(odd):
     assert a != b and merkle.likeness(a, a) == 1.0 and 0.9 < merkle.likeness(a, b) < 1
     only_a, only_b = merkle.differing(a, b)
     assert len(only_a) == len(only_b) == 1
+    (start, end), = merkle.edited_ranges(a, b)
+    assert "Paragraph 20 says" in text[start:end] and text[start:end] in text.split("\n")[20]
+    (start, end), = merkle.edited_ranges(b, a)
+    assert "Paragraph 20 denies" in edited[start:end]
+    assert merkle.edited_ranges(a, a) == [] and merkle.edited_ranges(a, merkle.fingerprint("")) != []
     assert merkle.likeness(a, merkle.fingerprint("quite another text")) == 0
     assert merkle.fingerprint(None) == merkle.fingerprint("") != merkle.fingerprint("\n")
     assert merkle.fingerprint("a\nb") != merkle.fingerprint("a b")
