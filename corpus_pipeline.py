@@ -9,7 +9,7 @@ from shelflife.llm.common import read_table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the others (no letter, or no known n-gram) go.
+    """Documents whose language is recognised; the others (no letter, or too few known n-grams) go.
 
     A null lang becomes the recognised one; a given lang stays.
     """

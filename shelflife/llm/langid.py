@@ -3,7 +3,12 @@
 One Bloom filter per language, bit-sliced: slot j holds a mask with a bit for each language, so looking up an
 n-gram's slots and AND-ing their masks returns all languages whose filter contains it. A language's popcount
 over a text is corrected for the false positives its filter is known to give; the largest corrected count
-decides, and its share of all corrected counts is the score.
+decides. The score is its share of all corrected counts times the share of the text's distinct n-grams that the
+language holds, corrected likewise.
+
+A language is recognised only if it holds ``FLOOR`` of the distinct n-grams, and so many that its filter would
+claim them by chance in fewer than ``ALPHA`` of all texts; else the score is 0. Distinct n-grams, since a
+repeated one is one draw of the filter, however often it stands there.
 
 Filters are fitted on labelled documents: of each language about ``SAMPLE_DOCS``, chosen by a hash of the id,
 and of those the ``NGRAMS`` most frequent n-grams that the language uses often against the others. The fitted
@@ -13,12 +18,13 @@ N-grams are 3 to 5 code points of the lower-cased text, where all that is no let
 space stands inside.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text none of whose n-grams is
-known gets the language with most labelled documents and score 0; ties go to the smaller language code;
-without any labelled document everything is ``und``; repeated rows are rows of their own.
+known gets the language with most labelled documents and score 0, one that is not recognised the language that
+holds most and score 0; ties go to the smaller language code; without any labelled document everything is ``und``; repeated rows are rows of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -36,6 +42,10 @@ SLOTS = 1 << 18
 HASHES = 2
 #: A language contains an n-gram if it has this share of the n-gram's rates over all languages.
 SHARE = 0.4
+#: The least corrected share of a text's distinct n-grams that a recognised language holds.
+FLOOR = 0.2
+#: A bound on how often a text whose n-grams no filter holds is recognised; only short texts come near it.
+ALPHA = 0.02
 #: Code points looked at together; longer texts are looked at in parts whose n-grams overlap.
 PART = 1 << 19
 UNKNOWN = "und"
@@ -94,6 +104,29 @@ def ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield mixed, owner[keep]
 
 
+def _distinct(hashed: np.ndarray, owner: np.ndarray, seen: dict[int, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The distinct n-grams of each text, their texts, how often they stand there, and whether no earlier part had them.
+
+    ``owner`` is ascending. ``seen`` holds what the earlier parts of the texts in it had and is brought up to date.
+    """
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    ordered = hashed.copy()
+    for at, end in zip(starts, [*starts[1:], len(ordered)]):
+        ordered[at:end].sort()
+    first = np.ones(len(ordered), bool)
+    first[1:] = (ordered[1:] != ordered[:-1]) | (owner[1:] != owner[:-1])
+    firsts = np.flatnonzero(first)
+    values, owner = ordered[firsts], owner[firsts]
+    times = np.diff(firsts, append=len(ordered)).astype(float)
+    fresh = np.ones(len(values), bool)
+    for k in seen:
+        at, end = np.searchsorted(owner, [k, k + 1])
+        if at < end:
+            fresh[at:end] = ~np.isin(values[at:end], seen[k])
+            seen[k] = np.concatenate([seen[k], values[at:end][fresh[at:end]]])
+    return values, owner, times, fresh
+
+
 def _slots(hashed: np.ndarray, slots: int) -> Iterator[np.ndarray]:
     for k in range(HASHES):
         yield ((hashed >> np.uint64(20 * k)) % np.uint64(slots)).astype(np.int64)
@@ -109,11 +142,15 @@ class Filters:
     fallback: str
 
     def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        counts = np.zeros((len(self.languages), len(texts)))
-        total = np.zeros(len(texts))
+        counts, held = np.zeros((2, len(self.languages), len(texts)))
+        total, distinct = np.zeros((2, len(texts)))
         slots = self.masks.shape[1]
+        # Lower case may be longer than the text, so texts that may have parts are remembered generously.
+        seen = {k: np.zeros(0, np.uint64) for k, text in enumerate(texts) if len(text or "") > PART // 4}
         for hashed, owner in ngrams([t or "" for t in texts]):
-            total += np.bincount(owner, minlength=len(texts))
+            hashed, owner, times, fresh = _distinct(hashed, owner, seen)
+            total += np.bincount(owner, times, len(texts))
+            distinct += np.bincount(owner[fresh], minlength=len(texts))
             places = list(_slots(hashed, slots))
             for word, row in enumerate(self.masks):
                 found = row[places[0]]
@@ -121,7 +158,8 @@ class Filters:
                     found &= row[place]
                 for k in range(64 * word, min(64 * word + 64, len(self.languages))):
                     hit = (found >> np.uint64(k % 64)) & np.uint64(1) != 0
-                    counts[k] += np.bincount(owner[hit], minlength=len(texts))
+                    counts[k] += np.bincount(owner[hit], times[hit], len(texts))
+                    held[k] += np.bincount(owner[hit & fresh], minlength=len(texts))
         wrong = self.false_positive[:, None]
         true = np.maximum(0.0, (counts - total * wrong) / (1 - wrong))
         out = []
@@ -130,9 +168,23 @@ class Filters:
                 out.append((UNKNOWN, 0.0))
                 continue
             best, all_of = int(np.argmax(true[:, k])), float(true[:, k].sum())
-            out.append((self.languages[best], float(true[best, k]) / all_of) if all_of > 0 else (self.fallback, 0.0))
+            known = self._known(best, float(held[best, k]), float(distinct[k]))
+            out.append((self.languages[best], float(true[best, k]) / all_of * known) if all_of > 0 else (self.fallback, 0.0))
         return out
 
+    def _known(self, language: int, held: float, distinct: float) -> float:
+        """The corrected share of a text's distinct n-grams that a language holds, 0 if that does not recognise it."""
+        wrong = float(self.false_positive[language])
+        share = held / distinct
+        known = (share - wrong) / (1 - wrong) if share > wrong else 0.0
+        if known < FLOOR:
+            return 0.0
+        # Chernoff's bound on the chance of so many false positives, for the best of all languages.
+        evidence = held * math.log(share / wrong)
+        if held < distinct:
+            evidence += (distinct - held) * math.log((1 - share) / (1 - wrong))
+        return known if evidence >= math.log(len(self.languages) / ALPHA) else 0.0
+
 
 def fit(docs: DataFrame, text="text", lang="lang", sample_key="doc_id", sample_docs=SAMPLE_DOCS, n_grams=NGRAMS, slots=SLOTS) -> Filters:
     """Filters from the labelled rows of ``docs``. ``sample_key`` only chooses the rows that are fitted on."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -87,6 +88,17 @@ def test_pipeline_on_driver_rows(spark):
     check(spark, read_table(spark, SMALL, "documents"))
 
 
+def test_pipeline_rejects_unknown_languages(spark):
+    rng = random.Random(10)
+    alphabets = [[chr(c) for c in range(0x430, 0x450)], [chr(c) for c in range(0x4E00, 0x9FFF)], list("abcdefghijklmnopqrstuvwxyz")]
+    texts = [" ".join("".join(rng.choices(a, k=6)) for _ in range(80)) for a in alphabets for _ in range(50)]
+    docs = read_table(spark, SF, "documents")
+    planted = spark.createDataFrame([(-1 - k, text, None, "planted", len(text)) for k, text in enumerate(texts)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.union(planted), SF).select("doc_id").collect()}
+    letters = {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))}
+    assert kept == letters
+
+
 def test_pipeline_on_odd_rows(spark, odd):
     check(spark, odd)
 

@@ -142,6 +142,37 @@ def test_language_accuracy_on_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_language_of_unknown_texts(spark):
+    rng = random.Random(9)
+    scripts = {"cyrillic": [chr(c) for c in range(0x430, 0x450)], "greek": [chr(c) for c in range(0x3B1, 0x3CA)], "letters": list("abcdefghijklmnopqrstuvwxyz")}
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(3, 9)))
+    texts = [" ".join(word(letters) for _ in range(n)) for letters in scripts.values() for n in (10, 50, 1000) for _ in range(40)]
+    texts += ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n)) for n in (50, 1000) for _ in range(40)]
+    texts += [f"{word(scripts['cyrillic'])} " * 500 for _ in range(100)]
+    # Parts of one text may not count a repeated n-gram anew.
+    texts += [f"{word(scripts['cyrillic'])} " * 200_000 for _ in range(3)]
+    docs = read_table(spark, "/root/testdata/sf0.1", "documents")
+    filters = langid.trained(docs)
+    planted = filters.classify(texts)
+    assert sum(score > 0 for _, score in planted) <= 0.01 * len(texts)
+    out = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and any(map(str.isalpha, r["text"] or ""))]
+    assert all(score > 0 for _, score in filters.classify([r["text"] for r in out]))
+
+
+def test_language_distinct_over_parts(monkeypatch):
+    masks = np.zeros((1, 1 << 12), np.uint64)
+    text = "der die das und ein " * 40
+    for hashed, _ in langid.ngrams(["der die"]):
+        for place in langid._slots(hashed, 1 << 12):
+            np.bitwise_or.at(masks[0], place, np.uint64(1))
+    filters = langid.Filters(["de"], masks, np.array([1e-4]), "de")
+    whole = filters.classify(["und", text, "das"])
+    monkeypatch.setattr(langid, "PART", 100)
+    parts = filters.classify(["und", text, "das"])
+    assert whole[0][1] == whole[2][1] == 0 < whole[1][1] < 1
+    assert [round(score, 2) for _, score in parts] == [round(score, 2) for _, score in whole]
+
+
 def test_language_odd_rows(odd):
     found = langid.identify(odd.select("doc_id", "text"), langid.trained(odd)).collect()
     by_id = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in found}
