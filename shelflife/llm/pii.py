@@ -1,7 +1,8 @@
 """Personal data by patterns, checksums and context, in SQL functions only.
 
 A regular expression per kind proposes spans, leftmost and non-overlapping within the kind. A validator drops
-the ones that fail: octets at most 255, Luhn, digit counts, mod-97 for account numbers. What is left has the
+the ones that fail: octets at most 255, Luhn, digit counts, mod-97 for account numbers. An account number in
+print form may be followed by words that look like its groups, so it ends where it passes. What is left has the
 kind's score, raised by a context word of the kind nearby. The four base kinds are always kept; the added kinds
 (iban, ssn) need a score of ``THRESHOLD``.
 
@@ -59,6 +60,33 @@ def mod97(hit: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+#: Code points of an account number without spaces, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_length(hit: Column) -> Column:
+    """Code points of the account number a hit begins with, null if none.
+
+    Of the prefixes that end at a space, and the whole hit, that pass mod-97: the one with the length of its
+    country, else the whole hit, else, if the country is not listed, the longest.
+    """
+    prefix = lambda end: F.substr(hit, F.lit(1), end)
+    compact = lambda end: F.length(F.replace(prefix(end), F.lit(" "), F.lit("")))
+    lengths = F.create_map(*(F.lit(x) for n, codes in IBAN_LENGTHS.items() for code in codes.split() for x in (code, n)))
+    of_country = F.try_element_at(lengths, prefix(F.lit(2)))
+    # Groups of four and a space each.
+    inner = F.filter(F.array(*(F.lit(5 * n - 1) for n in range(8, 3, -1))), lambda end: F.substr(hit, end + 1, F.lit(1)) == " ")
+    ends = F.filter(F.concat(F.array(F.length(hit)), inner), lambda end: mod97(prefix(end)))
+    exact = F.filter(ends, lambda end: compact(end) == of_country)
+    other = F.filter(ends, lambda end: (end == F.length(hit)) | of_country.isNull())
+    return F.coalesce(F.get(exact, F.lit(0)), F.get(other, F.lit(0)))
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -69,6 +97,10 @@ class Kind:
     score: float
     context: str
     base: bool = True
+    #: Code points of a hit that are the span, null for none.
+    extent: Callable[[Column], Column] = F.length
+    #: If set, a hit is the first group of the pattern, and so many code points on the next may begin.
+    head: int | None = None
 
 
 #: In the order in which spans with the same start are listed.
@@ -91,8 +123,9 @@ KINDS = (
     ),
     Kind(
         "iban", r"[A-Z]{2}[0-9]{2}",
-        r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-        mod97, 0.6, "iban|account|bank|konto|compte|cuenta", base=False,
+        r"\b(?=([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}(?![A-Za-z0-9])){2,7}+(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9]))?)(?![A-Za-z0-9])))"
+        r"[A-Z]{2}[0-9]{2}",
+        lambda hit: F.lit(True), 0.6, "iban|account|bank|konto|compte|cuenta", base=False, extent=iban_length, head=4,
     ),
     Kind(
         "ssn", r"[0-9]-[0-9]",
@@ -107,17 +140,20 @@ def _found(text: Column, rank: int, kind: Kind) -> Column:
     """The valid spans of a kind. The pieces between the hits and the hits themselves give the offsets."""
     pieces = F.zip_with(
         F.split(text, kind.pattern, -1),
-        F.regexp_extract_all(text, F.lit(kind.pattern), 0),
+        F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.head else 0)),
         lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")),
     )
 
     def walk(state: Column, piece: Column) -> Column:
         start = state["at"] + piece["gap"]
-        end = start + F.coalesce(F.length(piece["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"))
-        keep = piece["hit"].isNotNull() & F.coalesce(kind.valid(piece["hit"]), F.lit(False))
+        size = F.when(kind.valid(piece["hit"]), kind.extent(piece["hit"]))
+        past = start + F.when(piece["hit"].isNull(), 0).otherwise(F.lit(kind.head) if kind.head else F.length(piece["hit"]))
+        keep = piece["hit"].isNotNull() & size.isNotNull()
+        if kind.head:
+            keep = keep & (F.coalesce(F.try_element_at(state["spans"], F.lit(-1))["end"], F.lit(0)) <= start)
+        span = F.struct(start.alias("start"), (start + size).alias("end"))
         spans = F.when(keep, F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        return F.struct(past.alias("at"), spans.alias("spans"))
 
     none = F.array().cast("array<struct<start:int,end:int>>")
     offsets = F.aggregate(

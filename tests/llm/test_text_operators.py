@@ -485,6 +485,24 @@ def test_added_kinds_and_context(spark):
     assert rows[5] == [("phone", "+1 (988) 555-2485", 0.85)]
 
 
+def test_account_numbers_end_where_they_pass(spark):
+    numbers = [
+        "NO93 8601 1117 947", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "GB29 NWBK 6016 1331 9268 19", "ES91 2100 0418 4502 0005 1332",
+        "FR14 2004 1010 0505 0001 3M02 606", "PL61 1090 1014 0000 0712 1981 2874", "HU42 1177 3016 1111 1018 0000 0000",
+        "MT84 MALT 0110 0001 2345 MTLC AST0 01S",
+    ]
+    after = ["", " EUR 50", " BIC GEBABEBB", " GEBABEBB", " 2024", " BANK", " BANKS", " Bank", " NEXT WORD THEN MORE", "."]
+    cases = [(f"{before}{n}{end}", [n]) for n in numbers for before in ("Pay é ", "BE12 ") for end in after]
+    cases += [(f"{a} {b}", [a, b]) for a in numbers for b in numbers]
+    cases += [(n.replace(" ", "") + " BANK", [n.replace(" ", "")]) for n in numbers]
+    cases += [("BE69 5390 0754 7034 EUR", []), ("AB12 " * 20_000, None)]
+    df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.detect(df).collect():
+        text, expected = cases[r["doc_id"]]
+        found = [text[s["start"] : s["end"]] for s in r["pii"] if s["kind"] == "iban"]
+        assert expected is None or found == expected, text
+
+
 def test_redaction(spark, odd, no_docs):
     texts = ["é mail a.b@c.de, or 1.2.3.4!", None, "clean", "+49 4111 1111 1111", "x 4111-1111-1111-1111 y a@b.cd"]
     df = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, pii string")
