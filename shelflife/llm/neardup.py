@@ -220,6 +220,11 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """Per row: doc_id, key (of its shingle set), n_shingles, component_id, kept."""
+    return _rooted(docs, doc_id, text).drop("root")
+
+
+def _rooted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``near_duplicates`` with the root of each row's component, which is null for an empty set."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     members = written(_with_sets(rows, whole=False), "sketches")
     classes = members.where("n > 0").groupBy("key").agg(
@@ -241,23 +246,30 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
     placed = classes.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    components_of = placed.join(lowest, "root").select("key", "component_id")
+    components_of = placed.join(lowest, "root").select("key", "component_id", "root")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
         members.select("doc_id", "key", "n")
         .join(components_of, "key", "left")
-        .select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"))
+        .select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), "root")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def deduplicated(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, and of kept rows with one id and shingle set the first by text."""
+    """One row of each component of ``near_duplicates``, and the rows with empty sets.
+
+    Of a component's kept rows, which are several if ids are null or repeated, the first by key, text and the
+    other columns stays.
+    """
     # Id and key in one column: rows are never dealt by the key alone, which a group of copies shares.
     pair = lambda key: F.struct(F.col(doc_id).alias("id"), F.col(key).alias("key"))
-    found = near_duplicates(docs, doc_id, text)
-    kept_as = F.struct(F.col("doc_id").alias("id"), F.col("key").alias("key"))
-    kept = found.where("kept").groupBy(kept_as.alias("__kept")).agg(F.count(F.lit(1)).alias("__times"))
+    found = _rooted(docs, doc_id, text).where("kept")
+    # The kept rows of a component agree in their id.
+    sets = found.groupBy("root", "key", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    alone = F.when(F.col("key").isNull(), F.col("doc_id"))
+    least = sets.groupBy("root", alone.alias("alone")).agg(F.min(F.struct("key", F.col("doc_id").alias("id"), "times")).alias("least"))
+    kept = least.select(F.struct("least.id", "least.key").alias("__kept"), F.col("least.times").alias("__times"))
     keyed = _keyed(docs, text)
     rows = keyed.join(kept, pair("__key").eqNullSafe(F.col("__kept")))
     single = rows.where("__times = 1 or __key is null").select(docs.columns)

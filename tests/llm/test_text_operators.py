@@ -107,6 +107,20 @@ def test_deduplicated(odd):
     assert rows == {1: 1, 4: 1, 5: 1, 6: 1, 7: 1, 9: 1, 10: 1, None: 1, 11: 1}
 
 
+def test_deduplicated_without_or_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(words[:n]), "a") for n in (100, 98, 96)]
+    rows += [(7, " ".join(["other", *words[50:], *words[n:50:2]]), "b") for n in (0, 2, 4)]
+    rows += [(8, " ".join(words[::-1]), "c"), (9, " ".join(words[::-1][:97]), "c"), (9, " ".join(words[::-1][:97]), "d")]
+    rows += [(None, "alone without an id and near to none", "e"), (None, None, "f"), (None, " ", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for spread in (docs, docs.repartition(5, "text")):
+        kept = neardup.deduplicated(spread).collect()
+        assert Counter((r["doc_id"], r["source"]) for r in kept) == {(None, "a"): 1, (7, "b"): 1, (8, "c"): 1, (None, "e"): 1, (None, "f"): 2}
+        assert {r for r in kept} <= {*docs.collect()}
+    assert len({tuple(r) for r in neardup.deduplicated(docs).union(neardup.deduplicated(docs.repartition(4))).collect()}) == 6
+
+
 # Language identification.
 
 
