@@ -29,3 +29,23 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 def held_out(doc_id: str, modulus: int) -> Column:
     """True for documents kept out of training: crc32 of the id as text leaves remainder 2. Null ids never are."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)) == 2, F.lit(False))
+
+
+#: Keys that get a broadcast row of their own in ``join_per_key``, at most.
+HOT_KEYS = 1024
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``per_key``, which has one row per key and in ``count`` how many rows the key has.
+
+    A key with more than one in ``HOT_KEYS`` of all rows would fill a task of its own. There are fewer than
+    ``HOT_KEYS`` of them, so their rows are broadcast and the rows of ``rows`` stay where they are; the others
+    meet by their key.
+    """
+    names = [c for c in per_key.columns if c not in (key, count)]
+    total = per_key.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = per_key.where(F.col(count) * HOT_KEYS > total)
+    found = rows.join(F.broadcast(hot.select(key, F.struct(*names).alias("__hot"))), key, "left")
+    there = found.where("__hot is not null").select(*rows.columns, *(F.col(f"__hot.{n}").alias(n) for n in names))
+    others = found.where("__hot is null").select(*rows.columns)
+    return there.union(others.join(per_key.select(key, *names), key).select(*rows.columns, *names))

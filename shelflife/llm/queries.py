@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflife.llm import ann, chat, html_crf, langid, lattice, merkle, mixing, neardup, packing, pii
+from shelflife.llm import ann, chat, html_crf, langid, lattice, merkle, mixing, neardup, packing, pii, simhash
 from shelflife.llm.common import held_out, read_table
 from shelflife.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -80,6 +80,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
@@ -91,4 +95,5 @@ QUERIES = {
     "op8_ann_cross_polytope": op8_ann_cross_polytope,
     "op9_lattice_scoring": op9_lattice_scoring,
     "op10_pii": op10_pii,
+    "op11_simhash_neardup": op11_simhash_neardup,
 }
