@@ -89,8 +89,69 @@ chats AS (
 SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
 FROM chats"""
 
+CONVERSATION_REPAIR = r"""WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+         lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations),
+kinds AS (
+  SELECT *, xor(4294967295, list_reduce(
+         list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)),
+         lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS kind
+  FROM keyed, crc_table),
+damaged AS (
+  SELECT conv_id, turn, copy, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (VALUES (0), (1)) AS c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (
+  SELECT *, substr(role, 1, 1) AS initial, row_number() OVER w AS pos, lag(substr(role, 1, 1)) OVER w AS before,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+rows AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+inserts AS (SELECT * FROM (VALUES
+  (0, '', 0, []), (0, 'I', 2, ['user:']), (0, 'II', 3, ['user:', 'assistant:']),
+  (1, '', 1, []), (1, 'I', 2, ['user:']), (1, 'II', 3, ['user:', 'assistant:']),
+  (2, '', 2, []), (2, 'I', 3, ['assistant:']), (3, '', 3, []), (3, 'I', 2, ['user:'])) AS t(state, added, mid, lines)),
+edits AS (SELECT * FROM (VALUES
+  (0, 'D', NULL, 0, NULL), (1, 'D', NULL, 1, NULL), (2, 'D', NULL, 2, NULL), (3, 'D', NULL, 3, NULL),
+  (0, 'K', 's', 1, NULL), (0, 'K', 'u', 2, NULL), (1, 'K', 'u', 2, NULL), (2, 'K', 'a', 3, NULL), (3, 'K', 'u', 2, NULL),
+  (0, 'R', NULL, 2, 'user'), (1, 'R', NULL, 2, 'user'), (2, 'R', NULL, 3, 'assistant'), (3, 'R', NULL, 2, 'user'))
+  AS t(mid, edit, initial, after, put)),
+ways AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS state, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS best
+  FROM conversations
+  UNION ALL
+  SELECT w.conv_id, r.pos, e.after, min({
+           'cost': w.best.cost + 2 * length(i.added) + CASE e.edit WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END
+                   + CASE WHEN e.edit <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END,
+           'audit': w.best.audit || i.added || e.edit,
+           'lines': list_concat(w.best.lines, i.lines, CASE e.edit WHEN 'D' THEN [] ELSE [coalesce(e.put, r.role) || ':' || r.text] END)})
+  FROM ways w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1
+  JOIN inserts i ON i.state = w.state
+  JOIN edits e ON e.mid = i.mid AND (e.initial IS NULL OR e.initial = r.initial) AND (e.edit = 'D' OR r.fault IN ('', 'truncated'))
+  GROUP BY w.conv_id, r.pos, e.after),
+facts AS (
+  SELECT c.conv_id, count(r.pos) AS n, coalesce(max(r.turn) - min(r.turn) + 1 - count(DISTINCT r.turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (r.fault = 'blank') AS blank, count(*) FILTER (r.fault = 'duplicate') AS duplicate,
+         count(*) FILTER (r.fault = 'truncated') AS truncated,
+         count(*) FILTER (r.pos > 1 AND r.before || r.initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+tails AS (SELECT * FROM (VALUES (0, '', []), (1, 'II', ['user:', 'assistant:']), (2, 'I', ['assistant:']), (3, '', [])) AS t(state, added, lines)),
+final AS (
+  SELECT f.conv_id, min({'cost': w.best.cost + 2 * length(t.added), 'audit': w.best.audit || t.added, 'lines': list_concat(w.best.lines, t.lines)}) AS best
+  FROM facts f JOIN ways w ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.pos = f.n JOIN tails t ON t.state = w.state GROUP BY f.conv_id)
+SELECT f.conv_id, gaps, blank, duplicate, truncated, illegal, best.cost AS cost, best.audit AS audit,
+       sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM facts f JOIN final l ON l.conv_id IS NOT DISTINCT FROM f.conv_id"""
+
 ORACLE_SQL = {
     "op3_source_mixing": SOURCE_MIXING,
     "op6_minhash_neardup": MINHASH_NEARDUP,
     "op7_chat_format": CHAT_FORMAT,
+    "op13_conversation_repair": CONVERSATION_REPAIR,
 }

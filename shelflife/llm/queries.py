@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflife.llm import ann, chat, html_crf, langid, lattice, merkle, mixing, neardup, packing, pii, simhash
+from shelflife.llm import ann, chat, html_crf, langid, lattice, merkle, mixing, neardup, packing, pii, repair, simhash, whiten
 from shelflife.llm.common import held_out, read_table
 from shelflife.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -84,6 +84,14 @@ def op11_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
@@ -96,4 +104,6 @@ QUERIES = {
     "op9_lattice_scoring": op9_lattice_scoring,
     "op10_pii": op10_pii,
     "op11_simhash_neardup": op11_simhash_neardup,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
