@@ -105,26 +105,52 @@ def matches(text: Column, detector: Detector | BatchDetector) -> Column:
     return F.when(_can_match(text, detector), found).otherwise(F.array().cast("array<string>"))
 
 
-def owned_matches(text: Column, detector: Detector, own_from: Column, own_to: Column) -> Column:
-    """The secrets of one detector whose match starts in a range of the text's code points.
+def _all_matches(text: Column, detector: Detector, skip: Column | None) -> Column:
+    """All matches of a detector in a text, null where it cannot match; those after the first ``skip`` code points."""
+    pattern = F.lit(detector.pattern) if skip is None else _after(detector, skip)
+    return F.when(_can_match(text, detector), F.regexp_extract_all(text, pattern, F.lit(0)))
 
-    The texts between the matches and the matches themselves give where each starts.
+
+def _after(detector: Detector, skip: Column) -> Column:
+    """A pattern whose first match is the first ``skip`` code points, so that the search goes on from behind them.
+
+    What the detector looks back at is still there.
     """
-    whole = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
-    secrets = whole if detector.group == 0 else F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(detector.group))
-    steps = F.arrays_zip(F.split(text, detector.pattern, -1).alias("gap"), whole.alias("whole"), secrets.alias("secret"))
+    skipping = F.concat(F.lit(r"\A(?s:.{"), skip.cast("string"), F.lit("})|(?:"), F.lit(detector.pattern), F.lit(")"))
+    return F.when(skip > 0, skipping).otherwise(F.lit(detector.pattern))
 
-    def step(state: Column, found: Column) -> Column:
-        start = state["at"] + F.length(found["gap"])
-        own = found["secret"].isNotNull() & (start >= own_from) & (start < own_to)
-        secrets = F.when(own, F.array_append(state["secrets"], found["secret"])).otherwise(state["secrets"])
-        after = start + F.coalesce(F.length(found["whole"]), F.lit(0))
-        return F.struct(after.alias("at"), secrets.alias("secrets"))
 
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("secrets"))
-    found = F.aggregate(steps, start, step, lambda state: state["secrets"])
-    return F.when(_can_match(text, detector), found).otherwise(none)
+def _owned(text: Column, detector: Detector, whole: Column, own_from: Column, own_to: Column, skip: Column | None) -> Column:
+    """What a search finds in a range of a text, given all its matches: secrets, entry and exit.
+
+    The secrets are those whose match starts in the range. ``entry`` is how far the search was beyond the range's
+    start when it came there, ``exit`` how far it was beyond its end when it left. The texts between the matches
+    give where each starts; the matches of a range are neighbours, so counting them is enough.
+    """
+    pattern = F.lit(detector.pattern) if skip is None else _after(detector, skip)
+    secrets = whole if detector.group == 0 else F.regexp_extract_all(text, pattern, F.lit(detector.group))
+    steps = F.zip_with(F.split(text, pattern, -1), whole, lambda gap, found: F.struct(F.length(gap).alias("gap"), F.length(found).alias("size")))
+    zero = F.lit(0)
+
+    def step(state: Column, found: Column) -> Column:
+        start = state["at"] + F.coalesce(found["gap"], zero)
+        end = start + found["size"]
+        early, inside = found["size"].isNotNull() & (start < own_from), found["size"].isNotNull() & (start < own_to)
+        return F.struct(
+            F.coalesce(end, start).alias("at"),
+            (state["early"] + early.cast("int")).alias("early"),
+            (state["inside"] + inside.cast("int")).alias("inside"),
+            F.when(early, end).otherwise(state["entry"]).alias("entry"),
+            F.when(inside, end).otherwise(state["exit"]).alias("exit"),
+        )
+
+    def result(state: Column) -> Column:
+        own = F.slice(secrets, state["early"] + 1, state["inside"] - state["early"])
+        entry, left = F.greatest(zero, state["entry"] - own_from), F.greatest(zero, state["exit"] - own_to)
+        return F.struct(own.alias("secrets"), entry.alias("entry"), left.alias("exit"))
+
+    start = F.struct(zero.alias("at"), zero.alias("early"), zero.alias("inside"), zero.alias("entry"), zero.alias("exit"))
+    return F.when(F.size(whole) > 0, F.aggregate(steps, start, step, result))
 
 
 def matches_any(text: Column, detector: Detector) -> Column:
@@ -168,21 +194,60 @@ def find_secrets(
     )
 
 
-def find_in_files(content: DataFrame, detectors: Sequence[Detector | BatchDetector]) -> DataFrame:
+FOUND_IN_PARTS = ["dir_name", "item", "part", "detector", "category", "position", "secret", "entry", "exit"]
+
+
+def find_in_files(content: DataFrame, detectors: Sequence[Detector | BatchDetector], first: int = 0) -> DataFrame:
     """The same for file content that comes in parts: the matches each part owns.
 
-    Rows (dir_name, item, part, detector, category, position, secret), the position within the part; a row
-    without a category holds as secret why a part could not be read.
+    Rows (dir_name, item, part, detector, category, position, secret, entry, exit), the position within the part and
+    the detector by its number from ``first`` on; a row without a category holds as secret why a part could not be
+    read. A row without a secret tells how a search entered and left its part, where it did not do so at the
+    part's ends.
     """
     text, own = F.col("text"), (F.col("own_from"), F.col("own_to"))
-    found = [matches(text, d) if isinstance(d, BatchDetector) else owned_matches(text, d, *own) for d in detectors]
-    found.append(F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.array().cast("array<string>")))
-    wide = content.select("dir_name", "item", "part", *[c.alias(f"_{i}") for i, c in enumerate(found)])
+    keys = ["dir_name", "item", "part"]
+    # The matches in a projection of their own: only where there are some, their places are looked for.
+    whole = [matches(text, d) if isinstance(d, BatchDetector) else _all_matches(text, d, None) for d in detectors]
+    searched = content.select(*keys, "text", "own_from", "own_to", "error", *(c.alias(f"_{i}") for i, c in enumerate(whole)))
+    alone = lambda secrets: F.struct(secrets.alias("secrets"), F.lit(0).alias("entry"), F.lit(0).alias("exit"))
+    found = [
+        F.when(F.size(f"_{i}") > 0, alone(F.col(f"_{i}"))) if isinstance(d, BatchDetector) else _owned(text, d, F.col(f"_{i}"), *own, None)
+        for i, d in enumerate(detectors)
+    ]
+    found.append(F.when(F.col("error").isNotNull(), alone(F.array("error"))))
+    wide = searched.select(*keys, *[c.alias(f"_{i}") for i, c in enumerate(found)])
     names = [*(F.lit(d.category) for d in detectors), F.lit(None).cast("string")]
-    long = [F.struct(F.lit(i).alias("detector"), name.alias("category"), F.col(f"_{i}").alias("secrets")) for i, name in enumerate(names)]
-    return wide.select("dir_name", "item", "part", F.inline(F.array(*long))).select(
-        "dir_name", "item", "part", "detector", "category", F.posexplode("secrets").alias("position", "secret")
+    long = [F.struct(F.lit(first + i).alias("detector"), name.alias("category"), F.col(f"_{i}").alias("found")) for i, name in enumerate(names)]
+    return _found_rows(wide.select(*keys, F.inline(F.array(*long))), keys)
+
+
+def _found_rows(per_detector: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per secret of ``found``, and one for an entry or exit away from the ends."""
+    found, none = F.col("found"), F.lit(None).cast("int")
+    row = lambda position, secret, entry, left: F.struct(
+        position.alias("position"), secret.alias("secret"), entry.alias("entry"), left.alias("exit")
+    )
+    secrets = F.transform(found["secrets"], lambda secret, k: row(k, secret, none, none))
+    moved = (found["entry"] > 0) | (found["exit"] > 0)
+    state = F.array(row(none, F.lit(None).cast("string"), found["entry"], found["exit"]))
+    rows = F.when(moved, F.concat(secrets, state)).otherwise(secrets)
+    return per_detector.where("found is not null").select(*keys, "detector", "category", F.inline(rows))
+
+
+def find_again(content: DataFrame, detectors: Sequence[Detector | BatchDetector]) -> DataFrame:
+    """The matches of one detector each, ``detector``, in ranges of files that its search enters ``skip`` code points late."""
+    keys = [c for c in content.columns if c not in ("text", "own_from", "own_to", "error", "detector", "skip")]
+    text, after = F.col("text"), F.col("own_from") + F.col("skip")
+    of_own = lambda made: F.coalesce(
+        *(F.when(F.col("detector") == i, made(d)) for i, d in enumerate(detectors) if isinstance(d, Detector))
     )
+    searched = content.withColumn("_whole", of_own(lambda d: _all_matches(text, d, after)))
+    found = of_own(lambda d: _owned(text, d, F.col("_whole"), after, F.col("own_to"), after))
+    failed = F.struct(F.array("error").alias("secrets"), F.lit(0).alias("entry"), F.lit(0).alias("exit"))
+    category = F.when(F.col("error").isNull(), F.get(F.array(*(F.lit(d.category) for d in detectors)), F.col("detector")))
+    named = searched.select(*keys, "detector", category.alias("category"), F.when(F.col("error").isNull(), found).otherwise(failed).alias("found"))
+    return _found_rows(named, keys)
 
 
 def number_positions(findings: DataFrame) -> DataFrame:

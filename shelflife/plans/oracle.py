@@ -216,6 +216,9 @@ WHERE o_orderdate IS NULL OR o_orderdate >= {ORDERS_CUTOFF}""",
     "tree_inventory": f"""WITH {TREE}
 SELECT dir_name, path, size_bytes, mtime, false AS is_dir, true AS stat_ok FROM files
 UNION ALL SELECT DISTINCT dir_name, folder, NULL::BIGINT, NULL::TIMESTAMP, true, true FROM files""",
+    "tree_source": f"""WITH {TREE}
+SELECT dir_name, path, size_bytes, mtime FROM files
+WHERE mtime < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 HOUR AND size_bytes BETWEEN 1000 AND 100000""",
     "tree_status": f"""WITH {TREE}
 SELECT dir_name, count(*) AS file_count, sum(size_bytes)::BIGINT AS total_size,
        (count(*) FILTER (WHERE expired))::BIGINT AS violations,
@@ -232,6 +235,11 @@ SELECT dir_name, files, bytes,
 FROM sums LEFT JOIN removed USING (dir_name)""",
     "tree_scan": f"""WITH {PLANTED}, {_findings(BUILTIN, 'lang, path')}
 SELECT lang AS dir_name, path, category, position, secret FROM findings""",
+    "tree_scan_touching": f"""WITH content AS (
+  SELECT lang, lang || '/' || source || '/' || doc_id || '.txt' AS path,
+         text || chr(10) || repeat(md5(doc_id::VARCHAR), 40) AS text FROM documents),
+lists AS (SELECT lang AS dir_name, path, regexp_extract_all(text, '[0-9a-f]{{40}}') AS secrets FROM content)
+SELECT dir_name, path, 'Runs' AS category, unnest(range(len(secrets)))::INTEGER AS position, unnest(secrets) AS secret FROM lists""",
     "prune_dirs": """WITH files AS (
   SELECT event_type AS root, event_type || '/' || user_id AS folder,
          event_type <> 'view' AND ts < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR AS gone

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -15,8 +17,9 @@ from shelflife.operators import detect, policy, prune, purge, retention, stats
 from shelflife.plans import scan, status
 from shelflife.plans.clean import clean_trees, plan_run
 from shelflife.session import mounted_path, shared_dir
+from shelflife.sources import inventory_source
 from shelflife.sources.tables import table_content, table_inventory, union_roots
-from shelflife.sources.tree import walk_inventory
+from shelflife.sources.tree import existing_roots, walk_inventory
 from shelflife.streaming.session_end import closed_sessions, run_on_session_end
 
 EVENTS_AT, EVENTS_HOURS = dt.datetime(2024, 1, 31), 168
@@ -158,6 +161,7 @@ def _below(roots: dict[str, str]) -> Column:
 # digits with enough different ones, which no pattern can tell.
 TOKEN_PATTERN = 'token = (?:"|&quot;)([0-9a-f]{40})'
 ASSIGNED_TOKEN = detect.Detector("Assigned tokens", TOKEN_PATTERN, ("token = ",), group=1)
+RUN_PATTERN = "[0-9a-f]{40}"
 VARIED = re.compile(r"\b[0-9a-f]{40}\b", re.ASCII)
 
 
@@ -377,6 +381,19 @@ def tree_inventory(spark, sf_dir):
     return found.select("dir_name", _below(roots).alias("path"), "size_bytes", time.alias("mtime"), "is_dir", "stat_ok")
 
 
+def tree_source(spark, sf_dir):
+    """The same trees through the data source, asked in SQL for files over a time and under a size."""
+    inventory_source.register(spark)
+    roots = document_tree(_table(spark, sf_dir, "documents"))
+    view = f"tree_{uuid.uuid4().hex}"
+    spark.read.format(inventory_source.NAME).option("roots", json.dumps(roots)).load().createTempView(view)
+    bound = EVENTS_AT - dt.timedelta(hours=TREE_HOURS)
+    found = spark.sql(
+        f"SELECT * FROM {view} WHERE NOT is_dir AND mtime < TIMESTAMP '{bound} UTC' AND size_bytes BETWEEN 1000 AND 100000"
+    )
+    return found.select("dir_name", _below(roots).alias("path"), "size_bytes", to_utc_wall_clock(F.col("mtime")).alias("mtime"))
+
+
 def tree_status(spark, sf_dir):
     roots = document_tree(_table(spark, sf_dir, "documents"))
     return status.tree_status(spark, roots, EVENTS_AT, TREE_HOURS).stats
@@ -409,6 +426,20 @@ def tree_scan_parts(spark, sf_dir):
     )
 
 
+def tree_scan_touching(spark, sf_dir):
+    """Files that end in a long run of digits, in which matches touch each other, read in parts shorter than the run."""
+    digits = F.repeat(F.md5(F.col("doc_id").cast("string")), 40)
+    documents = _table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit("\n"), digits))
+    roots = document_tree(documents)
+    inventory = walk_inventory(spark, roots, shared_dir(spark, "walk"))
+    found = scan.scan_files(
+        inventory, existing_roots(spark, roots), shared_dir(spark, "scan"), detect.from_patterns({"Runs": RUN_PATTERN}, span=100), (), 1000
+    )
+    return found.findings.withColumnRenamed("item", "path").select(
+        "dir_name", _below(roots).alias("path"), "category", "position", "secret"
+    )
+
+
 # Reports.
 
 
@@ -555,10 +586,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_purge_layouts": table_purge_layouts,
     "prune_dirs": prune_dirs,
     "tree_inventory": tree_inventory,
+    "tree_source": tree_source,
     "tree_status": tree_status,
     "tree_clean": tree_clean,
     "tree_scan": tree_scan,
     "tree_scan_parts": tree_scan_parts,
+    "tree_scan_touching": tree_scan_touching,
     "format_size": format_sizes,
     "dir_stats": dir_stats,
     "dir_stats_orders": dir_stats_orders,

@@ -17,12 +17,12 @@ CONTENT_SCHEMA = "dir_name string, item string, part bigint, text string, own_fr
 COLUMNS = [field.split()[0] for field in CONTENT_SCHEMA.split(", ")]
 
 
-def _read_window(path, part: int, split_bytes: int, span_bytes: int) -> tuple[str, int, int]:
-    """The text of one part with its surroundings, and where in it (code points) the part lies.
+def _read_window(path, part: int, split_bytes: int, span_bytes: int, parts: int = 1) -> tuple[str, int, int]:
+    """The text of some parts with its surroundings, and where in it (code points) the parts lie.
 
     Cuts move forward to the next first byte of a character, in the same way for both parts they lie between.
     """
-    start, stop = part * split_bytes, (part + 1) * split_bytes
+    start, stop = part * split_bytes, (part + parts) * split_bytes
     low = max(0, start - span_bytes)
     with open(path, "rb") as stream:
         stream.seek(low)
@@ -41,10 +41,12 @@ def _read_window(path, part: int, split_bytes: int, span_bytes: int) -> tuple[st
     return "".join(texts), len(texts[0]), end
 
 
-def _read_parts(split_bytes: int | None, span_bytes: int, batch_bytes: int):
-    def read(path, part):
+def _read_parts(split_bytes: int | None, span_bytes: int, batch_bytes: int, carry: tuple[str, ...] = ()):
+    """Texts of the given parts; of ``parts`` parts from each on where that is named in ``carry``."""
+
+    def read(path, part, parts):
         if split_bytes is not None:
-            return _read_window(path, part, split_bytes, span_bytes)
+            return _read_window(path, part, split_bytes, span_bytes, parts)
         with open(path, "rb") as stream:
             text = stream.read().decode("utf-8", "replace")
         return text, 0, len(text) + 1
@@ -52,23 +54,24 @@ def _read_parts(split_bytes: int | None, span_bytes: int, batch_bytes: int):
     def run(batches):
         import pandas as pd
 
-        rows, held = [], 0
+        rows, held, columns = [], 0, [*COLUMNS, *carry]
         for pdf in batches:
-            for dir_name, item, raw, part in zip(pdf["dir_name"], pdf["item"], pdf["raw"], pdf["part"]):
+            parts = pdf["parts"] if "parts" in carry else [1] * len(pdf)
+            for dir_name, item, raw, part, count, *kept in zip(pdf["dir_name"], pdf["item"], pdf["raw"], pdf["part"], parts, *(pdf[c] for c in carry)):
                 try:
-                    text, own_from, own_to = read(item if raw is None else raw, int(part))
+                    text, own_from, own_to = read(item if raw is None else raw, int(part), int(count))
                 except (OSError, MemoryError) as problem:
-                    rows.append((dir_name, item, int(part), None, 0, 0, type(problem).__name__))
+                    rows.append((dir_name, item, int(part), None, 0, 0, type(problem).__name__, *kept))
                     continue
                 if len(text) >= 2**31 - 64:
-                    rows.append((dir_name, item, int(part), None, 0, 0, "too large for one text"))
+                    rows.append((dir_name, item, int(part), None, 0, 0, "too large for one text", *kept))
                     continue
-                rows.append((dir_name, item, int(part), text, own_from, own_to, None))
+                rows.append((dir_name, item, int(part), text, own_from, own_to, None, *kept))
                 held += len(text)
                 if held >= batch_bytes:
-                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
-        yield pd.DataFrame(rows, columns=COLUMNS)
+        yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -79,7 +82,8 @@ def file_content(inventory: DataFrame, split_bytes: int | None = SPLIT_BYTES, sp
     A file is read in parts of ``split_bytes`` by several tasks. A part's text also holds the ``span_bytes``
     before and after it, and ``own_from`` and ``own_to`` say which code points are the part's own: a match
     belongs to the part it starts in, and what it needs to be recognised is in the text of that part, wherever
-    the cuts fall and whether the file has line breaks or not. ``split_bytes=None`` gives one text per file.
+    the cuts fall and whether the file has line breaks or not. Where a search stands when it reaches the part is for
+    the search to settle. ``split_bytes=None`` gives one text per file.
     A file that cannot be read has a row with ``error`` and no text. Only paths are shuffled, into tasks of
     about ``TASK_BYTES`` of text each.
     """
@@ -100,3 +104,15 @@ def file_content(inventory: DataFrame, split_bytes: int | None = SPLIT_BYTES, sp
         F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"),
     )
     return ranges.repartition(tasks).mapInPandas(_read_parts(split_bytes, span_bytes, BATCH_BYTES), CONTENT_SCHEMA)
+
+
+def ranges_content(ranges: DataFrame, split_bytes: int, span_bytes: int) -> DataFrame:
+    """Text of ranges (dir_name, item, raw, part, parts): ``parts`` parts of a file from ``part`` on, as one text.
+
+    The columns are those of :func:`file_content` and all further ones of ``ranges``.
+    """
+    extra = [f for f in ranges.schema if f.name not in ("dir_name", "item", "raw", "part")]
+    schema = ", ".join([CONTENT_SCHEMA, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = _read_parts(split_bytes, max(span_bytes, 8), BATCH_BYTES, tuple(f.name for f in extra))
+    return ranges.repartition(tasks).mapInPandas(read, schema)

@@ -1,0 +1,67 @@
+"""A scan of file parts finds what a scan of the whole files finds."""
+
+from __future__ import annotations
+
+import os
+import random
+
+import pytest
+
+from shelflife.operators import detect
+from shelflife.plans.scan import scan_files
+from shelflife.sources.tree import existing_roots, roots_below, walk_inventory
+from trees import put
+
+DETECTORS = [
+    *detect.from_patterns({"Forty": "[0-9a-f]{40}", "Word": r"\b[a-z]{3,12}\b", "Pair": "aa|aba"}, span=100),
+    *detect.from_patterns({"Named": "(?i)k[0-9]+=([^;\n]{1,20});"}, group=1, span=100),
+    *detect.from_patterns({"Line": "(?m)^id [0-9]+$", "Glued": "(?<![0-9])[0-9]{7}(?![0-9])"}, span=100),
+    detect.Detector("Start", r"\A[0-9a-f]{8}", span=100),
+    detect.Detector("End", r"[0-9a-f]{8}\z", span=100),
+    detect.Detector("Gated", "sk-[a-z]{5}", ("sk-",), span=100),
+]
+
+
+def texts():
+    rng = random.Random(9)
+    digits = "".join(rng.choice("0123456789abcdef") for _ in range(20_000))
+    return {
+        "digits": digits,
+        "broken": "".join(digits[k * 300 : k * 300 + rng.randint(1, 300)] + rng.choice("\n é") for k in range(60)),
+        "ab": "".join(rng.choice("ab") for _ in range(9000)),
+        "wide": "😀é" * 3000 + digits[:999] + "K1=😀x;" * 400,
+        "lines": "".join(f"id {k}\nk{k}=v{k % 7};sk-abcde " for k in range(900)),
+        "short": "deadbeef",
+    }
+
+
+def found(spark, inventory, base, run_dir, split):
+    scan = scan_files(inventory, existing_roots(spark, roots_below(str(base))), str(run_dir), DETECTORS, (), split)
+    assert scan.unread.collect() == []
+    return sorted((os.path.basename(r["item"]), r["category"], r["position"], r["secret"]) for r in scan.findings.collect())
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    top = tmp_path_factory.mktemp("planted")
+    base = top / "logs"
+    for name, text in texts().items():
+        put(base / "debug" / name, text)
+    inventory = walk_inventory(spark, roots_below(str(base)), str(top / "walk"))
+    return base, inventory, found(spark, inventory, base, top / "whole", None)
+
+
+@pytest.mark.parametrize("split", [64, 1000, 1 << 24])
+def test_parts_find_what_the_whole_holds(spark, tmp_path, planted, split):
+    base, inventory, whole = planted
+    assert len(whole) > 5000
+    assert found(spark, inventory, base, tmp_path / "parts", split) == whole
+    # Each of some 300 parts of twenty thousand digits depends on the one before.
+    assert len(os.listdir(tmp_path / "parts" / "settle")) <= 6
+
+
+def test_files_without_touching_matches_are_read_once(spark, base, tmp_path):
+    put(base / "debug" / "lines", texts()["lines"])
+    inventory = walk_inventory(spark, roots_below(str(base)), str(tmp_path / "walk"))
+    scan_files(inventory, existing_roots(spark, roots_below(str(base))), str(tmp_path / "run"), DETECTORS[-1:], (), 1000)
+    assert os.listdir(tmp_path / "run" / "settle") == ["0"] and os.listdir(tmp_path / "run" / "settle" / "0") == ["ranges"]
