@@ -117,7 +117,40 @@ closed AS (
   SELECT * FROM sessions
   WHERE session_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events))"""
 
+# The same with sessions that a purchase ends; of events of one time the end is the last.
+ENDED_SESSIONS = """marked AS (
+  SELECT user_id, ts, event_type = 'purchase' AS ended,
+         CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR AND NOT lag(event_type = 'purchase') OVER w THEN 0 ELSE 1 END AS fresh
+  FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type = 'purchase')),
+numbered AS (
+  SELECT user_id, ts, ended, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, ended ROWS UNBOUNDED PRECEDING) AS n FROM marked),
+sessions AS (
+  SELECT user_id, min(ts) AS session_start, max(ts) + CASE WHEN bool_or(ended) THEN INTERVAL 0 HOUR ELSE INTERVAL 6 HOUR END AS session_end,
+         count(*) AS events, CASE WHEN bool_or(ended) THEN 'event' ELSE 'gap' END AS closed_by
+  FROM numbered GROUP BY user_id, n)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "expired_by_folder": f"""WITH {EVENTS_INVENTORY},
+known AS (
+  SELECT inv.*, split_part(path, '/', 2)::BIGINT AS user_id FROM inv),
+windows AS (
+  SELECT *, CASE WHEN user_id % 4 = 0 AND user_id % 3 <> 0 THEN ((user_id % 28 + 1) * 24)::INTEGER
+                 WHEN dir_name = 'click' THEN 100 WHEN dir_name = 'error' THEN 600 ELSE 24 END AS retention_hours
+  FROM known)
+SELECT dir_name, retention_hours, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM windows
+WHERE mtime < TIMESTAMP '2024-01-31 00:00:00' - to_hours(retention_hours) GROUP BY dir_name, retention_hours""",
+    "expired_by_dated_policy": """WITH files AS (
+  SELECT o_custkey::VARCHAR AS dir_name, o_orderpriority || '/' || o_custkey || '/' || o_orderkey AS path, o_orderdate AS mtime FROM orders),
+versions AS (
+  SELECT o_custkey::VARCHAR AS dir_name, o_orderdate AS valid_from, max(floor(o_totalprice / 10)::INTEGER) AS hours
+  FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0 GROUP BY ALL),
+known AS (
+  SELECT f.*, coalesce(v.hours, 24) AS retention_hours
+  FROM files f ASOF LEFT JOIN versions v ON f.dir_name = v.dir_name AND f.mtime >= v.valid_from)
+SELECT * FROM known WHERE mtime < TIMESTAMP '2001-08-02 00:00:00' - to_hours(retention_hours)""",
+    "session_end_events": f"""WITH {ENDED_SESSIONS}
+SELECT * FROM sessions
+WHERE closed_by = 'event' OR session_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
     "inventory": f"WITH {EVENTS_INVENTORY} SELECT * FROM inv",
     "multi_root_union": f"""WITH {CONTENT}
 SELECT dir_name, count(*) AS items, sum(strlen(text))::BIGINT AS bytes FROM content GROUP BY dir_name""",

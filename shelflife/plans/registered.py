@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from shelflife.functions.formats import format_size
 from shelflife.functions.messages import session_message
 from shelflife.functions.times import as_of_literal, to_utc_wall_clock
-from shelflife.operators import detect, policy, prune, purge, retention, stats
+from shelflife.operators import detect, policy, prune, purge, retention, scoped, stats
 from shelflife.plans import scan, status
 from shelflife.plans.clean import clean_trees, plan_run
 from shelflife.session import mounted_path, shared_dir
 from shelflife.sources import inventory_source
 from shelflife.sources.tables import table_content, table_inventory, union_roots
 from shelflife.sources.tree import existing_roots, walk_inventory
+from shelflife.streaming.explicit_end import sessions_until_end
 from shelflife.streaming.session_end import closed_sessions, run_on_session_end
 
 EVENTS_AT, EVENTS_HOURS = dt.datetime(2024, 1, 31), 168
@@ -230,6 +231,33 @@ def expired_by_policy(spark, sf_dir):
     )
 
 
+def folder_scopes(spark, sf_dir):
+    """Windows of two roots and of every fourth user's folders; of some of these it is not set."""
+    events = _table(spark, sf_dir, "events")
+    root, user = F.col("event_type"), F.col("user_id")
+    roots = events.select(root.alias("scope")).distinct().select("scope", F.when(F.col("scope") == "click", 100).otherwise(600).alias("retention_hours"))
+    folders = events.where(user % 4 == 0).select(F.concat(root, F.lit("/"), user.cast("string"), F.lit("/")).alias("scope"), user.alias("user_id")).distinct()
+    hours = F.when(F.col("user_id") % 3 != 0, (F.col("user_id") % 28 + 1).cast("int") * 24)
+    return roots.where(F.col("scope").isin("click", "error")).union(folders.select("scope", hours))
+
+
+def expired_by_folder(spark, sf_dir):
+    gone = scoped.expired_by_folder(events_inventory(spark, sf_dir), folder_scopes(spark, sf_dir), EVENTS_AT)
+    return gone.groupBy("dir_name", "retention_hours").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+
+
+def expired_by_dated_policy(spark, sf_dir):
+    """Every seventh order sets its customer's window from its date on; some of them say nothing."""
+    key = F.col("o_orderkey")
+    versions = _table(spark, sf_dir, "orders").where(key % 7 == 0).select(
+        F.col("o_custkey").cast("string").alias("dir_name"),
+        F.col("o_orderdate").alias("valid_from"),
+        F.when(key % 3 != 0, F.floor(F.col("o_totalprice") / 10).cast("int")).alias("retention_hours"),
+    )
+    gone = scoped.expired_by_dated_policy(by_customer(spark, sf_dir), versions, ORDERS_AT)
+    return gone.select("dir_name", "path", "mtime", "retention_hours")
+
+
 def effective_retention(spark, sf_dir):
     override = (
         F.when(F.col("c_mktsegment") == "MACHINERY", 0)
@@ -504,20 +532,24 @@ def scan_items(spark, sf_dir):
 
 
 def _session_stream(
-    spark: SparkSession, sf_dir: str, retention_pass: Callable | None = None, files: str | None = None
+    spark: SparkSession,
+    sf_dir: str,
+    retention_pass: Callable | None = None,
+    files: str | None = None,
+    out_dir: str | None = None,
+    sessions_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> str:
     """Play the events as a stream to its end; each batch with closed sessions runs the pass.
 
-    ``files`` is a pattern of files to be played one after the other, a batch each.
+    ``files`` is a pattern of files to be played instead of the table's; a stream with the ``out_dir`` of another goes
+    on where that one ended.
     """
-    out_dir = shared_dir(spark, "session-end")
+    out_dir = out_dir or shared_dir(spark, "session-end")
     reader = spark.readStream.schema(_table(spark, sf_dir, "events").schema)
-    if files:
-        activity = reader.option("maxFilesPerTrigger", 1).parquet(files)
-    else:
-        # A pattern, so that the table may be one file or a folder of files.
-        activity = reader.parquet(f"{sf_dir}/events.parque[t]")
-    sessions = closed_sessions(activity, "user_id", "ts", SESSION_GAP, WATERMARK_DELAY)
+    # A pattern, so that the table may be one file or a folder of files.
+    activity = reader.parquet(files or f"{sf_dir}/events.parque[t]")
+    by_gap = lambda events: closed_sessions(events, "user_id", "ts", SESSION_GAP, WATERMARK_DELAY)
+    sessions = (sessions_of or by_gap)(activity)
 
     def planned(as_of: dt.datetime, run_dir: str) -> DataFrame:
         return plan_run(events_inventory(spark, sf_dir), as_of, EVENTS_HOURS).total
@@ -527,6 +559,17 @@ def _session_stream(
     return out_dir
 
 
+def _session_parts(spark: SparkSession, sf_dir: str, sessions_of: Callable[[DataFrame], DataFrame] | None = None) -> str:
+    """The same in three parts by time, each written by as many tasks as it has, and played when it is there."""
+    folder, events = shared_dir(spark, "events"), _table(spark, sf_dir, "events")
+    days = [F.to_timestamp_ntz(F.lit(day)) for day in BATCH_DAYS]
+    at, out_dir = F.col("ts"), None
+    for k, part in enumerate([at < days[0], (at >= days[0]) & (at < days[1]), at >= days[1]]):
+        events.where(part).write.parquet(f"{folder}/{k}")
+        out_dir = _session_stream(spark, sf_dir, files=f"{folder}/*/*.parquet", out_dir=out_dir, sessions_of=sessions_of)
+    return out_dir
+
+
 def session_end_trigger(spark, sf_dir):
     out = spark.read.parquet(f"{_session_stream(spark, sf_dir)}/sessions").drop("batch_id")
     return out.withColumns({n: to_utc_wall_clock(F.col(n)) for n in ("session_start", "session_end")})
@@ -538,16 +581,19 @@ def session_end_run(spark, sf_dir):
 
 
 def session_end_batches(spark, sf_dir):
-    """The events in three files by time, a batch each: one run for each batch that closes sessions."""
-    folder, events = shared_dir(spark, "events"), _table(spark, sf_dir, "events")
-    days = [F.to_timestamp_ntz(F.lit(day)) for day in BATCH_DAYS]
-    at = F.col("ts")
-    for k, part in enumerate([at < days[0], (at >= days[0]) & (at < days[1]), at >= days[1]]):
-        events.where(part).coalesce(1).write.parquet(f"{folder}/{k}")
-    runs = spark.read.parquet(f"{_session_stream(spark, sf_dir, files=f'{folder}/*/*.parquet')}/runs")
+    """The events in three parts by time: one run for each part that closes sessions."""
+    runs = spark.read.parquet(f"{_session_parts(spark, sf_dir)}/runs")
     return runs.drop("batch_id").withColumn("as_of", to_utc_wall_clock(F.col("as_of")))
 
 
+def session_end_events(spark, sf_dir):
+    """Sessions that a purchase ends, or else the gap, over three parts by time."""
+    is_end = F.col("event_type") == "purchase"
+    ended = lambda events: sessions_until_end(events, "user_id", "ts", is_end, SESSION_GAP, WATERMARK_DELAY)
+    out = spark.read.parquet(f"{_session_parts(spark, sf_dir, ended)}/sessions").drop("batch_id")
+    return out.withColumns({n: to_utc_wall_clock(F.col(n)) for n in ("session_start", "session_end")})
+
+
 def session_end_clean(spark, sf_dir):
     """The pass deletes: the run's files and bytes, and how many files the trees still hold."""
     roots = document_tree(_table(spark, sf_dir, "documents"))
@@ -570,6 +616,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unreadable_entries": unreadable_entries,
     "expired_files": expired_files,
     "expired_by_policy": expired_by_policy,
+    "expired_by_folder": expired_by_folder,
+    "expired_by_dated_policy": expired_by_dated_policy,
     "effective_retention": effective_retention,
     "effective_dry_run": effective_dry_run,
     "policy_overlay": policy_overlay,
@@ -607,5 +655,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_end_trigger": session_end_trigger,
     "session_end_run": session_end_run,
     "session_end_batches": session_end_batches,
+    "session_end_events": session_end_events,
     "session_end_clean": session_end_clean,
 }
