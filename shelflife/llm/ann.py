@@ -6,7 +6,8 @@ vector is in the index. What the probed cells hold is ranked by exact cosine in
 
 A cell meets its queries in blocks: cells of more than ``CELL_ROWS`` vectors are dealt out to several groups,
 and so are cells of more than ``CELL_QUERIES`` queries, so no group grows with a hot cell. A group returns at
-most ``k`` neighbours for each of its queries.
+most ``k`` neighbours for each of its queries. Queries that found fewer than there are to find look into all cells
+of one table.
 
 Cosine is (q*d).sum() / (|q| |d|), each sum over one pair of rows alone, so equal vectors have equal scores
 wherever they lie; ties go to the smaller id.
@@ -24,8 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelflife.llm.common import written
+
 TABLES = 8
 PROBES = 16
+#: More cells than a table has.
+EVERY = 1 << 30
 SEED = 8
 CELL_ROWS = 16_384
 CELL_QUERIES = 2_048
@@ -114,15 +119,8 @@ def _split(number: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(number), "vec_id"), F.lit(1 << 30))
 
 
-def search(
-    vectors: DataFrame, is_query: Column, vec_id="vec_id", embedding="embedding", k=5, tables=TABLES, probes=PROBES, seed=SEED
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found to every row for which ``is_query`` holds."""
-    spark = vectors.sparkSession
-    rows = usable(vectors, vec_id, embedding)
-    asked = usable(vectors.where(is_query), vec_id, embedding)
-    stored, probed = cells(rows, 1, tables, seed), cells(asked, probes, tables, seed)
-
+def _within_cells(stored: DataFrame, probed: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the ``k`` nearest of each part of each probed cell."""
     # How many parts each cell and its queries are dealt to: one row for each cell in use, whatever the input.
     key = ["dim", "table", "cell"]
     sizes = stored.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -132,7 +130,7 @@ def search(
         for r in sizes
         if (cell := (r["dim"], r["table"], r["cell"])) in asks
     ]
-    parts = F.broadcast(spark.createDataFrame(plan, "dim int, table int, cell int, row_parts int, query_parts int"))
+    parts = F.broadcast(stored.sparkSession.createDataFrame(plan, "dim int, table int, cell int, row_parts int, query_parts int"))
     one_of = lambda column, salt: F.pmod(_split(salt), F.col(column)).cast("int")
     each_of = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
     left = stored.join(parts, key).select("vec_id", "v", *key, one_of("row_parts", 1).alias("row_part"), each_of("query_parts").alias("query_part"))
@@ -148,8 +146,26 @@ def search(
         return pa.table({"query_id": pa.array(columns[0], ids), "vec_id": pa.array(columns[1], ids), "score": pa.array(columns[2], pa.float64())})
 
     group = [*key, "row_part", "query_part"]
-    id_type = dict(rows.dtypes)["vec_id"]
-    found = left.groupBy(group).cogroup(right.groupBy(group)).applyInArrow(compare, f"query_id {id_type}, vec_id {id_type}, score double")
+    id_type = dict(stored.dtypes)["vec_id"]
+    return left.groupBy(group).cogroup(right.groupBy(group)).applyInArrow(compare, f"query_id {id_type}, vec_id {id_type}, score double")
+
+
+def search(
+    vectors: DataFrame, is_query: Column, vec_id="vec_id", embedding="embedding", k=5, tables=TABLES, probes=PROBES, seed=SEED
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found to every row for which ``is_query`` holds."""
+    rows = usable(vectors, vec_id, embedding)
+    asked = usable(vectors.where(is_query), vec_id, embedding)
+    found = written(_within_cells(cells(rows, 1, tables, seed), cells(asked, probes, tables, seed), k), "nearest")
+
+    # A query has as many to find as there are other ids with its dimension.
+    there = rows.groupBy(F.size("v").alias("dim")).agg((F.count_distinct("vec_id") - 1).alias("others"))
+    counts = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count_distinct("vec_id").alias("n"))
+    lacking = F.coalesce("n", F.lit(0)) < F.least(F.col("others"), F.lit(k))
+    short = asked.withColumn("dim", F.size("v")).join(there, "dim").join(counts, "vec_id", "left").where(lacking)
+    short = written(short.select("vec_id", "v"), "short")
+    if not short.isEmpty():
+        found = found.union(_within_cells(cells(rows, 1, 1, seed), cells(short, EVERY, 1, seed), k))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.groupBy("query_id", "vec_id")

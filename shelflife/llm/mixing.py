@@ -1,14 +1,19 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Targets: the total is shared over the sources by weight; a source never gets more than ``cap`` times its own
-words, and what is cut off is shared again by weight until no source is above its cap. The total is cut into
-blocks of equal size, which go one by one to the source with the highest quotient target / (2 * blocks + 1),
-then in the same way from a source to its shards. A shard lays its documents one after the other in a seeded
-order and takes its blocks from the front, going round again when it reaches the end.
+words, and what is cut off is shared again by weight until no source is above its cap. The words of the total are
+blocks of equal size, which go one by one to the source with the highest quotient target / (2 * blocks + 1), then in
+the same way from a source to its shards; one that has ``cap`` times its words gets no more. A shard lays its
+documents one after the other in a seeded order and takes its blocks from the front, going round again when it
+reaches the end.
 
-Rows with the same id are documents of their own. A document without words takes none. The order within a
-shard is (md5 of seed and id, id, size), so equal rows may swap places without changing the result. Sources
-are ordered by code point, null last. An empty table gives an empty result.
+A block is one word, so a source misses its target by about a word, however small it is. What a divisor somewhat too
+large gives is dealt at once and only the last few blocks by quotient, so their number costs nothing.
+
+Rows with the same id are documents of their own. A document without words takes none. Shard and order come from the
+md5 of seed, id and text, so rows without an id, or with one id, are dealt to all shards of their source; of rows equal
+in both, which have equal sizes, any may come first unless columns to keep tell them apart. Sources are ordered by
+code point, null last. An empty table gives an empty result.
 
 The driver holds one row per source. The sums of a source's shards, one number per ``SHARD_DOCS`` documents,
 meet in one task.
@@ -29,10 +34,6 @@ CAP = 3
 SEED = "mix-1"
 #: Documents a shard holds on average: the rows one task sorts.
 SHARD_DOCS = 1 << 13
-#: A block is the total over this many blocks per source, between one word and MAX_BLOCK words. Blocks are small so
-#: that small sources come near their targets too; how many there are costs nothing.
-BLOCKS_PER_SOURCE = 1000
-MAX_BLOCK = 16
 
 
 def targets(sizes: Sequence[int], weights: Sequence[int], cap: int = CAP) -> list[float]:
@@ -48,30 +49,28 @@ def targets(sizes: Sequence[int], weights: Sequence[int], cap: int = CAP) -> lis
     return out
 
 
-def sainte_lague(votes: Sequence[float], seats: int) -> list[int]:
-    """Seats by highest quotients votes / (2 * seats + 1); ties go to the earlier entry."""
-    total = sum(votes)
+def sainte_lague(votes: Sequence[float], seats: int, limits: Sequence[int] | None = None) -> list[int]:
+    """Seats by highest quotients votes / (2 * seats + 1), none above its limit; ties go to the earlier entry."""
+    total, limits = sum(votes), limits or [seats] * len(votes)
     if not total or not seats:
         return [0] * len(votes)
     # Every entry surely gets what a divisor somewhat too large gives it; the rest is dealt by quotient.
     divisor = total / max(1, seats - len(votes))
-    got = [max(0, int(v / divisor - 0.5)) for v in votes]
-    while sum(got) > seats:
-        divisor *= 1.01
-        got = [max(0, int(v / divisor - 0.5)) for v in votes]
-    queue = [(-v / (2 * n + 1), i) for i, (v, n) in enumerate(zip(votes, got)) if v > 0]
+    got = [min(limit, max(0, int(v / divisor - 0.5))) for v, limit in zip(votes, limits)]
+    queue = [(-v / (2 * n + 1), i) for i, (v, n, limit) in enumerate(zip(votes, got, limits)) if v > 0 and n < limit]
     heapq.heapify(queue)
     for _ in range(seats - sum(got)):
+        if not queue:
+            break
         _, i = queue[0]
         got[i] += 1
-        heapq.heapreplace(queue, (-votes[i] / (2 * got[i] + 1), i))
+        if got[i] < limits[i]:
+            heapq.heapreplace(queue, (-votes[i] / (2 * got[i] + 1), i))
+        else:
+            heapq.heappop(queue)
     return got
 
 
-def block_words(total: int, n_sources: int) -> int:
-    return max(1, min(MAX_BLOCK, total // (BLOCKS_PER_SOURCE * max(1, n_sources))))
-
-
 def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, cap=CAP, seed=SEED, shard_docs=SHARD_DOCS, keep=()) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, passes, words_from, words_to, taken.
 
@@ -79,7 +78,8 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     ``words_to``; ``taken`` are the words this makes. ``keep`` names further columns to return.
     """
     spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    own = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), own))
     sized = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key"), *keep
     )
@@ -89,8 +89,7 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     per_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["words"] for r in per_source]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], cap)
-    total, block = sum(sizes), block_words(sum(sizes), len(sizes))
-    blocks = sainte_lague(goals, round(total / block))
+    blocks = sainte_lague(goals, sum(sizes), [cap * n for n in sizes])
     plan = [
         (i, r["source"], r["words"], goals[i], -(-r["docs"] // shard_docs), blocks[i]) for i, r in enumerate(per_source)
     ]
@@ -103,14 +102,14 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
 
     def quotas(shards: pd.DataFrame) -> pd.DataFrame:
         shards = shards.sort_values("shard")
-        seats = sainte_lague([float(w) for w in shards["shard_words"]], int(shards["blocks"].iloc[0]))
-        quota = [min(n * block, cap * int(w)) for n, w in zip(seats, shards["shard_words"])]
+        words = [int(w) for w in shards["shard_words"]]
+        quota = sainte_lague([float(w) for w in words], int(shards["blocks"].iloc[0]), [cap * w for w in words])
         return shards[["source_no", "shard", "shard_words"]].assign(quota=quota)
 
     per_shard = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_words"), F.max("blocks").alias("blocks"))
     shards = per_shard.groupBy("source_no").applyInPandas(quotas, "source_no int, shard long, shard_words long, quota long")
 
-    in_order = Window.partitionBy("source_no", "shard").orderBy("key", "doc_id", "size")
+    in_order = Window.partitionBy("source_no", "shard").orderBy("key", "doc_id", "size", *([F.xxhash64(*keep)] if keep else []))
     at = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     passes = F.when(F.col("shard_words") > 0, F.expr("quota div shard_words")).otherwise(F.lit(0).cast("long"))
     rest = F.col("quota") - F.col("passes") * F.col("shard_words")

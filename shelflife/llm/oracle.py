@@ -7,7 +7,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 SOURCE_MIXING = f"""WITH sized AS (
   SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no
@@ -25,27 +25,35 @@ capped AS (SELECT *, place < (SELECT coalesce(min(place), 1 << 60) FROM tested W
 goals AS (
   SELECT *, CASE WHEN at_cap THEN (3 * source_size)::DOUBLE
                  ELSE ((total - coalesce(sum(3 * source_size) FILTER (WHERE at_cap) OVER (), 0)) * weight)::BIGINT::DOUBLE
-                      / (sum(weight) FILTER (WHERE NOT at_cap) OVER ())::DOUBLE END AS target,
-         greatest(1, least(16, total // (1000 * count(*) OVER ())))::BIGINT AS block
+                      / (sum(weight) FILTER (WHERE NOT at_cap) OVER ())::DOUBLE END AS target
   FROM capped),
+started AS (
+  SELECT *, least(3 * source_size, greatest(0, trunc(target / (sum(target) OVER () / greatest(1, total - count(*) OVER ())) - 0.5)))::BIGINT AS got
+  FROM goals WHERE target > 0),
+rest AS (SELECT *, (total - sum(got) OVER ())::BIGINT AS left_over FROM started),
 seats AS (
-  SELECT no, count(*) AS seats FROM (
-    SELECT no, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, no) AS turn, round_even(total / block, 0) AS blocks
-    FROM goals, unnest(range(0, round_even(total / block, 0)::BIGINT)) AS t(k) WHERE target > 0)
-  WHERE turn <= blocks GROUP BY no),
+  SELECT no, any_value(got) + count(*) FILTER (WHERE turn <= left_over) AS seats FROM (
+    SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, no) AS turn
+    FROM rest, unnest(range(got, least(3 * source_size, got + left_over) + 1)) AS t(k) WHERE k < 3 * source_size)
+  GROUP BY no
+  UNION ALL SELECT no, got FROM rest WHERE got = 3 * source_size),
 dealt AS (
-  SELECT s.*, g.no, g.source_size, g.target, g.block, coalesce(n.seats, 0) AS seats,
+  SELECT s.*, g.no, g.source_size, g.target, coalesce(n.seats, 0) AS seats,
          ('0x' || substr(key, 1, 8))::BIGINT % ((g.docs + 8191) // 8192) AS shard
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN seats n ON n.no = g.no),
-shards AS (SELECT no, shard, sum(size)::BIGINT AS words, any_value(seats) AS seats, any_value(block) AS block FROM dealt GROUP BY no, shard),
+shards AS (SELECT no, shard, sum(size)::BIGINT AS words, any_value(seats) AS seats FROM dealt GROUP BY no, shard),
+shard_started AS (
+  SELECT *, least(3 * words, greatest(0, trunc(words::DOUBLE
+            / (sum(words) OVER (PARTITION BY no) / greatest(1, seats - count(*) OVER (PARTITION BY no))) - 0.5)))::BIGINT AS got
+  FROM shards WHERE seats > 0 AND words > 0),
+shard_rest AS (SELECT *, (seats - sum(got) OVER (PARTITION BY no))::BIGINT AS left_over FROM shard_started),
 shard_seats AS (
-  SELECT no, shard, count(*) AS own FROM (
-    SELECT no, shard, seats, row_number() OVER (PARTITION BY no ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard) AS turn
-    FROM shards, unnest(range(0, seats)) AS t(k) WHERE words > 0)
-  WHERE turn <= seats GROUP BY no, shard),
-quotas AS (
-  SELECT no, shard, words, least(coalesce(own, 0) * block, 3 * words) AS quota
-  FROM shards LEFT JOIN shard_seats USING (no, shard)),
+  SELECT no, shard, any_value(got) + count(*) FILTER (WHERE turn <= left_over) AS own FROM (
+    SELECT *, row_number() OVER (PARTITION BY no ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard) AS turn
+    FROM shard_rest, unnest(range(got, least(3 * words, got + left_over) + 1)) AS t(k) WHERE k < 3 * words)
+  GROUP BY no, shard
+  UNION ALL SELECT no, shard, got FROM shard_rest WHERE got = 3 * words),
+quotas AS (SELECT no, shard, words, coalesce(own, 0) AS quota FROM shards LEFT JOIN shard_seats USING (no, shard)),
 placed AS (
   SELECT d.*, words, quota, CASE WHEN words > 0 THEN quota // words ELSE 0 END AS passes,
          sum(size) OVER (PARTITION BY no, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS starts

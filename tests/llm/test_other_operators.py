@@ -122,6 +122,26 @@ def test_search_finds_all_with_full_probes(spark, monkeypatch):
     assert got == expected
 
 
+def test_every_query_finds_all_there_is(spark):
+    """Few vectors, of several dimensions: the probed cells alone would miss some."""
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=64).tolist()) for k in range(6)] + [(10 + k, rng.normal(size=8).tolist()) for k in range(3)]
+    rows += [(20, [1.0, 2.0]), rows[0]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, df["vec_id"] >= 0).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert {q: len(n) for q, n in found.items()} == {**{k: 5 for k in range(6)}, 10: 2, 11: 2, 12: 2}
+    for q, near in found.items():
+        own = [np.array(v) for i, v in rows if i == q]
+        best = {}
+        for i, v in rows:
+            for o in own:
+                if i != q and len(v) == len(o):
+                    best[i] = max(best.get(i, -2), float(np.dot(o, v) / np.sqrt(np.dot(o, o) * np.dot(v, v))))
+        assert [i for _, i, _ in sorted(near)] == sorted(best, key=lambda i: (-best[i], i))[:5]
+
+
 def test_recall(spark):
     rows = read_table(spark, SF, "embeddings").select("vec_id", "embedding").collect()
     expected = brute_nearest([tuple(r) for r in rows], lambda i: i % 50 == 0, 5)

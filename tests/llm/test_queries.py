@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -73,12 +74,14 @@ def check(spark, docs):
             assert {k[:4] for k in after if k[0] in clean} == {k[:4] for k in before if k[0] in clean}
             assert all(k[4] == (len(k[1]) if k[1] is not None else None) for k in after)
         elif name == "mixing":
+            # The words written are those the mix takes, per document and so in all.
             words = lambda rows: sum(n * len((k[1] or "").encode().split()) for k, n in rows.items())
-            taken = {r["doc_id"]: r["taken"] for r in mixing.mix(given).collect()}
-            per_doc = Counter()
+            taken, per_doc = Counter(), Counter()
+            for r in mixing.mix(given).collect():
+                taken[r["doc_id"]] += r["taken"]
             for k, n in after.items():
                 per_doc[k[0]] += n * len((k[1] or "").encode().split())
-            assert per_doc == Counter({i: n for i, n in taken.items() if n})
+            assert per_doc == +taken
             assert words(after) <= 3 * words(before)
         else:
             assert rows_of(got, ["doc_id"]) == rows_of(given, ["doc_id"])
@@ -103,6 +106,26 @@ def test_pipeline_on_odd_rows(spark, odd):
     check(spark, odd)
 
 
+INNER = """passes words_to words_from taken row size source_size target source_no shards blocks shard shard_words quota at
+key __key __kept __times __row __spans __lang __score pii spans found text_key n_tokens bound batch padding bucket bucket_len number first_row
+root hashes n kept component_id lang_pred score grams""".split()
+
+
+def test_pipeline_with_callers_columns_of_any_name(spark):
+    """Every name the stages use inside, as a column of the caller's; and rows that are repeated."""
+    docs = read_table(spark, SMALL, "documents").where("doc_id < 60")
+    docs = docs.union(docs.where("doc_id % 2 = 0")).select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in INNER))
+    check(spark, docs)
+
+
+def test_mixing_stage_writes_the_words_it_takes_also_of_repeated_rows(spark):
+    docs = read_table(spark, SMALL, "documents").where("doc_id < 100")
+    docs = docs.union(docs)
+    taken = mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    written_ = corpus_pipeline.mix(spark, docs, SMALL).agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
+    assert written_ == taken
+
+
 def test_pipeline_on_no_rows(spark, no_docs):
     for _, _, got in stages(spark, no_docs):
         assert got.collect() == []

@@ -372,11 +372,45 @@ def test_mix(odd, no_docs):
         assert r["source_size"] == sizes[r["source"]] and r["target"] == goals[r["source"]]
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
-    block = mixing.block_words(sum(sizes.values()), len(sizes))
-    assert all(abs(taken[s] - goals[s]) <= block + 1 for s in names)
+    assert all(abs(taken[s] - goals[s]) <= 1 for s in names)
     assert mixing.mix(no_docs).collect() == []
 
 
+def test_seats_have_limits():
+    rng = random.Random(4)
+    for _ in range(50):
+        votes = [float(rng.choice([0, 1, 5, rng.randint(1, 10_000)])) for _ in range(rng.randint(1, 8))]
+        limits = [rng.randint(0, 60) for _ in votes]
+        seats, got = rng.randint(0, 200), [0] * len(votes)
+        for _ in range(seats):
+            free = [i for i, v in enumerate(votes) if v and got[i] < limits[i]]
+            if not free:
+                break
+            got[max(free, key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+        assert mixing.sainte_lague(votes, seats, limits) == got
+
+
+def test_small_sources_and_many_shards_meet_their_targets(spark):
+    rows = [(k, "tiny", " one") for k in range(1)] + [(10 + k, "two", "a b") for k in range(1)]
+    rows += [(None if k % 3 else 100 + k, "large", " ".join(["w"] * (k % 50)) + f" {k}") for k in range(600)]
+    rows += [(1000 + k, "medium", "x y z " * (k % 9)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.mix(df, shard_docs=16).collect()
+    taken, goals = Counter(), {}
+    for r in found:
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        goals[r["source"]] = r["target"]
+    assert goals["tiny"] == 3 and goals["two"] == 6
+    assert all(abs(taken[s] - goals[s]) <= 1 for s in goals)
+
+
+def test_rows_without_an_id_are_dealt_to_all_shards(spark):
+    df = spark.createDataFrame([(None, "a", f"text {k}") for k in range(400)], "doc_id long, source string, text string")
+    found = mixing.mix(df, shard_docs=50).where("passes = 1").count()
+    assert found == 400
+
+
 def test_first_words(spark):
     from pyspark.sql import functions as F
 
