@@ -10,13 +10,15 @@ the template's own, and unescaping gives back the text code point by code point.
 Defined cases: a null role is the empty role, a null text the empty text; rows without a conversation id form
 one conversation; turns are ordered by (turn, role, text), a null turn first, repeated rows are kept as turns
 of their own; an empty table gives an empty result. A conversation is one output value, so its turns meet in
-one task.
+one task, which takes time in proportion to them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelflife.llm.common import chunks, collect_over, cut, let
+
 END, NEXT = "<|end|>\n", "<|next|>"
 LOSS_ROLE = "assistant"
 
@@ -85,31 +87,19 @@ def format_chats(turns: DataFrame, conv_id="conv_id", turn="turn", role="role",
 
 
 def _loss_spans(loss_role: str) -> Column:
-    """Walk the blocks with the offset reached so far; keep the spans of texts of the loss role."""
-    span_type = "array<struct<start:int,chars:int>>"
-
-    def walk_text(state: Column, text: Column) -> Column:
-        size = F.length(text)
-        return F.struct(
-            F.array_append(state["spans"], F.struct(state["at"].alias("start"), size.alias("chars"))).alias("spans"),
-            (state["at"] + size + len(NEXT)).alias("at"),
-        )
+    """Walk the turns with the offset reached so far; keep the spans of texts of the loss role."""
 
-    def walk_block(state: Column, block: Column) -> Column:
-        first = state["at"] + F.length(block["role"]) + len("<||>\n")
-        inner = F.aggregate(
-            block["texts"], F.struct(F.array().cast(span_type).alias("spans"), first.alias("at")), walk_text
-        )
-        total = F.aggregate(block["texts"], F.lit(0), lambda n, t: n + F.length(t) + len(NEXT)) - len(NEXT)
-        return F.struct(
-            F.when(block["role"] == F.lit(loss_role), F.concat(state["spans"], inner["spans"]))
-            .otherwise(state["spans"])
-            .alias("spans"),
-            (first + total + len(END)).alias("at"),
-        )
+    def walk(state: Column, turn: Column) -> Column:
+        opens = state["role"].isNull() | (state["role"] != turn["role"])
+        # Before a text stand the mark to the text before it, or the end of a block and the header of its own.
+        header = F.length(turn["role"]) + len("<||>\n") + F.when(state["role"].isNull(), 0).otherwise(len(END))
+        start, size = state["at"] + F.when(opens, header).otherwise(len(NEXT)), F.length(turn["text"])
+        span = F.struct(start.alias("start"), size.alias("chars"))
+        own = F.when(turn["role"] == F.lit(loss_role), F.array_append(state["out"], span)).otherwise(state["out"])
+        return F.struct((start + size).alias("at"), turn["role"].alias("role"), own.alias("out"))
 
-    start = F.struct(F.array().cast(span_type).alias("spans"), F.lit(0).alias("at"))
-    return F.aggregate("blocks", start, walk_block, lambda state: state["spans"])
+    start = {"at": F.lit(0), "role": F.lit(None).cast("string")}
+    return collect_over(F.col("turns"), start, walk, "struct<start:int,chars:int>")
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
@@ -129,7 +119,8 @@ def read_chats(chats: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(
-        F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["chars"]))), ""
+    loss = let(
+        chunks(F.col("formatted")),
+        lambda parts: F.array_join(F.transform("loss_spans", lambda s: unescape(cut(parts, s["start"], s["chars"]))), ""),
     )
     return chats.select("conv_id", "formatted", "loss_spans", turns.alias("turns"), loss.alias("loss_text"))

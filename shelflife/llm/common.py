@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelflife.session import shared_dir
@@ -31,21 +33,43 @@ def held_out(doc_id: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)) == 2, F.lit(False))
 
 
-#: Keys that get a broadcast row of their own in ``join_per_key``, at most.
-HOT_KEYS = 1024
+#: Entries collected before they are put away, and code points of a piece of text.
+BLOCK, CHUNK = 256, 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
-    """``rows`` with the columns of ``per_key``, which has one row per key and in ``count`` how many rows the key has.
+def collect_over(items: Column, start: dict[str, Column], walk: Callable, kind: str, finish: Callable | None = None) -> Column:
+    """Walk an array with a state, collecting entries of type ``kind`` in the state's array ``out``.
 
-    A key with more than one in ``HOT_KEYS`` of all rows would fill a task of its own. There are fewer than
-    ``HOT_KEYS`` of them, so their rows are broadcast and the rows of ``rows`` stay where they are; the others
-    meet by their key.
+    ``walk`` gets the state and an item and returns the state; ``finish`` makes the result of the last state, whose
+    ``out`` holds all entries. Appending to an array copies it, so entries are collected in blocks, which keeps
+    long arrays linear.
     """
-    names = [c for c in per_key.columns if c not in (key, count)]
-    total = per_key.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    hot = per_key.where(F.col(count) * HOT_KEYS > total)
-    found = rows.join(F.broadcast(hot.select(key, F.struct(*names).alias("__hot"))), key, "left")
-    there = found.where("__hot is not null").select(*rows.columns, *(F.col(f"__hot.{n}").alias(n) for n in names))
-    others = found.where("__hot is null").select(*rows.columns)
-    return there.union(others.join(per_key.select(key, *names), key).select(*rows.columns, *names))
+    none = F.array().cast(f"array<{kind}>")
+
+    def over_block(state: Column, block: Column) -> Column:
+        inner = F.struct(*(state[n].alias(n) for n in start), none.alias("out"))
+        put = lambda s: F.struct(*(s[n].alias(n) for n in start), F.array_append(state["out"], s["out"]).alias("out"))
+        return F.aggregate(block, inner, walk, put)
+
+    numbers = lambda found: F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+    blocks = let(items, lambda found: F.transform(numbers(found), lambda b: F.slice(found, b * BLOCK + 1, BLOCK)))
+    outer = F.struct(*(c.alias(n) for n, c in start.items()), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    whole = lambda s: F.struct(*(s[n].alias(n) for n in start), F.flatten(s["out"]).alias("out"))
+    return F.aggregate(blocks, outer, over_block, (lambda s: finish(whole(s))) if finish else (lambda s: F.flatten(s["out"])))
+
+
+def chunks(text: Column) -> Column:
+    """A text in pieces of ``CHUNK`` code points, so that a place in it is found without reading up to it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, count: Column) -> Column:
+    """``count`` code points from ``start`` (from 0) on of a text in ``chunks``."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((start + count - 1) / CHUNK).cast("int")
+    joined = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(count > 0, F.substr(joined, start - first * CHUNK + 1, count)).otherwise(F.lit(""))

@@ -269,13 +269,18 @@ def deduplicated(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     sets = found.groupBy("root", "key", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     alone = F.when(F.col("key").isNull(), F.col("doc_id"))
     least = sets.groupBy("root", alone.alias("alone")).agg(F.min(F.struct("key", F.col("doc_id").alias("id"), "times")).alias("least"))
-    kept = least.select(F.struct("least.id", "least.key").alias("__kept"), F.col("least.times").alias("__times"))
-    keyed = _keyed(docs, text)
-    rows = keyed.join(kept, pair("__key").eqNullSafe(F.col("__kept")))
-    single = rows.where("__times = 1 or __key is null").select(docs.columns)
+    kept = written(least.select(F.struct("least.id", "least.key").alias("__kept"), F.col("least.times").alias("__times")), "kept")
+    once = F.col("__times").eqNullSafe(1) | F.col("__kept.key").isNull()
+    single = _keyed(docs, text).join(kept.where(once), pair("__key").eqNullSafe(F.col("__kept"))).select(docs.columns)
+    several = kept.where(~once)
+    if several.isEmpty():
+        return single
+    # Only rows whose id such a set has are looked at again.
+    ids = several.select("__kept.id").distinct()
+    again = _keyed(docs.join(ids, docs[doc_id].eqNullSafe(ids["id"]), "left_semi"), text)
     first = Window.partitionBy("__kept").orderBy(text, *(c for c in docs.columns if c not in (doc_id, text)))
-    repeated = rows.where("__times > 1 and __key is not null").withColumn("__row", F.row_number().over(first)).where("__row = 1")
-    return single.union(repeated.select(docs.columns))
+    rows = again.join(several, pair("__key").eqNullSafe(F.col("__kept"))).withColumn("__row", F.row_number().over(first))
+    return single.union(rows.where("__row = 1").select(docs.columns))
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:

@@ -7,7 +7,9 @@ kind's score, raised by a context word of the kind nearby. The four base kinds a
 (iban, ssn) need a score of ``THRESHOLD``.
 
 Offsets are code points of the whole text, the end exclusive. Patterns are written so that no run of text is
-scanned again from each of its characters and no repeated group recurses, so very long texts cost linear time.
+scanned again from each of its characters and no repeated group recurses; hits are collected in blocks, and what
+stands around them is read from pieces of the text. So very long texts, and texts with very many hits, cost linear
+time.
 
 Defined cases: a null text is the empty text and has no spans; repeated rows are rows of their own; an empty
 table gives an empty result.
@@ -20,6 +22,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelflife.llm.common import chunks, collect_over, cut, let
+
 THRESHOLD = 0.5
 BEFORE, AFTER = 48, 24
 CONTEXT = 0.25
@@ -150,35 +154,36 @@ def _found(text: Column, rank: int, kind: Kind) -> Column:
         past = start + F.when(piece["hit"].isNull(), 0).otherwise(F.lit(kind.head) if kind.head else F.length(piece["hit"]))
         keep = piece["hit"].isNotNull() & size.isNotNull()
         if kind.head:
-            keep = keep & (F.coalesce(F.try_element_at(state["spans"], F.lit(-1))["end"], F.lit(0)) <= start)
+            keep = keep & (state["last"] <= start)
         span = F.struct(start.alias("start"), (start + size).alias("end"))
-        spans = F.when(keep, F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct(past.alias("at"), spans.alias("spans"))
+        return F.struct(
+            past.alias("at"),
+            F.when(keep, start + size).otherwise(state["last"]).alias("last"),
+            F.when(keep, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"),
+        )
 
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    offsets = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), none.alias("spans")), walk, lambda state: state["spans"]
-    )
-    near = lambda s: F.lower(
-        F.concat(
-            F.substr(text, F.greatest(F.lit(1), s["start"] + 1 - BEFORE), F.least(s["start"], F.lit(BEFORE))),
-            F.lit(" "),
-            F.substr(text, s["end"] + 1, F.lit(AFTER)),
+    offsets = collect_over(pieces, {"at": F.lit(0), "last": F.lit(0)}, walk, "struct<start:int,end:int>")
+
+    def scored(found: Column, parts: Column) -> Column:
+        def near(s: Column) -> Column:
+            before = F.least(s["start"], F.lit(BEFORE))
+            return F.lower(F.concat(cut(parts, s["start"] - before, before), F.lit(" "), cut(parts, s["end"], F.lit(AFTER))))
+
+        spans = F.transform(
+            found,
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                F.lit(rank).alias("rank"),
+                F.lit(kind.name).alias("kind"),
+                s["end"].alias("end"),
+                (F.lit(kind.score) + F.when(near(s).rlike(kind.context), CONTEXT).otherwise(0.0)).alias("score"),
+            ),
         )
-    )
-    scored = F.transform(
-        offsets,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.lit(rank).alias("rank"),
-            F.lit(kind.name).alias("kind"),
-            s["end"].alias("end"),
-            (F.lit(kind.score) + F.when(near(s).rlike(kind.context), CONTEXT).otherwise(0.0)).alias("score"),
-        ),
-    )
-    if not kind.base:
-        scored = F.filter(scored, lambda s: s["score"] >= THRESHOLD)
-    return F.when(text.rlike(kind.needs), scored).otherwise(F.array().cast(SPAN))
+        return spans if kind.base else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
+
+    none = F.array().cast(SPAN)
+    spans = let(offsets, lambda found: F.when(F.size(found) > 0, let(chunks(text), lambda parts: scored(found, parts))).otherwise(none))
+    return F.when(text.rlike(kind.needs), spans).otherwise(none)
 
 
 def find_spans(text: Column) -> Column:
@@ -195,37 +200,39 @@ def detect(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 
 def redacted(text: Column) -> Column:
-    """The text with every span that ``find_spans`` reports replaced by its kind in brackets.
+    """The spans that ``find_spans`` reports, those that overlap as one named after the first: start, end, kind."""
+    kind = "struct<start:int,end:int,kind:string>"
 
-    Overlapping spans become one replacement named after the first.
-    """
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-
-    def merge(spans: Column, s: Column) -> Column:
-        last = F.element_at(spans, -1)
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    def merge(state: Column, s: Column) -> Column:
+        last, own = state["last"], F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
         grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        joined = F.array_append(F.slice(spans, 1, F.size(spans) - 1), grown)
-        return F.when((F.size(spans) > 0) & (F.try_element_at(spans, F.lit(-1))["end"] > s["start"]), joined).otherwise(
-            F.array_append(spans, own)
+        over = last.isNotNull() & (last["end"] > s["start"])
+        return F.struct(
+            F.when(over, grown).otherwise(own).cast(kind).alias("last"),
+            F.when(over | last.isNull(), state["out"]).otherwise(F.array_append(state["out"], last)).alias("out"),
         )
 
-    return F.aggregate(find_spans(text), none, merge)
+    finish = lambda s: F.when(s["last"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["last"]))
+    none = F.array().cast(f"array<{kind}>")
+    merged = lambda spans: collect_over(spans, {"last": F.lit(None).cast(kind)}, merge, kind, finish)
+    return let(find_spans(text), lambda spans: F.when(F.size(spans) > 0, merged(spans)).otherwise(none))
 
 
 def redact(docs: DataFrame, text="text") -> DataFrame:
     """``docs`` with the spans in ``text`` replaced by their kind in brackets; null stays null."""
-    marks = docs.withColumn("__spans", redacted(F.col(text)))
-    pieces = F.transform(
-        "__spans",
-        lambda s, i: F.concat(
-            F.substr(text, _end_before(i) + 1, s["start"] - _end_before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")
-        ),
-    )
-    tail = F.substr(text, F.get("__spans", F.size("__spans") - 1)["end"] + 1)
-    clean = F.when(F.size("__spans") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text))
-    return marks.withColumn(text, clean).drop("__spans")
+    whole = F.col(text)
 
+    def clean(spans: Column, parts: Column) -> Column:
+        end_before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+        pieces = F.transform(
+            spans,
+            lambda s, i: F.concat(cut(parts, end_before(i), s["start"] - end_before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")),
+        )
+        end = F.get(spans, F.size(spans) - 1)["end"]
+        return F.concat(F.array_join(pieces, ""), cut(parts, end, F.length(whole) - end))
 
-def _end_before(i: Column) -> Column:
-    return F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))
+    found = let(
+        redacted(whole),
+        lambda spans: F.when(F.size(spans) > 0, let(chunks(whole), lambda parts: clean(spans, parts))).otherwise(whole),
+    )
+    return docs.withColumn(text, F.when(whole.isNotNull(), found))
