@@ -18,7 +18,8 @@ class Detector:
     ``literals`` are texts of which every match contains at least one. They are tested by a plain
     substring search first, so the regex only runs on texts that can match. ``span`` is how many bytes a
     match may cover with what the pattern looks at around it; a detector with ``span=None`` gets every file
-    as one text. A match is never empty.
+    as one text. A match is never empty. With ``min_entropy`` only secrets of at least so many bits per character
+    count, which tells random tokens from the words and numbers that look like them.
     """
 
     category: str
@@ -26,18 +27,20 @@ class Detector:
     literals: tuple[str, ...] = ()
     group: int = 0
     span: int | None = SPAN_BYTES
+    min_entropy: float | None = None
 
 
 @dataclass(frozen=True)
 class BatchDetector:
     """A vectorised detector: a function from a pandas Series of texts to a Series of lists of secrets.
 
-    Texts without any of its ``literals``, if it names some, stay in the JVM.
+    Texts without any of its ``literals``, or without a match of its ``gate``, a regex, stay in the JVM.
     """
 
     category: str
     find: Callable = field(compare=False, repr=False)
     literals: tuple[str, ...] = ()
+    gate: str | None = None
 
 
 def from_patterns(patterns: dict[str, str], group: int = 0, span: int | None = SPAN_BYTES) -> list[Detector]:
@@ -68,14 +71,37 @@ BUILTIN_DETECTORS = (
 )
 
 
+#: Random tokens by alphabet; bits per character a token of its kind has at least.
+ENTROPY_DETECTORS = (
+    Detector("High-entropy hex", "(?<![0-9A-Za-z+/_-])[0-9a-f]{32,}(?![0-9A-Za-z+/_-])", min_entropy=3.0),
+    Detector("High-entropy base64", "(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/]{24,}(?![0-9A-Za-z+/_-])", min_entropy=4.25),
+)
+
+
+def entropy(token: Column) -> Column:
+    """Shannon entropy of a string's characters, in bits per character; 0 for an empty one."""
+    size = F.length(token)
+
+    def bits(total: Column, char: Column) -> Column:
+        share = (size - F.length(F.replace(token, char, F.lit("")))) / size
+        return total - share * F.log2(share)
+
+    return F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), lambda total, c: F.when(c == "", total).otherwise(bits(total, c)))
+
+
+def _random_enough(secrets: Column, detector: Detector) -> Column:
+    return secrets if detector.min_entropy is None else F.filter(secrets, lambda s: entropy(s) >= detector.min_entropy)
+
+
 def _can_match(text: Column, detector: Detector | BatchDetector) -> Column:
     """Whether a text holds a literal of the detector.
 
     A mark that all of several literals share is tested first: the search for it ends at once where it is
     frequent, and saves a search per literal where it does not occur.
     """
+    gate = getattr(detector, "gate", None)
     if not detector.literals:
-        return text.isNotNull()
+        return text.rlike(gate) if gate else text.isNotNull()
     any_literal = reduce(Column.__or__, [F.contains(text, F.lit(part)) for part in detector.literals])
     marks = sorted(c for c in set.intersection(*map(set, detector.literals)) if not c.isalnum())
     if len(detector.literals) == 1 or not marks:
@@ -101,7 +127,7 @@ def matches(text: Column, detector: Detector | BatchDetector) -> Column:
     if isinstance(detector, BatchDetector):
         wanted = F.when(_can_match(text, detector), text)
         return F.pandas_udf(_run_batch(detector.find), "array<string>")(wanted)
-    found = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(detector.group))
+    found = _random_enough(F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(detector.group)), detector)
     return F.when(_can_match(text, detector), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -145,7 +171,7 @@ def _owned(text: Column, detector: Detector, whole: Column, own_from: Column, ow
         )
 
     def result(state: Column) -> Column:
-        own = F.slice(secrets, state["early"] + 1, state["inside"] - state["early"])
+        own = _random_enough(F.slice(secrets, state["early"] + 1, state["inside"] - state["early"]), detector)
         entry, left = F.greatest(zero, state["entry"] - own_from), F.greatest(zero, state["exit"] - own_to)
         return F.struct(own.alias("secrets"), entry.alias("entry"), left.alias("exit"))
 
@@ -155,6 +181,8 @@ def _owned(text: Column, detector: Detector, whole: Column, own_from: Column, ow
 
 def matches_any(text: Column, detector: Detector) -> Column:
     """Whether a detector matches anywhere in a text."""
+    if detector.min_entropy is not None:
+        return F.coalesce(F.size(matches(text, detector)) > 0, F.lit(False))
     return F.coalesce(_can_match(text, detector) & text.rlike(detector.pattern), F.lit(False))
 
 
@@ -307,6 +335,26 @@ def summarize(findings: DataFrame, item: str = "item") -> DataFrame:
     )
 
 
+#: Distinct items up to which a sketch is exact, as a power of two; beyond it the standard error is 1 / sqrt of them.
+SKETCH_BITS = 12
+
+
+def summary_sketches(findings: DataFrame, by: Sequence[str] = (), item: str = "item") -> DataFrame:
+    """The summary per root, category and ``by`` (a day, a scan) with a sketch of the items instead of their number.
+
+    A row stays small however many items it stands for, and rows of many scans go together without the findings.
+    """
+    return findings.groupBy("dir_name", "category", *by).agg(
+        F.count(F.lit(1)).alias("matches"), F.theta_sketch_agg(item, SKETCH_BITS).alias("items_sketch")
+    )
+
+
+def roll_up(sketches: DataFrame, by: Sequence[str] = ("dir_name", "category")) -> DataFrame:
+    """Summaries of several scans, or of several roots, as one: matches in all, and distinct items as estimated."""
+    union = F.theta_union_agg("items_sketch", SKETCH_BITS)
+    return sketches.groupBy(*by).agg(F.sum("matches").alias("matches"), F.theta_sketch_estimate(union).alias("items"))
+
+
 def recommend(roots: DataFrame, findings: DataFrame) -> DataFrame:
     """Per root: how many secrets were found, and whether a cleanup is advised."""
     per_root = findings.groupBy("dir_name").agg(F.count(F.lit(1)).alias("matches"))

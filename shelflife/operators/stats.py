@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelflife.functions.messages import (
     dir_message,
@@ -15,7 +15,7 @@ from shelflife.functions.messages import (
     total_message,
     verdict_message,
 )
-from shelflife.functions.times import age_hours, as_of_literal, is_expired, time_type
+from shelflife.functions.times import age_hours, as_of_literal, is_expired, micros_between, time_type
 from shelflife.sources.tables import files_only
 
 
@@ -113,3 +113,21 @@ def purge_total(
             "session_message": session_message(F.col("files"), F.col("bytes"), flag, **tagged),
         }
     )
+
+
+def retention_curve(inventory: DataFrame, as_of: dt.datetime, step_hours: int = 1) -> DataFrame:
+    """Per root and window (dir_name, hours, files, bytes) what a purge with that window would free.
+
+    There is a row for each window of whole steps, from 0 up, at which the curve falls: any other window frees what the
+    next larger one in the list does. One pass over the inventory makes a histogram by age; the running sum goes over
+    its rows. Files of unknown time, and of times to come, are freed by none.
+    """
+    step = step_hours * 3_600_000_000
+    age = micros_between(F.col("mtime"), as_of_literal(as_of, time_type(inventory)))
+    # The largest window that frees a file: it has to be older than the window, not as old.
+    largest = (F.floor((age - 1) / F.lit(step)) * step_hours).cast("bigint")
+    counted = files_only(inventory).where(age > 0).groupBy("dir_name", largest.alias("hours")).agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")
+    )
+    older = Window.partitionBy("dir_name").orderBy(F.desc("hours")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counted.select("dir_name", "hours", F.sum("files").over(older).alias("files"), F.sum("bytes").over(older).alias("bytes"))

@@ -243,6 +243,7 @@ FROM found CROSS JOIN (VALUES (false), (true)) AS modes(dry_run)""",
 SELECT *, CASE expired WHEN 0 THEN 'keep' WHEN rows THEN 'drop' ELSE 'rewrite' END AS action FROM counted""",
     "table_purge_applied": f"""SELECT *, year(o_orderdate)::INTEGER AS order_year FROM orders
 WHERE o_orderdate IS NULL OR o_orderdate >= {ORDERS_CUTOFF}""",
+    "table_purge_files": f"SELECT * FROM orders WHERE o_orderdate IS NULL OR o_orderdate >= {ORDERS_CUTOFF}",
     "table_purge_layouts": f"""SELECT *, month(o_orderdate)::INTEGER AS order_month,
        CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS note FROM orders
 WHERE o_orderdate IS NULL OR o_orderdate >= {ORDERS_CUTOFF}""",
@@ -323,6 +324,24 @@ SELECT dir_name, item, category, secret, position FROM findings WHERE category <
 UNION ALL
 SELECT dir_name, item, category, secret, min(position)
 FROM (SELECT * FROM findings WHERE category = 'Assigned tokens' UNION ALL SELECT * FROM varied) GROUP BY ALL""",
+    "secret_entropy": f"""WITH {CONTENT},
+words AS (SELECT dir_name, item, regexp_extract_all(text, '[0-9A-Za-z+/_-]+') AS words FROM content),
+kinds(category, shape, least) AS (VALUES ('High-entropy hex', '[0-9a-f]{{32,}}', 3.0), ('High-entropy base64', '[0-9A-Za-z+/]{{24,}}', 4.25)),
+lists AS (
+  SELECT dir_name, item, category, list_filter(words, lambda w: regexp_full_match(w, shape) AND list_sum(list_transform(
+           list_distinct(string_split(w, '')), lambda c: -((length(w) - length(replace(w, c, ''))) / length(w))
+           * log2((length(w) - length(replace(w, c, ''))) / length(w)))) >= least) AS secrets
+  FROM words CROSS JOIN kinds)
+SELECT dir_name, item, category, unnest(range(len(secrets)))::INTEGER AS position, unnest(secrets) AS secret FROM lists""",
+    "secret_sketches": f"""WITH {PLANTED}, {_findings(BUILTIN)}
+SELECT dir_name, category, count(*) AS matches, count(DISTINCT item) AS items FROM findings GROUP BY dir_name, category""",
+    "retention_curve": f"""WITH {EVENTS_INVENTORY},
+counted AS (
+  SELECT dir_name, ((date_diff('microsecond', mtime, TIMESTAMP '2024-01-31 00:00:00') - 1) // 86400000000) * 24 AS hours,
+         count(*) AS n, sum(size_bytes) AS size
+  FROM inv WHERE mtime < TIMESTAMP '2024-01-31 00:00:00' GROUP BY ALL)
+SELECT dir_name, hours, (sum(n) OVER w)::BIGINT AS files, (sum(size) OVER w)::BIGINT AS bytes
+FROM counted WINDOW w AS (PARTITION BY dir_name ORDER BY hours DESC)""",
     "scan_recommendation": f"""WITH {DOCUMENTS}, {_findings({**BUILTIN, **CUSTOM})},
 sums AS (SELECT dir_name, count(*) AS matches FROM findings GROUP BY dir_name)
 SELECT dir_name, coalesce(matches, 0) AS matches, coalesce(matches, 0) > 0 AS cleanup_advised

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from shelflife.functions.formats import format_size
 from shelflife.functions.messages import session_message
 from shelflife.functions.times import as_of_literal, to_utc_wall_clock
-from shelflife.operators import detect, policy, prune, purge, retention, scoped, stats
+from shelflife.operators import detect, footers, policy, prune, purge, retention, scoped, stats
 from shelflife.plans import scan, status
 from shelflife.plans.clean import clean_trees, plan_run
 from shelflife.session import mounted_path, shared_dir
@@ -170,7 +170,7 @@ def _varied_tokens(texts):
     return texts.map(lambda text: [word for word in VARIED.findall(text) if len(set(word)) >= 10])
 
 
-BATCH_TOKEN = detect.BatchDetector("Assigned tokens", _varied_tokens)
+BATCH_TOKEN = detect.BatchDetector("Assigned tokens", _varied_tokens, gate=RUN_PATTERN)
 
 
 # Inventory, selection, policy.
@@ -371,6 +371,15 @@ def table_purge_layouts(spark, sf_dir):
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
+def table_purge_files(spark, sf_dir):
+    """Orders in files by ranges of time: most are kept or dropped by their footers."""
+    path = shared_dir(spark, "orders")
+    orders = _table(spark, sf_dir, "orders").withColumn("order_half", F.col("o_orderkey") % 2)
+    orders.repartitionByRange(16, "o_orderdate").write.partitionBy("order_half").parquet(path)
+    footers.purge_by_footers(spark, path, ORDERS_AT, ORDERS_HOURS, "o_orderdate")
+    return spark.read.parquet(path).drop("order_half")
+
+
 def prune_dirs(spark, sf_dir):
     """Files older than a day go; each user folder also has a sub-folder that was empty before.
 
@@ -485,6 +494,10 @@ def dir_stats_orders(spark, sf_dir):
     return stats.dir_stats(orders_inventory(spark, sf_dir), ORDERS_AT, ORDERS_HOURS)
 
 
+def retention_curve(spark, sf_dir):
+    return stats.retention_curve(events_inventory(spark, sf_dir), EVENTS_AT, 24)
+
+
 def status_report(spark, sf_dir):
     return stats.status_report(dir_stats_orders(spark, sf_dir))
 
@@ -516,6 +529,17 @@ def secret_scanner_union(spark, sf_dir):
     return detect.scan_with(content_roots(spark, sf_dir), [ASSIGNED_TOKEN, BATCH_TOKEN])
 
 
+def secret_entropy(spark, sf_dir):
+    return detect.find_secrets(content_roots(spark, sf_dir), detect.ENTROPY_DETECTORS)
+
+
+def secret_sketches(spark, sf_dir):
+    """Findings of seven scans, summed up one by one, rolled up without the findings."""
+    content = planted_documents(spark, sf_dir).withColumn("scan", F.col("doc_id") % 7)
+    scans = table_content(content, "source", "doc_id", "text", keep=["scan"])
+    return detect.roll_up(detect.summary_sketches(detect.find_secrets(scans), ["scan"]))
+
+
 def scan_recommendation(spark, sf_dir):
     content = document_content(spark, sf_dir)
     findings = detect.find_secrets(content, [*detect.BUILTIN_DETECTORS, ASSIGNED_TOKEN])
@@ -632,6 +656,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_purge_partitions": table_purge_partitions,
     "table_purge_applied": table_purge_applied,
     "table_purge_layouts": table_purge_layouts,
+    "table_purge_files": table_purge_files,
     "prune_dirs": prune_dirs,
     "tree_inventory": tree_inventory,
     "tree_source": tree_source,
@@ -643,6 +668,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "format_size": format_sizes,
     "dir_stats": dir_stats,
     "dir_stats_orders": dir_stats_orders,
+    "retention_curve": retention_curve,
     "status_report": status_report,
     "status_summary": status_summary,
     "secret_match_flags": secret_match_flags,
@@ -650,6 +676,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "secret_summary": secret_summary,
     "secret_custom_detector": secret_custom_detector,
     "secret_scanner_union": secret_scanner_union,
+    "secret_entropy": secret_entropy,
+    "secret_sketches": secret_sketches,
     "scan_recommendation": scan_recommendation,
     "scan_items": scan_items,
     "session_end_trigger": session_end_trigger,

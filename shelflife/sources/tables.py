@@ -31,12 +31,15 @@ def table_inventory(
     )
 
 
-def table_content(table: DataFrame, dir_name: Column | str, item: Column | str, text: str) -> DataFrame:
-    """Map a table to content to be scanned: one whole text per item."""
+def table_content(
+    table: DataFrame, dir_name: Column | str, item: Column | str, text: str, keep: list[str] | None = None
+) -> DataFrame:
+    """Map a table to content to be scanned: one whole text per item; ``keep`` carries further columns."""
     return table.select(
         _column(dir_name).cast("string").alias("dir_name"),
         _column(item).cast("string").alias("item"),
         F.col(text).alias("text"),
+        *[F.col(name) for name in keep or []],
     )
 
 

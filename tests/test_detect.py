@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelflife.operators import detect
 
@@ -129,3 +130,42 @@ def test_a_wide_catalogue(spark):
     rules = [detect.Detector(f"K{i}", f"k{i}=([0-9]+)", (f"k{i}=",), group=1) for i in range(300)]
     rows = detect.find_secrets(content(spark, [" ".join(f"k{i}={i}" for i in range(0, 300, 7)), "k1= k2="]), rules).collect()
     assert sorted((r["category"], r["secret"]) for r in rows) == sorted((f"K{i}", str(i)) for i in range(0, 300, 7))
+
+
+def test_entropy_is_shannons(spark):
+    import math
+
+    words = ["", "a", "aaaa", "abab", "0123456789abcdef" * 2, "é𝄞é𝄞", "correct horse battery"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for r in df.select("w", detect.entropy(F.col("w")).alias("bits")).collect():
+        shares = [r["w"].count(c) / len(r["w"]) for c in set(r["w"])]
+        assert abs(r["bits"] + sum(s * math.log2(s) for s in shares)) < 1e-12
+
+
+def test_random_tokens_are_told_from_words(spark):
+    texts = [
+        "key " + "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "pad " + "0" * 40, "nested xx" + "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b",
+        "b64 zK8qT1vYb3Wn5RxLp7Dc9Fh2Jm4Gs6Ae", "word " + "antidisestablishmentarianism",
+    ]
+    rows = detect.find_secrets(content(spark, texts), detect.ENTROPY_DETECTORS).collect()
+    assert sorted((r["item"], r["category"]) for r in rows) == [("0", "High-entropy hex"), ("3", "High-entropy base64")]
+    flags = detect.match_flags(content(spark, texts), detect.ENTROPY_DETECTORS).where("matched").collect()
+    assert sorted((r["item"], r["category"]) for r in flags) == [("0", "High-entropy hex"), ("3", "High-entropy base64")]
+
+
+def test_a_gate_changes_nothing(spark):
+    find = lambda texts: texts.map(re.compile("id=[0-9]+").findall)
+    df = content(spark, ["id=1 id=22", "none", None, "id=", "x id=3"])
+    plain, gated = (detect.find_secrets(df, [detect.BatchDetector("N", find, gate=g)]).collect() for g in (None, "id=[0-9]"))
+    assert sorted(plain) == sorted(gated) and len(plain) == 3
+
+
+def test_sketches_of_scans_roll_up(spark):
+    """Twenty thousand items over ten scans, each item in several: within five standard errors, and exact while few."""
+    rows = spark.range(60_000).selectExpr("if(id % 3 = 0, 'a', 'b') AS dir_name", "'K' AS category", "cast(id % 20000 AS string) AS item", "id % 10 AS scan")
+    few = rows.where("cast(item AS int) < 1000")
+    for findings, error in ((rows, 5 / 2 ** (detect.SKETCH_BITS / 2)), (few, 0)):
+        found = {r["dir_name"]: r for r in detect.roll_up(detect.summary_sketches(findings, ["scan"])).collect()}
+        for r in detect.summarize(findings).collect():
+            assert found[r["dir_name"]]["matches"] == r["matches"]
+            assert abs(found[r["dir_name"]]["items"] - r["items"]) <= error * r["items"]

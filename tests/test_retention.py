@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,21 @@ def test_prune_of_a_swept_root_without_any_deletion(spark):
     assert none.count() == 0
     tried = prune_plan(entries, F.lit(False), F.col("dir_name"), expired=F.lit(True))
     assert paths(tried) == ["r/e"]
+
+
+def test_the_curve_tells_what_any_window_frees(spark):
+
+    rng = random.Random(8)
+    now = dt.datetime(2025, 6, 15, 12)
+    ages = [0, 1, 24, 24.0001, 48, 48, 71.5, 500, -3, None] + [rng.uniform(0, 100) for _ in range(100)]
+    rows = [(f"r{k % 2}", f"p{k}", k if k % 7 else None, None if a is None else now - dt.timedelta(hours=a), False) for k, a in enumerate(ages)]
+    df = spark.createDataFrame(rows, "dir_name string, path string, size_bytes bigint, mtime timestamp_ntz, is_dir boolean")
+    for step in (1, 24):
+        curve = stats.retention_curve(df, now, step).collect()
+        for window in range(0, 600, step):
+            for root in ("r0", "r1"):
+                gone = [r for r in rows if r[0] == root and r[3] is not None and r[3] < now - dt.timedelta(hours=window)]
+                later = [c for c in curve if c["dir_name"] == root and c["hours"] >= window]
+                found = min(later, key=lambda c: c["hours"], default=None)
+                wanted = (len(gone), sum(r[2] or 0 for r in gone))
+                assert ((found["files"], found["bytes"]) if found else (0, 0)) == wanted
