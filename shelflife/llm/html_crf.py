@@ -7,20 +7,24 @@ pages (``TRAINING_PAGES`` generated layouts, a bounded set) and decoded by Viter
 are the page's main text, in page order.
 
 Head, scripts, styles, templates, comments in the markup, hidden elements and the controls of forms are never
-text. Character
-references are decoded; white space inside a block, line breaks included, becomes one space.
+text; formulas are, but for their sources in other notations. Character references are decoded; white space inside a
+block, line breaks included, becomes one space.
 
-Defined cases: a null or empty page, and one without text, gives the empty text; open tags at the end of a cut
-page are closed; repeated rows are rows of their own; an empty table gives an empty result.
+Each open element knows what holds for all in it, so a block costs the same however deep it stands, and a page time
+in proportion to its length.
+
+Defined cases: a null or empty page, and one without text, gives the empty text; open elements at the end of a cut
+page are closed, and a tag that is cut itself is left out; repeated rows are rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from functools import cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,14 @@ STEPS = 200
 RATE, SHRINK = 0.1, 0.0002
 
 # Fixed sets of HTML element names by their role.
-NEVER = frozenset("head script style template noscript svg math iframe object canvas select textarea button datalist audio video".split())
+NEVER = frozenset(
+    "head script style template noscript svg iframe select textarea button datalist audio video annotation annotation-xml".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+    "strong sub sup time tt u var wbr object canvas math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 #: An open element of the key ends where one of the value begins.
 ENDS = {
@@ -50,117 +57,142 @@ ENDS = {
     "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]),
 }
 SCOPE = frozenset("article aside blockquote body div footer form header main nav ol section table ul html".split())
-
+#: The elements that end where one of the key begins.
+ENDED_BY = {tag: tuple(above for above, tags in ENDS.items() if tag in tags) for tags in ENDS.values() for tag in tags}
 
 HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 PARTS = frozenset("article aside footer form header main nav".split())
+TAG = re.compile("<[a-zA-Z/!?]")
+
+
+class Around(NamedTuple):
+    """What holds for all that stands in an element."""
+
+    names: frozenset[str] = frozenset()
+    article: bool = False
+    #: Of the innermost part that says what it is.
+    inner: frozenset[str] = frozenset()
+
+    def within(self, tag: str, words: list[str]) -> Around:
+        if tag in ("header", "footer") and self.article:
+            names = {f"in:article-{tag}"}
+        elif tag not in ("html", "body") and tag not in INLINE:
+            names = {f"in:{'h' if re.fullmatch('h[1-6]', tag) else tag}"}
+        else:
+            names = set()
+        names.update(f"word:{w}" for w in words)
+        article = self.article or tag in ("article", "main")
+        inner = self.inner
+        if tag in PARTS or words:
+            inner = frozenset([f"inner:{tag if tag in PARTS else 'other'}", *(f"inner word:{w}" for w in words)])
+        if names <= self.names and article == self.article and inner == self.inner:
+            return self
+        return Around(self.names if names <= self.names else self.names | names, article, inner)
 
 
 class _Blocks(HTMLParser):
-    """Collects (text, link code points, ancestors); an ancestor is (tag, words of class, id and role)."""
+    """Collects (text, link code points, what is around). Of class, id and role words those in ``known`` count, if given."""
 
-    def __init__(self) -> None:
+    def __init__(self, known: Collection[str] | None = None) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.unseen: list[bool] = []
-        self.blocks: list[tuple[str, int, list]] = []
+        self.known = known
+        self.open: list[tuple[str, Around, bool]] = []
+        # Where in the list of open elements those of a tag, the scopes and the blocks are.
+        self.places: dict[str, list[int]] = {}
+        self.scopes, self.outer = [-1], [-1]
+        self.blocks: list[tuple[str, int, Around]] = []
         self.text: list[str] = []
-        self.above: list[tuple[str, tuple[str, ...]]] = []
+        self.above: Around | None = None
         self.linked = self.never = self.links = 0
 
     def _flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.blocks.append((text, self.linked, self.above))
-        self.text, self.linked, self.above = [], 0, []
-
-    def _pop(self) -> None:
-        tag, _ = self.open.pop()
-        self.never -= self.unseen.pop()
-        self.links -= tag == "a"
+                self.blocks.append((text, self.linked, self.above or Around()))
+        self.text, self.linked, self.above = [], 0, None
+
+    def _push(self, tag: str, words: list[str], unseen: bool) -> None:
+        around = self.open[-1][1] if self.open else Around()
+        place = len(self.open)
+        self.open.append((tag, around.within(tag, words), unseen))
+        for places in self._lists(tag):
+            places.append(place)
+        self.never += unseen
+        self.links += tag == "a"
+
+    def _close_down_to(self, place: int) -> None:
+        while len(self.open) > place:
+            tag, _, unseen = self.open.pop()
+            for places in self._lists(tag):
+                places.pop()
+            self.never -= unseen
+            self.links -= tag == "a"
+
+    def _lists(self, tag: str) -> list[list[int]]:
+        return [self.places.setdefault(tag, []), *([self.scopes] if tag in SCOPE else []), *([self.outer] if tag not in INLINE else [])]
+
+    def _last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self._flush()
         elif tag == "br":
             self.text.append(" ")
-        for k in range(len(self.open) - 1, -1, -1):
-            above = self.open[k][0]
-            if tag in ENDS.get(above, ()):
-                while len(self.open) > k:
-                    self._pop()
-                break
-            if above in SCOPE:
-                break
-        if tag == "body":
-            while any(t == "head" for t, _ in self.open):
-                self._pop()
+        ended = max(map(self._last, ENDED_BY.get(tag, ())), default=-1)
+        if ended > self.scopes[-1]:
+            self._close_down_to(ended)
+        if tag == "body" and self.places.get("head"):
+            self._close_down_to(self.places["head"][0])
         if tag not in VOID:
             shown = dict(attrs)
             unseen = tag in NEVER or "hidden" in shown or shown.get("aria-hidden") == "true" or HIDDEN.search(shown.get("style") or "")
-            names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
-            self.open.append((tag, tuple(re.findall(r"[a-z]+", names))))
-            self.unseen.append(bool(unseen))
-            self.never += self.unseen[-1]
-            self.links += tag == "a"
+            words = re.findall(r"[a-z]+", " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower())
+            self._push(tag, [w for w in words if self.known is None or w in self.known], bool(unseen))
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if tag in INLINE and self.open[k][0] not in INLINE:
-                return
+        place = self._last(tag)
+        if place >= 0 and (tag not in INLINE or place > self.outer[-1]):
+            self._close_down_to(place)
 
     def handle_data(self, data: str) -> None:
         if not self.never:
             self.text.append(data)
-            if not self.above and not data.isspace():
-                self.above = list(self.open)  # where the block's first word stands
+            if self.above is None and not data.isspace():
+                self.above = self.open[-1][1] if self.open else Around()  # where the block's first word stands
             if self.links:
                 self.linked += len(data)
 
-    def finish(self) -> list[tuple[str, int, list]]:
+    def finish(self) -> list[tuple[str, int, Around]]:
         self.close()
         self._flush()
         return self.blocks
 
 
-def leaf_blocks(html: str | None) -> list[tuple[str, int, list]]:
-    parser = _Blocks()
-    parser.feed(html or "")
+def leaf_blocks(html: str | None, known: Collection[str] | None = None) -> list[tuple[str, int, Around]]:
+    parser, html = _Blocks(known), html or ""
+    # Behind the last end of a tag there is no whole one; looking for its end would read to the page's end each time.
+    end = html.rfind(">") + 1
+    cut = TAG.search(html, end)
+    parser.feed(html[: cut.start() if cut else len(html)])
     return parser.finish()
 
 
 def has_article(blocks: Iterable[tuple]) -> bool:
     """Whether the page marks an article or main part at all."""
-    return any(tag in ("article", "main") for _, _, above in blocks for tag, _ in above)
+    return any(around.article for _, _, around in blocks)
 
 
-def features(block: tuple[str, int, list], marked: bool) -> set[str]:
+def features(block: tuple[str, int, Around], marked: bool) -> set[str]:
     """The names of what holds for a block; ``marked``: its page marks an article."""
-    text, linked, above = block
-    found = {"any"}
-    article = False
-    for tag, words in above:
-        if tag in ("header", "footer") and article:
-            found.add(f"in:article-{tag}")
-        elif tag not in ("html", "body") and tag not in INLINE:
-            found.add(f"in:{'h' if re.fullmatch('h[1-6]', tag) else tag}")
-        article |= tag in ("article", "main")
-        found.update(f"word:{w}" for w in words)
-    if marked and not article:
+    text, linked, around = block
+    found = {"any", *around.names, *around.inner}
+    if marked and not around.article:
         found.add("outside")
-    # The innermost part that says what it is counts once more.
-    for tag, words in reversed(above):
-        if tag in PARTS or words:
-            found.add(f"inner:{tag if tag in PARTS else 'other'}")
-            found.update(f"inner word:{w}" for w in words)
-            break
     words = text.count(" ") + 1
     found.add(f"length:{min(6, words.bit_length())}")
     if text[-1] in ".!?":
@@ -177,6 +209,7 @@ class Field:
 
     def __init__(self, weights: dict[str, float], step: np.ndarray) -> None:
         self.weights = weights
+        self.words = {name.split(":")[1] for name in weights if name.startswith(("word:", "inner word:"))}
         #: step[a][b]: weight of label b after label a.
         self.step = step.tolist()
 
@@ -276,7 +309,7 @@ def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> Field:
 
 
 def main_text(field: Field, html: str | None) -> str:
-    blocks = leaf_blocks(html)
+    blocks = leaf_blocks(html, field.words)
     return "\n".join(text for (text, _, _), label in zip(blocks, field.labels(blocks)) if label)
 
 

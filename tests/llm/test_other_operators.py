@@ -239,3 +239,22 @@ def test_driver_pages(spark, field):
 def test_very_long_page(field):
     html = "<article>" + "<p>word another.</p>" * 20_000 + "</article>"
     assert html_crf.main_text(field, html).count("\n") == 19_999
+
+
+def test_formulas_are_text(field):
+    html = "<article><p>The formula <math><semantics><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><annotation>a+b</annotation></semantics></math> is known to all.</p></article>"
+    assert [b[0] for b in html_crf.leaf_blocks(html)] == ["The formula a+b is known to all."]
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<font>", "<a x ", "<p><b>", "<ul><li>", "<div class='c{0} x'>", "<table><tr><td>", "</b>", "<main><header>"])
+def test_deep_pages_take_time_in_proportion(field, tag):
+    import time
+
+    def seconds(n):
+        html = "".join(tag.format(k) + ("word " if k % 3 == 0 else "") for k in range(n)) + "<p>The last words of a page.</p>"
+        start = time.perf_counter()
+        html_crf.main_text(field, html)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(32_000) < 2.5 * seconds(16_000) + 0.3
