@@ -268,6 +268,13 @@ SELECT dir_name, files, bytes,
        coalesce(folders, 0) AS folders
 FROM sums LEFT JOIN removed USING (dir_name)""",
     "tree_scan": f"""WITH {PLANTED}, {_findings(BUILTIN, 'lang, path')}
+SELECT lang AS dir_name, path, category, position, secret FROM findings""",
+    "rescan_changed": f"""WITH {PLANTED.replace("content AS", "planted AS")},
+content AS (
+  SELECT p.* REPLACE (CASE WHEN doc_id % 9 = 0 THEN p.text || chr(10) || 'AKIA' || upper(substr(md5('new' || doc_id), 1, 16))
+                           WHEN doc_id % 5 = 0 THEN d.text ELSE p.text END AS text)
+  FROM planted p JOIN documents d ON p.item = d.doc_id::VARCHAR),
+{_findings(BUILTIN, 'lang, path')}
 SELECT lang AS dir_name, path, category, position, secret FROM findings""",
     "tree_scan_touching": f"""WITH content AS (
   SELECT lang, lang || '/' || source || '/' || doc_id || '.txt' AS path,

@@ -14,7 +14,7 @@ from shelflife.functions.formats import format_size
 from shelflife.functions.messages import session_message
 from shelflife.functions.times import as_of_literal, to_utc_wall_clock
 from shelflife.operators import detect, footers, policy, prune, purge, retention, scoped, stats
-from shelflife.plans import scan, status
+from shelflife.plans import rescan, scan, status
 from shelflife.plans.clean import clean_trees, plan_run
 from shelflife.session import mounted_path, shared_dir
 from shelflife.sources import inventory_source
@@ -121,13 +121,14 @@ def planted_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_content(planted_documents(spark, sf_dir), "source", "doc_id", "text")
 
 
-def document_tree(documents: DataFrame) -> dict[str, str]:
+def document_tree(documents: DataFrame, base: str | None = None) -> dict[str, str]:
     """Every document as a file ``lang/source/id.txt``, a minute old per character; returns the roots.
 
-    The executors write the files to the shared folder. Writing one again gives the same file.
+    The executors write the files to the shared folder, or over those below ``base``. Writing one again gives the
+    same file.
     """
     spark = documents.sparkSession
-    base = mounted_path(shared_dir(spark, "tree"))
+    base = base or mounted_path(shared_dir(spark, "tree"))
     micros = F.unix_micros(as_of_literal(EVENTS_AT, T.TimestampType())) - F.col("n_chars") * 60_000_000
 
     def write(batches):
@@ -477,6 +478,21 @@ def tree_scan_touching(spark, sf_dir):
     )
 
 
+def rescan_changed(spark, sf_dir):
+    """Trees scanned, then scanned again after every fifth file lost its token and every ninth got another."""
+    before, state = planted_documents(spark, sf_dir), shared_dir(spark, "rescan")
+    roots = document_tree(before)
+    rescan.rescan_trees(spark, roots, state)
+    number = F.col("doc_id")
+    token = F.concat(F.lit("\nAKIA"), F.upper(F.substring(F.md5(F.concat(F.lit("new"), number.cast("string"))), 1, 16)))
+    plain = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("plain"))
+    text = F.when(number % 9 == 0, F.concat("text", token)).otherwise(F.col("plain"))
+    later = before.join(plain, "doc_id").where((number % 5 == 0) | (number % 9 == 0))
+    document_tree(later.withColumns({"text": text, "n_chars": F.col("n_chars") + 1}).drop("plain"), next(iter(roots.values())).rsplit("/", 1)[0])
+    found = rescan.rescan_trees(spark, roots, state).findings
+    return found.withColumnRenamed("item", "path").select("dir_name", _below(roots).alias("path"), "category", "position", "secret")
+
+
 # Reports.
 
 
@@ -665,6 +681,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_scan": tree_scan,
     "tree_scan_parts": tree_scan_parts,
     "tree_scan_touching": tree_scan_touching,
+    "rescan_changed": rescan_changed,
     "format_size": format_sizes,
     "dir_stats": dir_stats,
     "dir_stats_orders": dir_stats_orders,
