@@ -1,6 +1,8 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
 
-A text is cut into paragraphs at line feeds, a long paragraph into pieces of some sentences. Paragraphs form
+A text is cut into paragraphs at line feeds, a long paragraph into pieces of some sentences; where there is neither
+sentence nor white space, as in Chinese or encoded text, where a rolling hash of the last code points says so; the
+paragraphs of a short text into words, or a few code points of what has none. Paragraphs form
 sections: a section ends with an empty paragraph or with one whose digest says so, so an inserted paragraph
 changes the section it stands in and no other. A leaf is the SHA-256 of a piece, an inner node that of its
 children's digests. The root covers the text byte by byte: equal texts, and only those, have equal roots.
@@ -24,16 +26,51 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 #: A paragraph is cut after a sentence once a piece has 48 code points, at white space once it has 256.
 PIECE = re.compile(r"(?s).{48,255}?[.!?](?=\s)|.{256,}?(?=\s)|.+")
+#: A longer piece has no white space to be cut at, and is cut by content.
+LONGEST = 512
+#: Texts of fewer code points are cut into words.
+SHORT = 192
+WORD = re.compile(r"(?s)\S+\s*|\s+")
 SECTION_ODDS = 4
 LEAF = struct.Struct(">8sI")
 
 
+def cut_by_content(run: str, window: int, bits: int, least: int, most: int) -> list[str]:
+    """A run in pieces of ``least`` to ``most`` code points that end where ``bits`` bits of a hash of the last ``window``
+    code points are 0, so that an edit moves only the cuts near it."""
+    codes = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    hashes = np.zeros(len(codes), np.uint64)
+    for k in range(window):
+        hashes[k:] = hashes[k:] + (codes[: len(codes) - k] + np.uint64(1)) * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+    hashes ^= hashes >> np.uint64(29)
+    ends = (np.flatnonzero((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits) == 0) + 1).tolist()
+    out, at = [], 0
+    for end in [*ends, len(run)]:
+        while end - at > most:
+            out.append(run[at : at + most])
+            at += most
+        if end - at >= least or end == len(run) and end > at:
+            out.append(run[at:end])
+            at = end
+    return out
+
+
+def pieces_of(paragraph: str, short: bool) -> list[str]:
+    """The pieces of a paragraph, at least one."""
+    if short:
+        found = [p for w in WORD.findall(paragraph) for p in (cut_by_content(w, 1, 1, 2, 8) if len(w) > 16 else [w])]
+    else:
+        found = [p for w in PIECE.findall(paragraph) for p in (cut_by_content(w, 8, 6, 16, 256) if len(w) > LONGEST else [w])]
+    return found or [""]
+
+
 def _sha(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
@@ -42,9 +79,9 @@ def fingerprint(text: str | None) -> str:
     """The fingerprint of one text."""
     leaves, sections, section = [], [], []
     paragraphs = (text or "").split("\n")
-    last = len(paragraphs) - 1
+    last, short = len(paragraphs) - 1, len(text or "") < SHORT
     for k, paragraph in enumerate(paragraphs):
-        pieces = PIECE.findall(paragraph) or [""]
+        pieces = pieces_of(paragraph, short)
         digests = [_sha(p.encode()) for p in pieces]
         node = _sha(b"p" + b"".join(digests))
         section.append(node)

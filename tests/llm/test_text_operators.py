@@ -578,3 +578,42 @@ def test_many_hits_take_time_in_proportion(spark):
     run(1000)
     small, large = run(4000), run(16_000)
     assert large < 2.5 * 2.5 * small + 2
+
+
+def plain_likeness(a, b):
+    """Code points of pieces both texts have, with repeats, by texts instead of trees."""
+    if a == b:
+        return 1.0
+    pieces = [Counter(p for line in t.split("\n") for p in merkle.pieces_of(line, len(t) < merkle.SHORT)) for t in (a, b)]
+    size = sum(len(p) * n for c in pieces for p, n in c.items())
+    return 2 * sum(len(p) * n for p, n in (pieces[0] & pieces[1]).items()) / size if size else 0.0
+
+
+def test_texts_without_white_space_and_short_texts_have_branches():
+    rng = random.Random(21)
+    han = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(5000))
+    other = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(2500))
+    code = "".join(rng.choice("0123456789abcdef") for _ in range(100_000))
+    for a, b, low, high in [
+        (han, han[:2500] + other, 0.45, 0.55),
+        (han, other + han[2500:], 0.45, 0.55),
+        (han, han[:1000] + other[:3] + han[1000:], 0.9, 1.0),  # an insertion moves only the cuts near it
+        (code, code[:50_000] + code[50_000:][::-1], 0.45, 0.55),
+        ("one quiet text of six words.", "one quiet text xx yyy zzzzz.", 0.3, 0.7),
+        (han[:30], han[:15] + other[:15], 0.2, 0.7),
+        ("a" * 3000, "a" * 3000 + "b", 0.8, 1.0),
+    ]:
+        found = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
+        assert low <= found <= high, (a[:20], found)
+        assert "".join(p for line in a.split("\n") for p in merkle.pieces_of(line, len(a) < merkle.SHORT)) == a
+
+
+def test_likeness_equals_that_of_plain_pieces(spark):
+    """Against multisets of pieces; what a tree sets off in whole branches is the same share."""
+    texts = [r["text"] for r in read_table(spark, "/root/testdata/sf0.001", "documents").collect()][:60]
+    rng = random.Random(22)
+    for a in texts:
+        half = len(a) // 2
+        for b in (a, a[: len(a) - half] + rng.choice(texts)[:half], rng.choice(texts)):
+            found = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
+            assert abs(found - plain_likeness(a, b)) < 1e-6
