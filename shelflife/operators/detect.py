@@ -71,6 +71,8 @@ BUILTIN_DETECTORS = (
 )
 
 
+#: Detectors that are tested one by one.
+WIDE = 32
 #: Random tokens by alphabet; bits per character a token of its kind has at least.
 ENTROPY_DETECTORS = (
     Detector("High-entropy hex", "(?<![0-9A-Za-z+/_-])[0-9a-f]{32,}(?![0-9A-Za-z+/_-])", min_entropy=3.0),
@@ -204,14 +206,69 @@ def match_flags(content: DataFrame, detectors: Sequence[Detector] = BUILTIN_DETE
     return _unpivot(content, [d.category for d in detectors], flags, "matched")
 
 
+def _one_of(texts: Sequence[str]) -> str:
+    """A regex for any of some texts in which those that begin alike share their beginning."""
+    tree: dict = {}
+    for text in texts:
+        node = tree
+        for char in text:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [_char(char) + pattern(after) for char, after in sorted(node.items()) if char]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "") if len(ways) > 1 or "" in node else ways[0]
+
+    return pattern(tree)
+
+
+def _char(char: str) -> str:
+    return char if char.isalnum() and char.isascii() else f"\\x{{{ord(char):x}}}"
+
+
+def _marked(literal: str) -> str:
+    """A literal up to its first character of the rarest kind: no letter or digit, else no small letter."""
+    kinds = [0 if not c.isalnum() else 1 if c.isupper() or c.isdigit() else 2 for c in literal]
+    return literal[: kinds.index(min(kinds)) + 1]
+
+
+def _wide(content: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
+    """``find_secrets`` for many detectors with literals, at the cost of one search per text.
+
+    The search stops at the rarest characters of the literals only and looks back from there; the detectors of the
+    literals it may have met run on the text, their patterns taken from a constant table.
+    """
+    marked = {part: _marked(part) for d in detectors for part in d.literals}
+    keys = sorted(set(marked.values()))
+    # Of several that end at one place the shortest is reported, and stands for the longer ones.
+    named = {k: [i for i, d in enumerate(detectors) if any(marked[part].endswith(k) for part in d.literals)] for k in keys}
+    last = "".join(sorted({_char(k[-1]) for k in keys}))
+    present = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(f"[{last}](?<=({_one_of(keys)}))"), F.lit(1)))
+    numbers = F.create_map(*(F.lit(x) for k in keys for x in (k, named[k])))
+    columns = [c for c in content.columns if c != "text"]
+    wanted = F.array_distinct(F.flatten(F.transform(present, lambda k: F.element_at(numbers, k))))
+    rows = content.select(*columns, "text", F.explode(wanted).alias("_i"))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("_i") + 1)
+    found = F.regexp_extract_all("text", of([d.pattern for d in detectors]), of([d.group for d in detectors]))
+    return rows.select(*columns, of([d.category for d in detectors]).alias("category"), F.posexplode(found).alias("position", "secret"))
+
+
 def find_secrets(
     content: DataFrame, detectors: Sequence[Detector | BatchDetector] = BUILTIN_DETECTORS
 ) -> DataFrame:
     """Scan each text once with every detector: one row per match.
 
     ``position`` counts the matches of a detector within its text. All columns but ``text`` are carried
-    along. The scan needs no shuffle, whatever the size of the content or its hottest root.
+    along. The scan needs no shuffle, whatever the size of the content or its hottest root. Of more than ``WIDE``
+    detectors those with literals are looked for together.
     """
+    many = [d for d in detectors if isinstance(d, Detector) and d.literals and d.min_entropy is None]
+    if len(many) > WIDE:
+        others = [d for d in detectors if d not in many]
+        found = _wide(content, many)
+        return found.union(find_secrets(content, others)) if others else found
     keys = [c for c in content.columns if c != "text"]
     text = F.col("text")
     found = [matches(text, d) for d in detectors]

@@ -169,3 +169,18 @@ def test_sketches_of_scans_roll_up(spark):
         for r in detect.summarize(findings).collect():
             assert found[r["dir_name"]]["matches"] == r["matches"]
             assert abs(found[r["dir_name"]]["items"] - r["items"]) <= error * r["items"]
+
+
+def test_many_detectors_find_what_each_finds(spark, monkeypatch):
+    """Literals inside each other, overlapping, and of several characters that mean something in a pattern."""
+    rng = random.Random(12)
+    parts = ["ab", "abc", "bc", "b.", "k1=", "k12=", "1=", "(x)", "é-", "-=", "=-=", "aa", "aaa"]
+    rules = [detect.Detector(f"D{i}", re.escape(lit) + "([0-9a-z]{1,3})", (lit,), group=i % 2) for i, lit in enumerate(parts)]
+    rules += [detect.Detector("Two", "(?:ab|é-)[0-9]", ("ab", "é-")), detect.Detector("None", "[0-9]{4}")]
+    texts = ["".join(rng.choice([*parts, "0", "7z", " ", "xyz"]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    df = content(spark, [*texts, None, ""])
+    plain = sorted(detect.find_secrets(df, rules).collect())
+    monkeypatch.setattr(detect, "WIDE", 3)
+    found = detect.find_secrets(df, rules)
+    assert sorted(found.collect()) == plain and len(plain) > 1000
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
