@@ -617,3 +617,38 @@ def test_likeness_equals_that_of_plain_pieces(spark):
         for b in (a, a[: len(a) - half] + rng.choice(texts)[:half], rng.choice(texts)):
             found = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
             assert abs(found - plain_likeness(a, b)) < 1e-6
+
+
+def plain_grams(text):
+    """N-grams of 3 to 5 code points between spaces, with spaces at their ends only."""
+    line = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    return [line[i : i + n] for n in (3, 4, 5) for i in range(len(line) - n + 1) if " " not in line[i + 1 : i + n - 1]]
+
+
+def test_language_equals_exact_sets_of_ngrams(spark):
+    """Filters large enough to be nearly exact against sets of strings."""
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    filters = langid.fit(docs, n_grams=1 << 30, slots=1 << 22)
+    rows = docs.select("lang", "text").collect()
+    times = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None:
+            times.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+    rates = {code: {g: n / sum(c.values()) for g, n in c.items() if n > 1} for code, c in times.items()}
+    held = {code: {g for g, r in own.items() if r >= langid.SHARE * sum(o.get(g, 0) for o in rates.values())} for code, own in rates.items()}
+    texts = [r["text"] for r in rows] + ["", None, "123", "the thing", "xyzzy qqq"]
+    for text, (code, score) in zip(texts, filters.classify(texts)):
+        grams = Counter(plain_grams(text or ""))
+        if not any(map(str.isalpha, text or "")):
+            assert (code, score) == ("und", 0.0)
+            continue
+        counts = {c: sum(n for g, n in grams.items() if g in own) for c, own in held.items()}
+        best = min(counts, key=lambda c: (-counts[c], c))
+        if not counts[best]:
+            assert score <= 0.01
+            continue
+        share = sum(g in held[best] for g in grams) / len(grams)
+        wanted = counts[best] / sum(counts.values()) * share if share >= langid.FLOOR else 0.0
+        runner = max((n for c, n in counts.items() if c != best), default=0)
+        assert code == best or counts[best] - runner <= 2
+        assert abs(score - wanted) < 0.02 or abs(share - langid.FLOOR) < 0.01 or len(grams) < 40
