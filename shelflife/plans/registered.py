@@ -131,24 +131,20 @@ def document_tree(documents: DataFrame, base: str | None = None) -> dict[str, st
     base = base or mounted_path(shared_dir(spark, "tree"))
     micros = F.unix_micros(as_of_literal(EVENTS_AT, T.TimestampType())) - F.col("n_chars") * 60_000_000
 
-    def write(batches):
+    def write(rows):
         import os
 
-        import pandas as pd
-
-        for pdf in batches:
-            for path, text, at in zip(pdf["path"], pdf["text"], pdf["micros"]):
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "wb") as file:
-                    file.write(text.encode())
-                os.utime(path, ns=(at * 1000, at * 1000))
-            yield pd.DataFrame({"files": [len(pdf)]})
+        for path, text, at in rows:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as file:
+                file.write(text.encode())
+            os.utime(path, ns=(at * 1000, at * 1000))
 
     path = F.concat(
         F.lit(base + "/"), F.concat_ws("/", "lang", "source", "doc_id"), F.lit(".txt")
     )
-    rows = documents.select(path.alias("path"), "text", micros.alias("micros"))
-    rows.mapInPandas(write, "files bigint").agg(F.sum("files")).first()
+    # Rows come to a task a few at a time, in batches of some MB whatever the texts' length.
+    documents.select(path.alias("path"), "text", micros.alias("micros")).foreachPartition(write)
     langs = documents.select("lang").distinct().collect()
     return {row["lang"]: f"{base}/{row['lang']}" for row in langs}
 
