@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,7 +13,10 @@ SPLIT_BYTES = 16 * 1024 * 1024
 #: Bytes a match may cover together with what its pattern looks at around it.
 SPAN_BYTES = 1024 * 1024
 TASK_BYTES = 1024 * 1024 * 1024
-BATCH_BYTES = 8 * 1024 * 1024
+#: Text, as it lies in memory, that a task holds before it hands it on; converting it takes several times as much.
+BATCH_BYTES = 1024 * 1024
+#: What a row counts besides its text.
+ROW_BYTES = 512
 CONTENT_SCHEMA = "dir_name string, item string, part bigint, text string, own_from int, own_to int, error string"
 COLUMNS = [field.split()[0] for field in CONTENT_SCHEMA.split(", ")]
 
@@ -61,13 +65,13 @@ def _read_parts(split_bytes: int | None, span_bytes: int, batch_bytes: int, carr
                 try:
                     text, own_from, own_to = read(item if raw is None else raw, int(part), int(count))
                 except (OSError, MemoryError) as problem:
-                    rows.append((dir_name, item, int(part), None, 0, 0, type(problem).__name__, *kept))
-                    continue
-                if len(text) >= 2**31 - 64:
-                    rows.append((dir_name, item, int(part), None, 0, 0, "too large for one text", *kept))
-                    continue
-                rows.append((dir_name, item, int(part), text, own_from, own_to, None, *kept))
-                held += len(text)
+                    text, own_from, own_to, error = None, 0, 0, type(problem).__name__
+                else:
+                    error = None if len(text) < 2**31 - 64 else "too large for one text"
+                    if error:
+                        text, own_from, own_to = None, 0, 0
+                rows.append((dir_name, item, int(part), text, own_from, own_to, error, *kept))
+                held += ROW_BYTES + sys.getsizeof(text)
                 if held >= batch_bytes:
                     yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
