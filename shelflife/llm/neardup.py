@@ -108,19 +108,25 @@ def _shared_at_least(n: Column) -> Column:
 
 
 def index_entries(classes: DataFrame) -> DataFrame:
-    """(value, key, n, own): for each class the lists of its rarest values that another class has too.
+    """(key, n, doc_id, own, values): the classes that stand in lists, with the rarest values that another class has too.
 
     ``own`` is the share of its retained values that no other class has.
     """
-    values = classes.select("key", "n", F.explode("hashes").alias("value"))
+    values = classes.select("key", F.explode("hashes").alias("value"))
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     # Classes that have such values, with them rarest first.
-    listed = values.join(common, "value").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("classes", "value"))).alias("values"))
+    listed = values.join(common, "value").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("classes", "value"))).alias("values"))
     size = F.least("n", F.lit(K)).cast("int")
     may_miss = size - _shared_at_least(F.col("n"))
     alone = size - F.size("values")
-    entries = listed.withColumn("take", may_miss + 1 - alone).where("take > 0").withColumn("own", alone / size)
-    return entries.select("key", "n", "own", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("v.value", "key", "n", "own")
+    entries = listed.join(classes.select("key", "n", "doc_id"), "key").withColumn("take", may_miss + 1 - alone).where("take > 0")
+    rarest = F.transform(F.slice("values", F.lit(1), F.col("take")), lambda v: v["value"])
+    return entries.select("key", "n", "doc_id", (alone / size).alias("own"), rarest.alias("values"))
+
+
+def _lists(entries: DataFrame, *columns: str) -> DataFrame:
+    """(value, ...): a row for each list a class stands in."""
+    return entries.select(F.explode("values").alias("value"), *columns)
 
 
 def _sizes_fit(n_a: Column, n_b: Column) -> Column:
@@ -133,41 +139,54 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 def pivot_pairs(entries: DataFrame) -> DataFrame:
     """Each class of a list with the list's pivot, the class that has least of its own."""
-    pivots = entries.groupBy("value").agg(F.min(F.struct("own", "key", "n")).alias("p")).select("value", F.col("p.key").alias("other"), F.col("p.n").alias("other_n"))
-    return _pairs(entries.join(pivots, "value").where(_sizes_fit(F.col("n"), F.col("other_n"))))
+    lists = _lists(entries, "key", "n", "own")
+    pivots = lists.groupBy("value").agg(F.min(F.struct("own", "key", "n")).alias("p")).select("value", F.col("p.key").alias("other"), F.col("p.n").alias("other_n"))
+    return _pairs(lists.join(pivots, "value").where(_sizes_fit(F.col("n"), F.col("other_n"))))
 
 
 def crossing_links(entries: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) between classes of one list that lie in different components.
+    """Links between classes of one list that lie in different components, as the roots (a, b) of these components.
 
     Lists that hold more than one component, and more than the pair a pivot has settled, are gathered by the
-    component most of their classes are in. A gathering is dealt into blocks of some ``BLOCK_VALUES`` hashes;
-    each two blocks meet in one group, which compares full sets and returns links only.
+    component most of their classes are in, the top. Nothing is to be compared within the top, so a gathering's top
+    and its other classes are dealt into blocks of their own, of some ``BLOCK_VALUES`` hashes. Each block of others
+    meets each block in a group, which compares full sets and returns links only.
     """
-    placed = entries.join(roots, "key", "left").select("value", "key", "n", F.coalesce("root", "key").alias("root"))
-    placed = written(placed, "placed")
+    placed = written(entries.join(roots, "key", "left").select("key", "n", "values", F.coalesce("root", "key").alias("root")), "placed")
+    lists = _lists(placed, "key", "n", "root")
     mixed = (
-        placed.groupBy("value", "root")
+        lists.groupBy("value", "root")
         .agg(F.count(F.lit(1)).alias("classes"))
         .groupBy("value")
         .agg(F.max(F.struct("classes", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("classes").alias("classes"))
         .where("roots > 1 and classes > 2")
         .select("value", F.col("top.root").alias("top"))
     )
-    gathered = written(placed.join(mixed, "value").select("top", "key", "n", "root").distinct(), "gathered")
-    blocks = gathered.groupBy("top").agg(F.ceil(F.sum("n") / BLOCK_VALUES).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    gathered = written(lists.join(mixed, "value").select("top", "key", "n", "root").distinct(), "gathered")
+    rows = _meetings(gathered).join(sets, "key").select("top", F.explode("meet").alias("meet"), "key", "root", "block", "hashes")
+    rows = rows.select("top", "meet.low", "meet.high", "key", "root", "block", "hashes")
+    return rows.groupBy("top", "low", "high").applyInArrow(_links_within, "a binary, b binary")
+
+
+def _meetings(gathered: DataFrame) -> DataFrame:
+    """(top, key, root, block, meet): the block of each gathered class, and the groups (low, high) it goes to."""
+    in_top, zero = F.col("root") == F.col("top"), F.lit(0)
+    blocks_of = lambda n: F.ceil(F.sum(n) / BLOCK_VALUES).cast("int")
+    blocks = gathered.groupBy("top").agg(
+        blocks_of(F.when(in_top, zero).otherwise(F.col("n"))).alias("others"), blocks_of(F.when(in_top, F.col("n")).otherwise(zero)).alias("tops")
+    )
+    # Blocks of others are numbered from 0, those of the top after them.
+    block = F.when(in_top, F.col("others") + F.pmod(F.xxhash64("key"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("key"), F.col("others"))).cast("int")
+    last = F.when(in_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
     meet = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
+        F.sequence(zero, last),
         lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")),
     )
-    dealt = gathered.join(blocks, "top").withColumn("block", block).join(sets, "key").withColumn("meet", F.explode(meet))
-    rows = dealt.select("top", "meet.low", "meet.high", "key", "root", "block", "hashes")
-    return rows.groupBy("top", "low", "high").applyInArrow(_links_within, "a binary, b binary")
+    return gathered.join(blocks, "top").where("others > 0").withColumn("block", block).select("top", "key", "root", "block", meet.alias("meet"))
 
 
 def _links_within(group: pa.Table) -> pa.Table:
-    """Links between classes of different components; of two blocks only those across."""
+    """Components between whose classes there are links, by their roots; of two blocks only links across."""
     keys, roots, block = group["key"].to_pylist(), group["root"].to_pylist(), group["block"].to_numpy()
     top, across = group["top"][0].as_py(), group["low"][0].as_py() != group["high"][0].as_py()
     column = group["hashes"].combine_chunks()
@@ -178,7 +197,7 @@ def _links_within(group: pa.Table) -> pa.Table:
     order = np.argsort(np.argsort(np.array([k.hex() for k in keys])))
     in_top = np.array([r == top for r in roots])
     mark = np.zeros(len(codes) + 1, bool)
-    found = []
+    found = set()
     for x in np.flatnonzero(~in_top):
         other = (component != component[x]) & (in_top | (order > order[x]))
         other &= np.minimum(sizes, sizes[x]) * 100 >= np.maximum(sizes, sizes[x]) * PERCENT
@@ -190,8 +209,8 @@ def _links_within(group: pa.Table) -> pa.Table:
             both = np.add.reduceat(mark[codes], starts[:-1], dtype=np.int64)
             mark[own] = False
             for y in np.flatnonzero(other & (both * 100 >= PERCENT * (sizes + sizes[x] - both))):
-                found.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
-    a, b = zip(*found) if found else ((), ())
+                found.add((min(roots[x], roots[y]), max(roots[x], roots[y])))
+    a, b = zip(*sorted(found)) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
@@ -209,7 +228,8 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
     sketch = lambda side: classes.select(F.col("key").alias(side), F.col("hashes").alias(f"sketch_{side}"))
     likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_may_be_linked(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
     full = lambda side: sets.select(F.col("key").alias(side), F.col("hashes").alias(f"set_{side}"))
-    compared = likely.join(full("a"), "a").join(full("b"), "b")
+    # The pairs lie by b here, and need not be dealt by it again.
+    compared = likely.join(full("b"), "b").join(full("a"), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return (
         compared.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
@@ -234,17 +254,18 @@ def _rooted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     entries = written(index_entries(classes), "entries")
 
     # Full sets of the classes that stand in a list, from the text of one of their documents.
-    listed = entries.select("key").distinct().join(classes, "key").select("key", F.col("doc_id").alias("id"))
-    texts = rows.join(listed.select("id").distinct(), rows["doc_id"].eqNullSafe(F.col("id")), "left_semi")
-    sets = _with_sets(texts, whole=True).join(listed.select("key").distinct(), "key", "left_semi")
+    ids = entries.select(F.col("doc_id").alias("id")).distinct()
+    texts = rows.join(ids.hint("merge"), rows["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+    sets = _with_sets(texts, whole=True).join(entries.select("key"), "key", "left_semi")
     sets = written(sets.dropDuplicates(["key"]).select("key", "hashes"), "sets")
 
     links = written(verified(pivot_pairs(entries), classes, sets), "linked")
     roots = components(links)
-    links = links.union(written(crossing_links(entries, roots, sets), "linked"))
-    roots = components(links)
-
     placed = classes.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+    crossing = written(crossing_links(entries, roots, sets), "linked")
+    if not crossing.isEmpty():
+        joined = components(crossing).select(F.col("key").alias("root"), F.col("root").alias("joined"))
+        placed = placed.join(joined, "root", "left").select("key", "doc_id", F.coalesce("joined", "root").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     components_of = placed.join(lowest, "root").select("key", "component_id", "root")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
