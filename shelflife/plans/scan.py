@@ -48,6 +48,9 @@ def _settled(found: DataFrame, inventory: DataFrame, detectors: Sequence[Detecto
     part before was left. In each round a file's first difference is mended, and others further on; what is searched
     again as one grows from round to round, up to ``RANGE_BYTES``, so a difference that goes on through the whole
     file costs few rounds. States away from the ends of a part are the only ones that are written.
+
+    All joins sort and merge: files and ranges grow with the input, and paths are so much smaller in a written stage
+    than in memory that its size on disk would have them broadcast through the driver.
     """
     span = max(d.span for d in detectors)
     states = found.where("category is not null and secret is null").select(*SEARCH, "part", "entry", "exit")
@@ -66,13 +69,13 @@ def _settled(found: DataFrame, inventory: DataFrame, detectors: Sequence[Detecto
         else:
             # Several parts searched as one stay one, and others end before them.
             other = units.where("parts > 1").select(*SEARCH, F.col("part").alias("start"), F.col("parts").alias("long")).distinct()
-            ahead = chosen.join(other, SEARCH, "left").groupBy(*chosen.columns).agg(
+            ahead = chosen.join(other.hint("merge"), SEARCH, "left").groupBy(*chosen.columns).agg(
                 F.max(F.when(F.col("start") == F.col("part"), F.col("long"))).alias("same"),
                 F.min(F.when(F.col("start") > F.col("part"), F.col("start") - F.col("part"))).alias("room"),
             )
             sized = ahead.withColumn("parts", F.coalesce("same", F.least(F.lit(width), "room")).cast("int")).drop("same", "room")
         raw = inventory.select("dir_name", F.col("path").alias("item"), F.col("raw") if "raw" in inventory.columns else F.lit(None).cast("binary").alias("raw"))
-        unit = write_once(sized.join(raw, ["dir_name", "item"]), f"{base}/ranges")
+        unit = write_once(sized.join(raw.hint("merge"), ["dir_name", "item"]), f"{base}/ranges")
         if unit.isEmpty():
             break
         again = write_once(
@@ -84,7 +87,7 @@ def _settled(found: DataFrame, inventory: DataFrame, detectors: Sequence[Detecto
         covered = unit.select(*SEARCH, F.explode(F.sequence("part", F.col("part") + F.col("parts") - 1)).alias("part"))
         left = again.where("secret is null and category is not null and exit > 0")
         states = write_once(
-            states.join(covered, [*SEARCH, "part"], "left_anti")
+            states.join(covered.hint("merge"), [*SEARCH, "part"], "left_anti")
             .union(unit.select(*SEARCH, "part", F.col("skip"), zero))
             .union(left.select(*SEARCH, F.col("part") + F.col("parts") - 1, zero, "exit")),
             f"{base}/states",
@@ -97,7 +100,7 @@ def _settled(found: DataFrame, inventory: DataFrame, detectors: Sequence[Detecto
     every = found.withColumn("round", F.lit(0))
     for k, again in enumerate(rounds, 1):
         every = every.union(again.select(*found.columns, F.lit(k)))
-    return every.join(last, [*SEARCH, "part"], "left").where(F.col("round") == F.coalesce("last", F.lit(0))).select(found.columns)
+    return every.join(last.hint("merge"), [*SEARCH, "part"], "left").where(F.col("round") == F.coalesce("last", F.lit(0))).select(found.columns)
 
 
 def scan_files(
